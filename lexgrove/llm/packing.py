@@ -178,6 +178,7 @@ def ranked(pieces: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     spark = pieces.sparkSession
     order = [F.col("length").desc(), "doc_id", "piece", "ids_crc32"]
     ways = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pieces = cut(pieces)  # a range sort reads its input twice, for the bounds and for the rows
     local = cut(pieces.repartitionByRange(ways, *order).sortWithinPartitions(*order).withColumn("m", F.monotonically_increasing_id()))
     part = F.shiftright("m", 33)
     groups = local.groupBy(part.alias("part"), "length").agg(F.count("*").alias("n"), F.min("m").alias("low")).collect()  # lengths x partitions at most
