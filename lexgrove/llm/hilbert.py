@@ -74,6 +74,7 @@ def hilbert_shards(docs: DataFrame, shards: int, law: str = "rows", keep: tuple[
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(body), F.lit(0)).cast("long").alias("text_crc32"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), *(F.col(f"`{c}`") for c in keep))
     level = F.least(F.floor(F.log2(F.col("size").cast("double")) * 2.5), F.lit((1 << BITS) - 1)).cast("int")
     rows = rows.withColumn("curve", hilbert_index(_code(F.col("source")), _code(F.col("lang")), level))
+    rows = cut(rows)  # a range sort reads its input twice, for the bounds and for the rows
     order = ["curve", F.xxhash64("doc_id", F.lit(11)), "doc_id", "text_crc32"]
     ways = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     local = cut(rows.repartitionByRange(ways, *order).sortWithinPartitions(*order).withColumn("m", F.monotonically_increasing_id()))
