@@ -8,7 +8,7 @@ a Poisson process over the registers, in ascending order, and stops once it is a
 n + M ln M draws for a set of n shingles instead of n M.
 
 Search: bands of registers are hashed to buckets; in each bucket members are compared with a hub, hubs' components are
-merged, and what a bucket still holds of different components is compared pair by pair.  A pair is first judged by the
+merged, and what a bucket still holds of different components is compared pair by pair, block by block.  A pair is first judged by the
 joint maximum-likelihood estimate of its similarity from both sketches and exact set sizes, with a margin of five
 standard errors, and then confirmed on the full sets.
 
@@ -38,6 +38,8 @@ WIDTH, LINK_NUM, LINK_DEN = 5, 75, 100
 MARGIN = 5 * math.sqrt(0.75 * 0.25 / M)
 #: Rounds against one hub a bucket at most; the last round, pair by pair, comes as soon as one of them finds nothing.
 HUB_ROUNDS = 3
+#: Members of a block of a bucket; ids that are broadcast at most.
+BLOCK, BROADCAST_IDS = 256, 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,32 +135,143 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two full sets (sorted hashes) are as similar as asked."""
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return LINK_DEN * common >= LINK_NUM * (len(both) - common)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, keep = batch.column("ia").to_pylist(), batch.column("ib").to_pylist(), np.zeros(batch.num_rows, bool)
-        for k, (x, y) in enumerate(zip(a, b, strict=True)):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate([x, y])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            keep[k] = LINK_DEN * common >= LINK_NUM * (len(both) - common)
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
+        pairs = zip(batch.column("ia").to_pylist(), batch.column("ib").to_pylist(), strict=True)
+        keep = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in pairs]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) of class representatives whose sketches say that they may be as similar as asked."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) of class representatives whose full sets are as similar as asked.
+_ROW = ("bucket", "x", "y", "side", "band", "node", "n", "component")
+_ROW_SCHEMA = "bucket long, x int, y int, side int, band int, node long, n long, component long"
 
-    Judged by sketches first; the sets of what is left are made anew from the texts of the documents concerned, so no
-    set is kept or moved for any other document.
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Tables of whole runs of one (bucket, x, y), and where each run lies. A run holds two blocks at most."""
+
+    def split(t: pa.Table) -> list[tuple[int, int]]:
+        key = np.column_stack([t[c].to_numpy() for c in ("bucket", "x", "y")])
+        edge = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+        return list(zip(edge[:-1], edge[1:], strict=True))
+
+    held = None
+    for batch in batches:
+        if batch.num_rows:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+            *whole, (last, _) = split(t)
+            held = t.slice(last)
+            if whole:
+                yield t.slice(0, last), whole
+    if held is not None and held.num_rows:
+        yield held, split(held)
+
+
+def _pairs_inside(t: pa.Table, spans: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Likely pairs (i, j) of rows of different components in one run: all if x = y, else of side 0 with side 1.
+
+    A pair that agrees in several bands is taken in the first of them only.
     """
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely, "a long, b long")
-    likely = cut(likely)
-    ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+    x, y, side, band, n, part = (t[c].to_numpy() for c in ("x", "y", "side", "band", "n", "component"))
+    sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), "<u2").reshape(-1, M)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def judge():
+        i, j = (np.concatenate(v) for v in zip(*waiting, strict=True))
+        waiting.clear()
+        keep = joint_estimate(sketch[i], sketch[j], n[i].astype(float), n[j].astype(float)) >= LINK_NUM / LINK_DEN - MARGIN
+        i, j = i[keep], j[keep]
+        first = (sketch[i] == sketch[j]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[i]
+        return i[first], j[first]
+
+    for a, b in spans:
+        if b - a < 2:
+            continue
+        if x[a] == y[a]:
+            i, j = np.triu_indices(b - a, 1)
+        else:
+            i, j = (v.reshape(-1) for v in np.meshgrid(np.flatnonzero(side[a:b] == 0), np.flatnonzero(side[a:b] == 1), indexing="ij"))
+        i, j = i + a, j + a
+        fits = (part[i] != part[j]) & (n[i] * LINK_DEN >= n[j] * LINK_NUM) & (n[j] * LINK_DEN >= n[i] * LINK_NUM)
+        i, j = i[fits], j[fits]
+        for at in range(0, len(i), 20_000):
+            waiting.append((i[at : at + 20_000], j[at : at + 20_000]))
+            if sum(len(v) for v, _ in waiting) >= 20_000:
+                yield judge()
+    if waiting:
+        yield judge()
+
+
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that have a likely partner in their run."""
+    for t, spans in _blocks(batches):
+        used = np.zeros(t.num_rows, bool)
+        for i, j in _pairs_inside(t, spans):
+            used[i] = used[j] = True
+        yield from t.select(list(_ROW)).filter(pa.array(used)).to_batches()
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of each run that their full sets confirm."""
+    for t, spans in _blocks(batches):
+        node, items = t["node"].to_numpy(), t["items"].to_pylist()
+        for i, j in _pairs_inside(t, spans):
+            keep = np.fromiter((alike(np.frombuffer(items[a], np.uint64), np.frombuffer(items[b], np.uint64)) for a, b in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
+            i, j = node[i[keep]], node[j[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
+
+
+def linked_inside(rest: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Confirmed pairs (a, b) of different components among all members of each bucket of rest(bucket, band, node, n, component).
+
+    A large bucket is cut into blocks of about BLOCK members and each pair of blocks is worked on by itself, so no task holds
+    a whole bucket.  Sketches are judged first; the full sets then go to those blocks alone that have a likely partner for
+    them, once each; only confirmed pairs become rows.
+    """
+    size = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rest.join(size, "bucket").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    pick = lambda x, y, side: ("bucket", x.alias("x"), y.alias("y"), F.lit(side).alias("side"), "band", "node", "n", "component")
+    left = rows.withColumn("other", F.explode(F.expr("sequence(own, blocks - 1)"))).select(*pick(F.col("own"), F.col("other"), 0))
+    right = rows.where("own > 0").withColumn("other", F.explode(F.expr("sequence(0, own - 1)"))).select(*pick(F.col("other"), F.col("own"), 1))
+    by_run = lambda df: df.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    sketch = nodes.select("node", "sketch")
+    wanted = cut(by_run(left.union(right).join(sketch, "node")).select(*_ROW, "sketch").mapInArrow(_wanted, _ROW_SCHEMA))
+    sets = full_sets(wanted.select("node").distinct(), docs)
+    return cut(by_run(wanted.join(sketch, "node").join(sets, "node")).select(*_ROW, "sketch", "items").mapInArrow(_linked, "a long, b long"))
+
+
+def full_sets(ends: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, items (sorted 64-bit hashes) of the documents in ends(node).
+
+    The sets are made anew from their texts, so no set is kept or moved for any other document.  The ids are counted: up to
+    BROADCAST_IDS go to every executor, more are joined by shuffle.
+    """
+    ends = cut(ends)
+    ends = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    sets = cut(texts.join(ends, "node", "left_semi").mapInArrow(_sets, "node long, items binary").dropDuplicates(["node"]))
+    return cut(texts.join(ends, "node", "left_semi").mapInArrow(_sets, "node long, items binary").dropDuplicates(["node"]))
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) of class representatives whose full sets are as similar as asked."""
+    pairs = cut(pairs)
+    sets = full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs)
     have = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"i{x}"))
-    return cut(likely.join(have("a"), "a").join(have("b"), "b").mapInArrow(_confirm, "a long, b long"))
+    return cut(pairs.join(have("a"), "a").join(have("b"), "b").mapInArrow(_confirm, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -169,7 +282,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = cut(classes.select("k1", "k2", "n", F.col("r.doc_id").alias("node"), F.col("r.sketch").alias("sketch"), (F.col("low") < F.col("high")).alias("copied")))
     nodes = classes.select("node", "n", "sketch")
     bucket = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(substring(sketch, i * {2 * ROWS} + 1, {2 * ROWS}), i))")
-    banded = nodes.select("node", "n", F.explode(bucket).alias("bucket"))
+    banded = nodes.select("node", "n", F.posexplode(bucket).alias("band", "bucket"))
     full = banded.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     shared = cut(banded.join(full, "bucket"))
 
@@ -187,10 +300,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             first = F.struct((F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("by"), "node", "n", "component")
             hub = rest.groupBy("bucket").agg(F.min(first).alias("h")).select("bucket", F.col("h.node").alias("hub"), F.col("h.n").alias("m"), F.col("h.component").alias("hc"))
             pairs = rest.join(hub, "bucket").where((F.col("component") != F.col("hc")) & fits).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+            found = confirmed(likely(pairs.distinct(), nodes), docs)
         else:
-            other = rest.select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("oc"))
-            pairs = rest.join(other, "bucket").where((F.col("node") < F.col("other")) & (F.col("component") != F.col("oc")) & fits).select(F.col("node").alias("a"), F.col("other").alias("b"))
-        found = confirmed(pairs.distinct(), nodes, docs)
+            found = linked_inside(rest, nodes, docs)
         some = not found.isEmpty()
         links = found if links is None else links.union(found)
         if some or label is None:
