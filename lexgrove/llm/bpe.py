@@ -3,7 +3,7 @@
 Encoding: a batch's texts are cut into pieces at spaces (a cut that never changes the pattern's matches), pieces that
 this worker has not seen are matched by the pattern, and the distinct matches go to DuckDB as token-position rows.  A
 recursive query joins neighbours with the merge table, contracts each word's leftmost pair of least rank, and ends when no
-word has a pair left.  The pieces' ids are then laid out per text with one gather.  Decoding joins (text, position, id)
+word has a pair left.  Words of more than LONG bytes are contracted in the same order from a heap.  The pieces' ids are then laid out per text with one gather.  Decoding joins (text, position, id)
 rows with the vocabulary and aggregates the bytes in order of position.
 
 Defined results: null text is empty; empty text has no ids; ids outside the vocabulary are an error; any length works
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -29,6 +30,8 @@ from . import textkernel as tk
 #: Distinct pieces that a worker remembers; beyond, it starts anew (a speed matter only).
 REMEMBER = 1_500_000
 SLICE = 8 << 20
+#: Bytes of a word beyond which it is contracted from a heap: the recursion keeps a word's rows of every step, the square of its length.
+LONG = 256
 #: Whitespace beside a space: there a cut at the space could change the pattern's matches, so such a text is matched whole.
 _RUN = r"\s \s|\s \z"
 
@@ -83,6 +86,10 @@ class Vocabulary:
 
     def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """ids of each word, one after another, and where each begins."""
+        if any(len(w) > LONG for w in words):
+            rest, begin = self.words([w if len(w) <= LONG else b"" for w in words])
+            parts = [rest[a:b] if len(w) <= LONG else self.long_word(w) for w, a, b in zip(words, begin[:-1], begin[1:], strict=True)]
+            return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         parts, counts = [], []
         size = np.array([len(w) for w in words], np.int64)
         a = 0
@@ -102,6 +109,31 @@ class Vocabulary:
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
         return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
+    def long_word(self, word: bytes) -> np.ndarray:
+        """The same contractions, leftmost pair of least rank first, from a heap over a linked list."""
+        n = len(word)
+        end = list(range(1, n + 1))  # where the token that begins here ends; 0: none begins here
+        before = list(range(-1, n - 1))
+        heap = []
+
+        def offer(a: int) -> None:
+            b = end[a]
+            if b < n and (r := self.ranks.get(word[a : end[b]])) is not None:
+                heapq.heappush(heap, (r, a, b, end[b]))
+
+        for a in range(n):
+            offer(a)
+        while heap:
+            _, a, b, c = heapq.heappop(heap)
+            if end[a] == b and b < n and end[b] == c:
+                end[a], end[b] = c, 0
+                if c < n:
+                    before[c] = a
+                offer(a)
+                if before[a] >= 0:
+                    offer(before[a])
+        return np.array([self.ranks[word[a : end[a]]] for a in range(n) if end[a]], np.int32)
+
     def learn(self, new: list[str]) -> None:
         """Put the ids of new pieces beside those that are known."""
         matches, of = [], []

@@ -133,7 +133,7 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 
 
 def _task(cosine: float):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key, rows):
         out = {"a": [], "b": [], "n": []}
         for _, same in rows.groupby(rows["unit"].map(len)):  # vectors of one length
             left, right = same[same["side"] == 0], same[same["side"] == 1]
