@@ -39,7 +39,7 @@ MARGIN = 5 * math.sqrt(0.75 * 0.25 / M)
 #: Rounds against one hub a bucket at most; the last round, pair by pair, comes as soon as one of them finds nothing.
 HUB_ROUNDS = 3
 #: Members of a block of a bucket; ids that are broadcast at most.
-BLOCK, BROADCAST_IDS = 256, 2_000_000
+BLOCK, BROADCAST_IDS = 1024, 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
