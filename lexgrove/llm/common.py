@@ -21,23 +21,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
+def components(edges: DataFrame, src: str = "a", dst: str = "b", start: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable from each end of an edge.
 
     Hash-to-min with pointer jumping: a node takes the least label among itself and its neighbours, then the label of
     its label.  Labels only fall, each round is a few equi-joins on partially aggregated tables, and the number of
     rounds grows with the logarithm of the longest chain.  Nodes without an edge are not returned.
+
+    start: earlier labels of some nodes, from which to go on.  rounds: stop after so many, with labels that may not be the
+    least yet; even then nodes of one label are connected.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
     both = cut(pairs.union(pairs.select("v", "u")).distinct())
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")))
+    labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component"))
+    if start is not None:
+        known = start.select(F.col("node").alias("k"), F.col("component").alias("kc"))
+        labels = labels.join(known, labels.node == known.k, "left").select("node", F.least("component", F.coalesce("kc", "component")).alias("component"))
+    labels = cut(labels)
+    done = 0
     while True:
         near = both.join(labels, both.v == labels.node).groupBy(F.col("u").alias("n")).agg(F.min("component").alias("c"))
         step = labels.join(near, labels.node == near.n, "left").select("node", "component", F.least("component", F.coalesce("c", "component")).alias("new"))
         up = labels.select(F.col("node").alias("p"), F.col("component").alias("pc"))
         step = step.join(up, step.new == up.p, "left").select("node", "component", F.least("new", F.coalesce("pc", "new")).alias("new"))
         step = cut(step)
-        changed = step.where("new <> component").limit(1).count()
+        done += 1
         labels = step.select("node", F.col("new").alias("component"))
-        if not changed:
+        if done == rounds or not step.where("new <> component").limit(1).count():
             return labels

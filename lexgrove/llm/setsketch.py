@@ -305,9 +305,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             found = linked_inside(rest, nodes, docs)
         some = not found.isEmpty()
         links = found if links is None else links.union(found)
-        if some or label is None:
-            label = components(links)
-        if turn >= HUB_ROUNDS:
+        last = turn >= HUB_ROUNDS
+        exact = last or not some or turn + 1 == HUB_ROUNDS
+        if some or exact:
+            # labels between hub rounds only spare pairs, so one step is enough; pair by pair, and for the result, they are exact
+            label = components(links, start=label, rounds=None if exact else 1)
+        if last:
             break
         turn = turn + 1 if some else HUB_ROUNDS
 
