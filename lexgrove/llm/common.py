@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver find what nothing refers to any more, so that executors delete the shuffle files and checkpoints of steps
+    that are over. Else they stay until the driver's heap happens to fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame, src: str = "a", dst: str = "b", start: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable from each end of an edge.
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import components, cut
+from .common import components, cut, release
 
 #: Registers, rows of a band, base, rate, largest register value.
 M, ROWS, BASE, RATE, TOP = 200, 5, 1.001, 20.0, 65535
@@ -250,6 +250,7 @@ def linked_inside(rest: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFra
     by_run = lambda df: df.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     sketch = nodes.select("node", "sketch")
     wanted = cut(by_run(left.union(right).join(sketch, "node")).select(*_ROW, "sketch").mapInArrow(_wanted, _ROW_SCHEMA))
+    release(docs.sparkSession)
     sets = full_sets(wanted.select("node").distinct(), docs)
     return cut(by_run(wanted.join(sketch, "node").join(sets, "node")).select(*_ROW, "sketch", "items").mapInArrow(_linked, "a long, b long"))
 
@@ -310,6 +311,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if some or exact:
             # labels between hub rounds only spare pairs, so one step is enough; pair by pair, and for the result, they are exact
             label = components(links, start=label, rounds=None if exact else 1)
+        release(docs.sparkSession)
         if last:
             break
         turn = turn + 1 if some else HUB_ROUNDS
