@@ -7,8 +7,8 @@ register, and two registers agree with a probability close to the Jaccard simila
 a Poisson process over the registers, in ascending order, and stops once it is above every register of its set: about
 n + M ln M draws for a set of n shingles instead of n M.
 
-Search: bands of registers are hashed to buckets; in each bucket members are compared with a hub, hubs' components are
-merged, and what a bucket still holds of different components is compared pair by pair, block by block.  A pair is first judged by the
+Search: bands of registers are hashed to buckets; in each bucket members are compared with a hub, the links found are
+joined to components, and members of different components of a bucket are compared pair by pair, block by block.  A pair is first judged by the
 joint maximum-likelihood estimate of its similarity from both sketches and exact set sizes, with a margin of five
 standard errors, and then confirmed on the full sets.
 
@@ -36,8 +36,8 @@ BANDS = M // ROWS
 WIDTH, LINK_NUM, LINK_DEN = 5, 75, 100
 #: Five standard errors of the share of equal registers at the threshold.
 MARGIN = 5 * math.sqrt(0.75 * 0.25 / M)
-#: Rounds against one hub a bucket at most; the last round, pair by pair, comes as soon as one of them finds nothing.
-HUB_ROUNDS = 3
+#: Rounds against the hub of each bucket, which only spare work: 1 or 0.
+HUB_ROUNDS = 1
 #: Members of a block of a bucket; ids that are broadcast at most.
 BLOCK, BROADCAST_IDS = 1024, 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -239,30 +239,33 @@ def linked_inside(rest: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFra
     """Confirmed pairs (a, b) of different components among all members of each bucket of rest(bucket, band, node, n, component).
 
     A large bucket is cut into blocks of about BLOCK members and each pair of blocks is worked on by itself, so no task holds
-    a whole bucket.  Sketches are judged first; the full sets then go to those blocks alone that have a likely partner for
-    them, once each; only confirmed pairs become rows.
+    a whole bucket.  The largest component of a large bucket has blocks of its own, which meet the others' blocks but not each other: where a hub
+    has gathered most of a bucket, the work grows with the bucket, not with its square.  Sketches are judged first; the full sets then go to those
+    blocks alone that have a likely partner for them, once each; only confirmed pairs become rows.
     """
-    size = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = rest.join(size, "bucket").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    parts = rest.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    size = parts.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda x, small: F.expr(f"if(c <= {BLOCK}, {small}, ceil({x} / {BLOCK}))").cast("int")
+    size = size.select("bucket", F.col("top.component").alias("main"), blocks("top.c", 0).alias("m"), blocks("(c - top.c)", 1).alias("o"))
+    rows = rest.join(size, "bucket").withColumn("own", F.expr("if(component = main and m > 0, pmod(xxhash64(node, 3), m), m + pmod(xxhash64(node, 3), o))").cast("int"))
     pick = lambda x, y, side: ("bucket", x.alias("x"), y.alias("y"), F.lit(side).alias("side"), "band", "node", "n", "component")
-    left = rows.withColumn("other", F.explode(F.expr("sequence(own, blocks - 1)"))).select(*pick(F.col("own"), F.col("other"), 0))
-    right = rows.where("own > 0").withColumn("other", F.explode(F.expr("sequence(0, own - 1)"))).select(*pick(F.col("other"), F.col("own"), 1))
+    left = rows.withColumn("other", F.explode(F.expr("sequence(greatest(own, m), m + o - 1)"))).select(*pick(F.col("own"), F.col("other"), 0))
+    right = rows.where("own > 0 and own >= m").withColumn("other", F.explode(F.expr("sequence(0, own - 1)"))).select(*pick(F.col("other"), F.col("own"), 1))
     by_run = lambda df: df.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     sketch = nodes.select("node", "sketch")
     wanted = cut(by_run(left.union(right).join(sketch, "node")).select(*_ROW, "sketch").mapInArrow(_wanted, _ROW_SCHEMA))
     release(docs.sparkSession)
-    sets = full_sets(wanted.select("node").distinct(), docs)
+    sets = full_sets(wanted.select("node"), docs)
     return cut(by_run(wanted.join(sketch, "node").join(sets, "node")).select(*_ROW, "sketch", "items").mapInArrow(_linked, "a long, b long"))
 
 
 def full_sets(ends: DataFrame, docs: DataFrame) -> DataFrame:
     """node, items (sorted 64-bit hashes) of the documents in ends(node).
 
-    The sets are made anew from their texts, so no set is kept or moved for any other document.  The ids are counted: up to
-    BROADCAST_IDS go to every executor, more are joined by shuffle.
+    The sets are made anew from their texts, so no set is kept or moved for any other document.  The ids, which may repeat, are counted: up
+    to BROADCAST_IDS go to every executor, more are joined by shuffle.
     """
-    ends = cut(ends)
-    ends = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends
+    ends = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends.distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     return cut(texts.join(ends, "node", "left_semi").mapInArrow(_sets, "node long, items binary").dropDuplicates(["node"]))
 
@@ -270,7 +273,7 @@ def full_sets(ends: DataFrame, docs: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of pairs (a, b) of class representatives whose full sets are as similar as asked."""
     pairs = cut(pairs)
-    sets = full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs)
+    sets = full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs)
     have = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"i{x}"))
     return cut(pairs.join(have("a"), "a").join(have("b"), "b").mapInArrow(_confirm, "a long, b long"))
 
@@ -287,34 +290,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = banded.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     shared = cut(banded.join(full, "bucket"))
 
-    links, label, turn = None, None, 0
-    while True:
-        if label is None:
-            rest = shared.withColumn("component", F.col("node"))
-        else:
-            named = shared.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-            rest = cut(named.join(mixed, "bucket"))
-        fits = F.col("n") * LINK_DEN >= F.col("m") * LINK_NUM
-        fits = fits & (F.col("m") * LINK_DEN >= F.col("n") * LINK_NUM)
-        if turn < HUB_ROUNDS:
-            first = F.struct((F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("by"), "node", "n", "component")
-            hub = rest.groupBy("bucket").agg(F.min(first).alias("h")).select("bucket", F.col("h.node").alias("hub"), F.col("h.n").alias("m"), F.col("h.component").alias("hc"))
-            pairs = rest.join(hub, "bucket").where((F.col("component") != F.col("hc")) & fits).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-            found = confirmed(likely(pairs.distinct(), nodes), docs)
-        else:
-            found = linked_inside(rest, nodes, docs)
-        some = not found.isEmpty()
-        links = found if links is None else links.union(found)
-        last = turn >= HUB_ROUNDS
-        exact = last or not some or turn + 1 == HUB_ROUNDS
-        if some or exact:
-            # labels between hub rounds only spare pairs, so one step is enough; pair by pair, and for the result, they are exact
-            label = components(links, start=label, rounds=None if exact else 1)
-        release(docs.sparkSession)
-        if last:
-            break
-        turn = turn + 1 if some else HUB_ROUNDS
+    hub = shared.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("h")).select("bucket", F.col("h.node").alias("a"), F.col("h.n").alias("m"))
+    fits = (F.col("n") * LINK_DEN >= F.col("m") * LINK_NUM) & (F.col("m") * LINK_DEN >= F.col("n") * LINK_NUM)
+    pairs = shared.join(hub, "bucket").where((F.col("node") != F.col("a")) & fits).select("a", F.col("node").alias("b"))
+    links = confirmed(likely((pairs if HUB_ROUNDS else pairs.where("false")).distinct(), nodes), docs)
+    # these labels only spare pairs, so a few steps are enough
+    label = components(links, rounds=2)
+    release(docs.sparkSession)
+    rest = cut(shared.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    links = links.union(linked_inside(rest, nodes, docs))
+    label = components(links, start=label)
 
     named = classes.join(label, "node", "left").select("k1", "k2", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"), "copied", "node")
     moved = named.where(F.col("copied") | (F.col("component_id") != F.col("node"))).select("k1", "k2", "n_shingles", F.col("component_id").alias("to"))

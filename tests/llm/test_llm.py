@@ -105,6 +105,23 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+def test_large_component_and_strays_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(setsketch, "BLOCK", 8)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    t = []
+    for i in range(90):
+        c = list(base)
+        for k in range(rng.choice([0, 1, 2, 3, 4, 5, 6])):
+            c[rng.randrange(120)] = f"z{i}_{k}"
+        t.append(" ".join(c))
+    sets = [shingles(x) for x in t]
+    want = roots(len(t), [(a, b) for a, b in combinations(range(len(t)), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    got = setsketch.near_duplicates(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want))
+    assert 1 < len(set(want)) < len(t)
+
+
 def vectors():
     rng = np.random.default_rng(1)
     out = []
