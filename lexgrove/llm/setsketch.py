@@ -97,7 +97,7 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray)
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in tk.slices(whole, "text", 4 << 20):
+        for batch in tk.slices(whole, "text", tk.KERNEL_BYTES):
             value, begin = tk.shingle_sets(tk.plain(batch.column("text")), WIDTH)
             n = np.diff(begin)
             total = lambda x: np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)])
@@ -116,7 +116,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in tk.slices(whole, "text", 4 << 20):
+        for batch in tk.slices(whole, "text", tk.KERNEL_BYTES):
             value, begin = tk.shingle_sets(tk.plain(batch.column("text")), WIDTH)
             yield pa.RecordBatch.from_arrays([batch.column("node"), tk.binaries(value, begin)], names=["node", "items"])
 

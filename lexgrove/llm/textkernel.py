@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that a kernel takes at once (one longer text is taken alone).
-SLICE_BYTES = 8 << 20
+#: Bytes of text that are taken at once (one longer text is taken alone): in general, and by kernels whose arrays take about fifty bytes
+#: for each byte of text.
+SLICE_BYTES, KERNEL_BYTES = 8 << 20, 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)

@@ -100,7 +100,7 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in tk.slices(whole, "text", 4 << 20):
+        for batch in tk.slices(whole, "text", tk.KERNEL_BYTES):
             s = statistics(tk.plain(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(s[k], pa.int64()) for k in NAMES)], names=["doc_id", *NAMES])
 
@@ -117,7 +117,7 @@ def keeping(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in tk.slices(whole, "text", 4 << 20):
+            for batch in tk.slices(whole, "text", tk.KERNEL_BYTES):
                 s = statistics(tk.plain(batch.column("text")))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(fields))), *(pa.array(s[k], pa.int64()) for k in NAMES)], names=[*fields, *NAMES])
 
