@@ -40,6 +40,8 @@ MARGIN = 5 * math.sqrt(0.75 * 0.25 / M)
 HUB_ROUNDS = 1
 #: Members of a block of a bucket; ids that are broadcast at most.
 BLOCK, BROADCAST_IDS = 1024, 2_000_000
+#: Pairs whose sketches are judged at once; memory of a task, not a limit.
+AT_ONCE = 4_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -201,17 +203,19 @@ def _pairs_inside(t: pa.Table, spans: list[tuple[int, int]]) -> Iterator[tuple[n
     for a, b in spans:
         if b - a < 2:
             continue
-        if x[a] == y[a]:
-            i, j = np.triu_indices(b - a, 1)
-        else:
-            i, j = (v.reshape(-1) for v in np.meshgrid(np.flatnonzero(side[a:b] == 0), np.flatnonzero(side[a:b] == 1), indexing="ij"))
-        i, j = i + a, j + a
-        fits = (part[i] != part[j]) & (n[i] * LINK_DEN >= n[j] * LINK_NUM) & (n[j] * LINK_DEN >= n[i] * LINK_NUM)
-        i, j = i[fits], j[fits]
-        for at in range(0, len(i), 20_000):
-            waiting.append((i[at : at + 20_000], j[at : at + 20_000]))
-            if sum(len(v) for v, _ in waiting) >= 20_000:
-                yield judge()
+        same = x[a] == y[a]
+        left, right = (np.arange(a, b), np.arange(a, b)) if same else (np.flatnonzero(side[a:b] == 0) + a, np.flatnonzero(side[a:b] == 1) + a)
+        strip = max(1, 64 * AT_ONCE // max(1, len(right)))
+        for begin in range(0, len(left), strip):
+            i, j = (v.reshape(-1) for v in np.meshgrid(left[begin : begin + strip], right, indexing="ij"))
+            fits = (part[i] != part[j]) & (n[i] * LINK_DEN >= n[j] * LINK_NUM) & (n[j] * LINK_DEN >= n[i] * LINK_NUM)
+            if same:
+                fits &= i < j
+            i, j = i[fits], j[fits]
+            for at in range(0, len(i), AT_ONCE):
+                waiting.append((i[at : at + AT_ONCE], j[at : at + AT_ONCE]))
+                if sum(len(v) for v, _ in waiting) >= AT_ONCE:
+                    yield judge()
     if waiting:
         yield judge()
 
