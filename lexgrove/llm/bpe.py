@@ -33,7 +33,9 @@ SLICE = 8 << 20
 #: Bytes of a word beyond which it is contracted from a heap: the recursion keeps a word's rows of every step, the square of its length.
 LONG = 256
 #: Whitespace beside a space: there a cut at the space could change the pattern's matches, so such a text is matched whole.
-_RUN = r"\s \s|\s \z"
+#: Arrow's \s is ASCII without \x0b, the pattern's is Unicode, so the characters are listed.
+_WHITE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_RUN = rf"{_WHITE} {_WHITE}|{_WHITE} \z"
 
 #: A contracted word has rows of each step; those of its last step count. k = rank, bytes left of the cut, position.
 _SQL = """
