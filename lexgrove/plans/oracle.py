@@ -112,6 +112,16 @@ hit_a as (select qid, min(rank) articolo from named semi join norms using (qid,
 ranks as materialized (select qid, esatto, articolo from (select distinct qid from qrels) left join hit_e using (qid) left join hit_a using (qid)),
 metrics as (select target, count(*) n, round(avg((r is not null and r = 1)::int), 6) p1, round(avg((r is not null and r <= 3)::int), 6) p3, round(avg(coalesce(1.0::double / r, 0)), 6) mrr
   from (select 'esatto' target, esatto r from ranks union all select 'articolo', articolo from ranks) group by target)"""
+#: Article targets from whole documents (FIXTURES, 4), with questions judged by each target that they have.
+ARTICLE_TARGETS = "article_targets as materialized (select b.item_id qid, case when d.source in ('src0','src1','src2','src3','src4','src5') then 'considerando' else 'articolo' end tipo, d.doc_id n from benchmark b join documents d on contains(d.text, b.text))"
+JUDGED_WHOLE = "judged as materialized (select * from questions semi join article_targets using (qid))"
+METRICS_WHOLE = """named as (select t.qid, t.rank, p.id, p.tipo, p.n from top t join passages p using (pos)),
+hit_e as (select qid, min(rank) r from named semi join qrels using (qid, id) group by qid),
+hit_a as (select qid, min(rank) r from named semi join article_targets using (qid, tipo, n) group by qid),
+targets as materialized (
+  select qid, 'esatto' target, r from (select distinct qid from qrels) left join hit_e using (qid)
+  union all select qid, 'articolo', r from (select distinct qid from article_targets) left join hit_a using (qid)),
+metrics as (select target, count(*) n, round(avg((r is not null and r = 1)::int), 6) p1, round(avg((r is not null and r <= 3)::int), 6) p3, round(avg(coalesce(1.0::double / r, 0)), 6) mrr from targets group by target)"""
 DEFINED = "defined as (select doc_id, string_agg(i || ') \"' || substr(l[i], 1, 30) || '\": ' || l[i] || '; ', '' order by i) t from (select doc_id, list_transform(string_split(text, chr(10)), lambda x: replace(x, '\"', '')) l from documents), unnest(range(1, least(len(l), 99) + 1)) u(i) where length(l[i]) >= 2 group by doc_id)"
 MARKED = "string_split(regexp_replace(t, '" + DEFINITION.replace("'", "''") + "', chr(1) || '\\1' || chr(2) || '\\2' || chr(3), 'g'), chr(1))"
 DEFINITION_ROWS = f"""select doc_id, split_part(p, chr(2), 1)::int num, trim(split_part(split_part(p, chr(2), 2), chr(3), 1)) termine, trim(split_part(split_part(p, chr(2), 2), chr(3), 2), ' ;') corpo

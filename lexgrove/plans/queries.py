@@ -323,6 +323,42 @@ def threshold_gate(spark, sf_dir):
     return evaluate.gate(spark, evaluate.metrics(_evaluated(spark, sf_dir)[2]))
 
 
+def _article_targets(spark, sf_dir):
+    """qid, tipo, n: the documents that hold a benchmark text anywhere, over line breaks and in the first line too."""
+    tipo = F.when(F.col("source").isin(*P.RECITAL_SOURCES), "considerando").otherwise("articolo")
+    return _t(spark, sf_dir, "documents").withColumnRenamed("text", "whole").join(F.broadcast(_t(spark, sf_dir, "benchmark")), F.contains("whole", F.col("text"))).select(F.col("item_id").alias("qid"), tipo.alias("tipo"), F.col("doc_id").alias("n"))
+
+
+def _targets(spark, sf_dir):
+    norms = _article_targets(spark, sf_dir)
+    asked = _questions(spark, sf_dir).join(norms.select("qid").distinct(), "qid", "left_semi")
+    results = search.search(asked, _index(spark, sf_dir), replace(search.DEFAULTS, limit=evaluate.DEPTH))
+    return evaluate.target_ranks(results, _qrels(spark, sf_dir), norms)
+
+
+_WHOLE = (O.PASSAGES, O.QUESTIONS, O.QRELS, O.ARTICLE_TARGETS, O.JUDGED_WHOLE, O.POSTINGS, O.terms("judged"), O.scores(), O.EXACT, O.ranked(10), O.METRICS_WHOLE)
+
+
+@query(O.sql(O.ARTICLE_TARGETS, select="select qid, tipo, n from article_targets"))
+def qrels_article_whole(spark, sf_dir):
+    return _article_targets(spark, sf_dir)
+
+
+@query(O.sql(*_WHOLE, select="select qid, target, r::int r from targets"))
+def match_whole(spark, sf_dir):
+    return _targets(spark, sf_dir)
+
+
+@query(O.sql(*_WHOLE, select="select target, n, p1, p3, mrr from metrics"))
+def eval_metrics_whole(spark, sf_dir):
+    return evaluate.target_metrics(_targets(spark, sf_dir))
+
+
+@query(O.sql(*_WHOLE, "floors(target, metric, floor) as (values " + ", ".join(f"('{t}', '{m}', {v}::double)" for t, m, v in evaluate.FLOORS) + ")", "long as (select target, 'p1' metric, p1 value from metrics union all select target, 'p3', p3 from metrics)", select="select target, metric, floor, value, coalesce(value >= floor, false) ok from floors left join long using (target, metric)"))
+def threshold_gate_whole(spark, sf_dir):
+    return evaluate.gate(spark, evaluate.target_metrics(_targets(spark, sf_dir)))
+
+
 @query(O.sql(O.PASSAGES, select="select count(*) passages, count(*) texts, 0::bigint unmatched from passages"))
 def index_text_alignment(spark, sf_dir):
     return evaluate.alignment(_index(spark, sf_dir))

@@ -5,6 +5,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from lexgrove.operators import evaluate, index, search
+from lexgrove.plans import queries
 from lexgrove.sources import passages as P
 from lexgrove.streaming.questions import answer
 
@@ -81,3 +82,16 @@ def test_empty(spark):
     ix = index.build(P.from_documents(docs))
     assert search.search(spark.createDataFrame([(1, "dati")], "qid int, d string"), ix).count() == 0
     assert ix.stats.select(F.col("n")).first().n == 0
+
+
+def test_article_targets_come_from_whole_documents(spark, tmp_path):
+    """A benchmark text over a line break, and one in a recital's first line, have article targets and are judged."""
+    docs = [(1, "rubrica uno\nprima riga del testo\nseconda riga", "src9"), (2, "prima riga di un considerando\naltra riga", "src0"), (3, "rubrica tre\nuna frase intera qui", "src9")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(1, "del testo\nseconda"), (2, "riga di un considerando"), (3, "frase intera"), (4, "assente")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r.qid for r in queries.qrels(spark, str(tmp_path)).collect()] == [3]
+    found = {(r.qid, r.tipo, r.n) for r in queries.qrels_article_whole(spark, str(tmp_path)).collect()}
+    assert found == {(1, "articolo", 1), (2, "considerando", 2), (3, "articolo", 3)}
+    n = {r.target: r.n for r in queries.eval_metrics_whole(spark, str(tmp_path)).collect()}
+    assert n == {"articolo": 3, "esatto": 1}
