@@ -126,6 +126,12 @@ DEFINED = "defined as (select doc_id, string_agg(i || ') \"' || substr(l[i], 1,
 MARKED = "string_split(regexp_replace(t, '" + DEFINITION.replace("'", "''") + "', chr(1) || '\\1' || chr(2) || '\\2' || chr(3), 'g'), chr(1))"
 DEFINITION_ROWS = f"""select doc_id, split_part(p, chr(2), 1)::int num, trim(split_part(split_part(p, chr(2), 2), chr(3), 1)) termine, trim(split_part(split_part(p, chr(2), 2), chr(3), 2), ' ;') corpo
 from (select doc_id, unnest(m[2:]) p from (select doc_id, {MARKED} m from defined) where len(m) > {DEFINITIONS}) where trim(split_part(split_part(p, chr(2), 2), chr(3), 2), ' ;') <> ''"""
+#: The same lists over all lines: a document's lines go in even lists of 99 at most, so that every marker has two digits.
+DEFINED_WHOLE = """kept as (select doc_id, list(i order by i) ix, list(x order by i) xs from (select doc_id, unnest(range(1, len(l) + 1)) i, unnest(l) x from (select doc_id, list_transform(string_split(text, chr(10)), lambda x: replace(x, '"', '')) l from documents)) where length(x) >= 2 group by doc_id),
+defined as (select doc_id, ix[a + 1:b] ix, array_to_string(list_transform(xs[a + 1:b], lambda x, i: i || ') "' || substr(x, 1, 30) || '": ' || x || '; '), '') t
+  from (select doc_id, ix, xs, k * len(ix) // g a, (k + 1) * len(ix) // g b from (select *, (len(ix) + 98) // 99 g from kept), unnest(range(g)) u(k)))"""
+DEFINITION_ROWS_WHOLE = f"""select doc_id, ix[split_part(p, chr(2), 1)::int]::int num, trim(split_part(split_part(p, chr(2), 2), chr(3), 1)) termine, trim(split_part(split_part(p, chr(2), 2), chr(3), 2), ' ;') corpo
+from (select doc_id, ix, unnest(m[2:]) p from (select doc_id, ix, {MARKED} m from defined) where len(m) > {DEFINITIONS}) where trim(split_part(split_part(p, chr(2), 2), chr(3), 2), ' ;') <> ''"""
 NODES = "nodes as (select doc_id doc, i ord, case length(l[i]) % 7 when 0 then 'capo' when 1 then 'sezione' when 2 then 'subtitle' else 'art' end kind, substr(l[i], 1, 12) title from (select doc_id, string_split(text, chr(10)) l from documents), unnest(range(1, len(l) + 1)) u(i))"
 
 

@@ -225,6 +225,20 @@ def definition_split(spark, sf_dir):
     return P.split_definitions(listed).select("doc_id", "num", "termine", "corpo")
 
 
+@query(O.sql(O.DEFINED_WHOLE, select=O.DEFINITION_ROWS_WHOLE))
+def definition_split_whole(spark, sf_dir):
+    """definition_split over all lines: even lists of 99 lines at most, each split on its own; num is the line."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("i"), F.replace(x, F.lit('"'), F.lit("")).alias("x")))
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.filter(lines, lambda s: F.length(s["x"]) >= 2).alias("kept")).where(F.size("kept") > 0)
+    rows = rows.select("doc_id", "kept", F.size("kept").alias("n"), F.ceil(F.size("kept") / 99).cast("int").alias("g"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("k"))
+    begin = lambda k: F.floor(k * F.col("n") / F.col("g")).cast("int")
+    rows = rows.select("doc_id", F.slice("kept", begin(F.col("k")) + 1, begin(F.col("k") + 1) - begin(F.col("k"))).alias("part"))
+    piece = lambda s, i: F.concat((i + 1).cast("string"), F.lit(') "'), F.substring(s["x"], 1, 30), F.lit('": '), s["x"], F.lit("; "))
+    found = P.split_definitions(rows.select("doc_id", "part", F.array_join(F.transform("part", piece), "").alias("testo")))
+    return found.select("doc_id", F.element_at("part", F.col("num"))["i"].alias("num"), "termine", "corpo")
+
+
 @query(O.sql(O.NODES, "c as (select *, sum((kind = 'capo')::int) over (partition by doc order by ord) c from nodes)", "s as (select *, sum((kind = 'sezione')::int) over (partition by doc, c order by ord) s from c)", "f as (select *, case when c > 0 then nullif(string_agg(case when s = 0 and kind in ('capo', 'subtitle') then title end, ' — ') over (partition by doc, c order by ord), '') end capo, case when s > 0 then nullif(string_agg(case when kind in ('sezione', 'subtitle') then title end, ' — ') over (partition by doc, c, s order by ord), '') end sezione from s)", select="select doc, ord::int ord, capo, sezione from f where kind = 'art'"))
 def chapter_forward_fill(spark, sf_dir):
     rows = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("ord", "line"))

@@ -95,3 +95,12 @@ def test_article_targets_come_from_whole_documents(spark, tmp_path):
     assert found == {(1, "articolo", 1), (2, "considerando", 2), (3, "articolo", 3)}
     n = {r.target: r.n for r in queries.eval_metrics_whole(spark, str(tmp_path)).collect()}
     assert n == {"articolo": 3, "esatto": 1}
+
+
+def test_definitions_of_all_lines(spark, tmp_path):
+    """Lines beyond the 99th give definitions, also where fewer than three are left."""
+    docs = [(n, "\n".join(f"voce numero {i}" for i in range(1, n + 1)), "src9") for n in (3, 99, 101, 250)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.definition_split_whole(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.num, r.termine, r.corpo) for r in rows) == [(n, i, f"voce numero {i}", f"voce numero {i}") for n in (3, 99, 101, 250) for i in range(1, n + 1)]
+    assert queries.definition_split(spark, str(tmp_path)).where("doc_id = 250").count() == 99
