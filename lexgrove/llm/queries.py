@@ -106,14 +106,20 @@ from embeddings e left join n on n.a = e.vec_id left join least on least.a = e.v
 """
 _OP8 = f"""
 with entry(key, category, action, since) as (values {_VALUES}),
-change as (select key, category, action, since::date since, lead(since::date) over (partition by key order by since, action desc) until from entry),
-cap as (select page_id, url, date '{_FIRST_DAY}' + (page_id % 366)::int fetched,
-  nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') host,
-  '/' || array_to_string(list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> ''), '/') || '/' path from pages),
-hit as (select page_id, category, key, row_number() over (partition by page_id order by length(key) desc) k
-  from cap join change on action = 'add' and fetched >= since and (until is null or fetched < until)
-   and ((not contains(key, '/') and (host = key or ends_with(host, '.' || key))) or (contains(key, '/') and starts_with(host || lower(path), key || '/'))))
-select cap.page_id, host, fetched::varchar fetched, hit.key is not null blocked, category, key matched from cap left join hit on hit.page_id = cap.page_id and k = 1
+listed as (
+  select distinct e.key, e.category, e.since::date since, (
+    select min(x.since::date) from entry x where x.key = e.key and x.category = e.category and x.action = 'remove' and x.since > e.since) until
+  from entry e where e.action = 'add'),
+cap as (select page_id, url, date '{_FIRST_DAY}' + (page_id % 366)::int fetched, string_split(regexp_extract(url, '^[^/?#]*://([^?#]*)', 1), '/') part,
+  regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://') fit from pages),
+named as (select page_id, url, fetched, case when fit then nullif(rtrim(lower(regexp_extract(regexp_extract(part[1], '([^@]*)$', 1), '^(\\[[^\\]]*\\]|[^:\\[\\]]+)', 1)), '.'), '') end host,
+  list_filter(part[2:], lambda x: x <> '') steps from cap),
+hit as (select page_id, fetched, url, category, key, row_number() over (partition by page_id, url, fetched order by length(key) desc, key, category) k
+  from (select distinct page_id, url, fetched, host, steps from named) join listed on fetched >= since and (until is null or fetched < until)
+  and (host = key or (ends_with(host, '.' || key) and not regexp_matches(host, '^(\\[.*|[0-9]+(\\.[0-9]+){{3}})$'))
+    or (contains(key, '/') and host = split_part(key, '/', 1) and lower(array_to_string(steps[:len(string_split(key, '/')) - 1], '/')) = substr(key, length(split_part(key, '/', 1)) + 2))))
+select n.page_id, n.host, n.fetched::varchar fetched, h.key is not null blocked, h.category, h.key matched
+from named n left join hit h on h.page_id = n.page_id and h.url is not distinct from n.url and h.fetched = n.fetched and h.k = 1
 """
 _OP1 = r"""
 with recursive word as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents where text is not null),
