@@ -1,13 +1,16 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries, one database for each Python worker.
 
 Encoding: a batch's texts are cut into pieces at spaces (a cut that never changes the pattern's matches), pieces that
-this worker has not seen are matched by the pattern, and the distinct matches go to DuckDB as token-position rows.  A
+this worker has not seen are matched by the pattern, and words that it has not seen go to DuckDB as token-position rows.  A
 recursive query joins neighbours with the merge table, contracts each word's leftmost pair of least rank, and ends when no
-word has a pair left.  Words of more than LONG bytes are contracted in the same order from a heap.  The pieces' ids are then laid out per text with one gather.  Decoding joins (text, position, id)
+word has a pair left.  Its rows are keyed by (word, position), so a word takes memory in proportion to its bytes, whatever
+the number of steps; and a step contracts, from the left, all pairs of the least rank at once where that cannot change what
+comes after (see _SQL).  The pieces' ids are then laid out per text with one gather.  Decoding joins (text, position, id)
 rows with the vocabulary and aggregates the bytes in order of position.
 
 Defined results: null text is empty; empty text has no ids; ids outside the vocabulary are an error; any length works
-(a batch is worked on in slices of a few MB; one longer text is taken alone).  Order of rows does not matter, and
+(a batch is worked on in slices of a few MB; one longer text is taken alone, one long word too, and a database beyond its
+memory spills to the worker's own folder for temporary files).  Order of rows does not matter, and
 repeated rows give repeated results.  Columns named ids, tokens or decoded in the input are not looked at.
 """
 
@@ -15,7 +18,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+import os
+import tempfile
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -27,28 +31,34 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 
-#: Distinct pieces that a worker remembers; beyond, it starts anew (a speed matter only).
-REMEMBER = 1_500_000
-SLICE = 8 << 20
-#: Bytes of a word beyond which it is contracted from a heap: the recursion keeps a word's rows of every step, the square of its length.
-LONG = 256
+#: Bytes of text worked on at once; bytes of words in one query; bytes of pieces and of words that a worker remembers.
+SLICE, WORDS, REMEMBER = 4 << 20, 400_000, 16 << 20
+#: The database's memory; beyond, it spills.
+DATABASE = "300MB"
 #: Whitespace beside a space: there a cut at the space could change the pattern's matches, so such a text is matched whole.
 #: Arrow's \s is ASCII without \x0b, the pattern's is Unicode, so the characters are listed.
 _WHITE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _RUN = rf"{_WHITE} {_WHITE}|{_WHITE} \z"
 
-#: A contracted word has rows of each step; those of its last step count. k = rank, bytes left of the cut, position.
+#: A row is a token of a word; id -1: it is part of the one before. k: rank * 2**40, p below. A step works on words that
+#: the step before has changed. Of pairs of least rank that overlap (x x x), every second one from the left counts. Contracting one pair could
+#: make a pair of still lower rank only if its token is part of a token of lower rank (alone); then only the leftmost is contracted.
 _SQL = """
-with recursive t(w, p, id, step) as (
-  select w, p, id, 0 from chars
-  union all
-  (with pair as materialized (select w, p, id, lead(id) over (partition by w order by p) nx from t),
-        best as materialized (select pair.w, min(m.k + pair.p) k from pair join merges m on m.pair = pair.id::bigint * 1048576 + pair.nx group by pair.w)
-   select t.w, t.p, case when t.p = best.k % 1048576 then (best.k // 1099511627776)::int else t.id end, t.step + 1
-   from t join best on t.w = best.w
-   where t.p <> best.k % 1048576 + (best.k // 1048576) % 1048576)
+with recursive t(w, p, id) using key (w, p) as (
+  select w, p, id from chars
+  union
+  (with live as (
+     select r.w, r.p, r.id, lead(r.id) over ws nx, lead(r.p) over ws np, row_number() over ws o
+     from recurring.t r where r.id >= 0 and r.w in (select x.w from t x) window ws as (partition by r.w order by r.p)),
+   pair as materialized (select w, p, np, o, m.k, m.alone from live join merges m on m.pair = live.id::bigint * 1048576 + live.nx),
+   least as (select w, min(k + p) kp from pair group by w),
+   hit as (
+     select pair.w, p, np, o, (kp // 1099511627776)::int r, o - row_number() over (partition by pair.w order by o) run
+     from pair join least on pair.w = least.w and k // 1099511627776 = kp // 1099511627776 where not alone or p = kp % 1099511627776),
+   chosen as (select w, p, np, r from hit qualify row_number() over (partition by w, run order by o) % 2 = 1)
+   select w, unnest([p, np]) p, unnest([r, -1]) id from chosen)
 )
-select w, id from t semi join (select w, max(step) step from t group by w) using (w, step) order by w, p
+select w, id from t where id >= 0 order by w, p
 """
 
 
@@ -63,7 +73,7 @@ class Vocabulary:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.pattern = regex.compile(pattern)
         self.byte = np.zeros(256, np.int32)
-        left, right, rank, size = [], [], [], []
+        left, right, rank = [], [], []
         for token, r in self.ranks.items():
             if len(token) == 1:
                 self.byte[token[0]] = r
@@ -73,101 +83,52 @@ class Vocabulary:
                     left.append(a)
                     right.append(b)
                     rank.append(r)
-                    size.append(cut)
-        left, right, rank, size = (np.array(x, np.int64) for x in (left, right, rank, size))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
-        self.db.register("merges_", pa.table({"pair": left << 20 | right, "k": rank << 40 | size << 20}))
+        left, right, rank = (np.array(x, np.int64) for x in (left, right, rank))
+        part_of_less = np.concatenate([left[left > rank], right[right > rank]])
+        spill = os.path.join(tempfile.gettempdir(), f"lexgrove-bpe-{os.getpid()}")
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": DATABASE, "temp_directory": spill})
+        self.db.register("merges_", pa.table({"pair": left << 20 | right, "k": rank << 40, "alone": np.isin(rank, part_of_less)}))
         self.db.execute("create table merges as select * from merges_")
         self.db.register("vocab_", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [k.hex() for k in self.ranks]}))
         self.db.execute("create table vocab as select * from vocab_")
-        self.forget()
-
-    def forget(self) -> None:
-        self.pieces = pa.array([], pa.string())
-        self.begin, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.seen_words = tk.Memory(lambda x: self.words([w.encode() for w in x.to_pylist()]), REMEMBER)
+        self.seen_pieces = tk.Memory(self.matched, REMEMBER)
 
     def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """ids of each word, one after another, and where each begins."""
-        if any(len(w) > LONG for w in words):
-            rest, begin = self.words([w if len(w) <= LONG else b"" for w in words])
-            parts = [rest[a:b] if len(w) <= LONG else self.long_word(w) for w, a, b in zip(words, begin[:-1], begin[1:], strict=True)]
-            return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-        parts, counts = [], []
-        size = np.array([len(w) for w in words], np.int64)
-        a = 0
+        """ids of each word, one after another, and where each begins. A word that is a token is that token, whatever its merges."""
+        whole = np.fromiter((self.ranks.get(w, -1) for w in words), np.int64, len(words))
+        size = np.where(whole < 0, np.fromiter(map(len, words), np.int64, len(words)), 0)
         total = np.cumsum(size)
+        parts, count = [], (whole >= 0).astype(np.int64)
+        a = 0
         while a < len(words):
-            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + 400_000, side="right")))
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + WORDS, side="right")))
             n = size[a:b]
-            w = np.repeat(np.arange(b - a), n)
-            data = np.frombuffer(b"".join(words[a:b]), np.uint8)
-            chars = pa.table({"w": w.astype(np.int32), "p": (np.arange(len(data)) - np.repeat(np.cumsum(n) - n, n)), "id": self.byte[data]})
-            self.db.register("chars", chars)
-            got = self.db.execute(_SQL).to_arrow_table()
-            counts.append(np.bincount(got["w"].to_numpy(), minlength=b - a))
-            parts.append(got["id"].to_numpy())
+            data = np.frombuffer(b"".join(w for w, k in zip(words[a:b], n, strict=True) if k), np.uint8)
+            if len(data):
+                chars = {"w": np.repeat(np.arange(a, b), n).astype(np.int32), "p": np.arange(len(data)) - np.repeat(np.cumsum(n) - n, n), "id": self.byte[data]}
+                self.db.register("chars", pa.table(chars))
+                got = self.db.sql(_SQL).to_arrow_table()
+                parts.append(got["id"].to_numpy())
+                count[a:b] += np.bincount(got["w"].to_numpy() - a, minlength=b - a)
             a = b
-        if not words:
-            return np.zeros(0, np.int32), np.zeros(1, np.int64)
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-
-    def long_word(self, word: bytes) -> np.ndarray:
-        """The same contractions, leftmost pair of least rank first, from a heap over a linked list."""
-        n = len(word)
-        end = list(range(1, n + 1))  # where the token that begins here ends; 0: none begins here
-        before = list(range(-1, n - 1))
-        heap = []
-
-        def offer(a: int) -> None:
-            b = end[a]
-            if b < n and (r := self.ranks.get(word[a : end[b]])) is not None:
-                heapq.heappush(heap, (r, a, b, end[b]))
-
-        for a in range(n):
-            offer(a)
-        while heap:
-            _, a, b, c = heapq.heappop(heap)
-            if end[a] == b and b < n and end[b] == c:
-                end[a], end[b] = c, 0
-                if c < n:
-                    before[c] = a
-                offer(a)
-                if before[a] >= 0:
-                    offer(before[a])
-        return np.array([self.ranks[word[a : end[a]]] for a in range(n) if end[a]], np.int32)
-
-    def learn(self, new: list[str]) -> None:
-        """Put the ids of new pieces beside those that are known."""
-        matches, of = [], []
-        for piece in new:
-            found = self.pattern.findall(piece)
-            matches += found
-            of.append(len(found))
-        distinct = pa.array(matches, pa.string()).dictionary_encode()
-        ids, begin = self.words([x.encode() for x in distinct.dictionary.to_pylist()])
-        code = distinct.indices.to_numpy()
-        flat, size = gather(ids, begin, code)
-        ends = np.concatenate([[0], np.cumsum(size)])
-        ends = ends[np.concatenate([[0], np.cumsum(of)]).astype(np.int64)]
-        self.begin = np.concatenate([self.begin, self.begin[-1] + ends[1:]])
-        self.ids = np.concatenate([self.ids, flat])
-        self.pieces = pa.concat_arrays([self.pieces, pa.array(new, pa.string())])
+        begin = np.concatenate([[0], np.cumsum(count)])
+        ids = np.empty(int(begin[-1]), np.int32)
+        alone = np.zeros(len(ids), bool)
+        alone[begin[:-1][whole >= 0]] = True
+        ids[alone] = whole[whole >= 0]
+        ids[~alone] = np.concatenate(parts) if parts else []
+        return ids, begin
+
+    def matched(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of each piece, match by match."""
+        found = [self.pattern.findall(x) for x in pieces.to_pylist()]
+        of = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
+        return self.seen_words.rows(pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), pa.array([w for x in found for w in x], pa.string())))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, one after another, and where each text begins."""
-        lists = cut_pieces(texts, self.pattern)
-        coded = lists.values.dictionary_encode()
-        distinct = coded.dictionary.cast(pa.string())
-        if len(self.pieces) + len(distinct) > REMEMBER:
-            self.forget()
-        known = pc.index_in(distinct, value_set=self.pieces)
-        if known.null_count:
-            self.learn(distinct.filter(known.is_null()).to_pylist())
-            known = pc.index_in(distinct, value_set=self.pieces)
-        code = known.to_numpy()[coded.indices.to_numpy()]
-        ids, size = gather(self.ids, self.begin, code)
-        ends = np.concatenate([[0], np.cumsum(size)])
-        return ids, ends[lists.offsets.to_numpy()]
+        return self.seen_pieces.rows(cut_pieces(texts, self.pattern.findall))
 
     def decode(self, ids: np.ndarray, begin: np.ndarray) -> list[bytes]:
         """The bytes of each run of ids."""
@@ -183,17 +144,11 @@ class Vocabulary:
         return out
 
 
-def gather(values: np.ndarray, begin: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs named by code, one after another, and the size of each."""
-    size = (begin[1:] - begin[:-1])[code]
-    ends = np.cumsum(size)
-    at = np.arange(int(ends[-1]) if len(ends) else 0)
-    return values[at + np.repeat(begin[:-1][code] - (ends - size), size)], size
-
-
-def cut_pieces(texts: pa.Array, pattern) -> pa.ListArray:
-    """Each text as pieces whose matches, in order, are the text's: cut before each single space, else the matches."""
+def cut_pieces(texts: pa.Array, matches: Callable[[str], list[str]], marks: tuple[str, ...] = ()) -> pa.ListArray:
+    """Each text as pieces whose matches, in order, are the text's: cut before each single space, else (there too, where a text has one of marks) the matches."""
     risky = pc.match_substring_regex(texts, _RUN).to_numpy(zero_copy_only=False)
+    for mark in marks:
+        risky = risky | pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
     lists = pc.split_pattern(texts, " ")
     off, flat = lists.offsets.to_numpy().astype(np.int64), lists.values
     lead = np.ones(len(flat), bool)
@@ -207,7 +162,7 @@ def cut_pieces(texts: pa.Array, pattern) -> pa.ListArray:
     parts, sizes, last = [], np.diff(kept), 0
     for i in np.flatnonzero(risky).tolist():
         parts.append(joined.slice(kept[last], kept[i] - kept[last]))
-        found = pattern.findall(texts[i].as_py())
+        found = matches(texts[i].as_py())
         parts.append(pa.array(found, pa.string()))
         sizes[i], last = len(found), i + 1
     parts.append(joined.slice(kept[last]))
@@ -228,7 +183,7 @@ def _encoder(path: str, pattern: str, id_column: str, finish: Callable) -> Calla
                 ids, begin = v.encode(tk.plain(batch.column("text")))
                 yield finish(v, batch.column(id_column), ids, begin)
 
-    return run
+    return tk.frugal(run)
 
 
 def _as_ids(v, key, ids, begin):
@@ -269,7 +224,7 @@ def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = lists.flatten().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(v.decode(ids, np.concatenate([[0], np.cumsum(size)])), pa.binary())], names=["doc_id", "decoded"])
 
-    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
+    return coded.select("doc_id", "ids").mapInArrow(tk.frugal(run), "doc_id long, decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:

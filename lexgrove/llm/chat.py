@@ -74,6 +74,7 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return out, begin, text_at, text_at + text_size if n else text_at
 
 
+@tk.frugal
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, part = object(), 0
     for whole in batches:
@@ -121,6 +122,7 @@ def parse(text: bytes) -> list[tuple[bytes, bytes]]:
     return out
 
 
+@tk.frugal
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     open_ = None

@@ -8,8 +8,20 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch from Spark to Python, where the session has the default (64 MB, held on both sides for each task).
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_DEFAULT = str(64 << 20)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of BATCH_BYTES, unless the session names another size."""
+    if spark.conf.get(_BATCH, _BATCH_DEFAULT).rstrip("b") == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -18,7 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexgrove-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir names no folder; executors of a cluster need a shared one")
+            folder = tempfile.mkdtemp(prefix="lexgrove-checkpoint-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 

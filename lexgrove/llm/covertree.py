@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkernel as tk
 from .common import components, cut
 
 SAMPLE, UPPER, BLOCK = 8192, 32, 1024
@@ -165,6 +166,7 @@ def _task(cosine: float):
     return run
 
 
+@tk.frugal
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unit vectors in double precision, of vectors already known to be finite and not zero."""
     for batch in batches:

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,12 +29,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .bpe import REMEMBER, SLICE, cut_pieces, gather
+from .bpe import REMEMBER, SLICE, cut_pieces
 from .common import cut
 
 
@@ -45,7 +45,10 @@ def byte_of_char() -> dict[str, int]:
 
 
 class Pieces:
-    """ids of texts by a byte-level BPE file of the tokenizers library, with a memory of distinct pieces."""
+    """ids of texts by a byte-level BPE file of the tokenizers library, as that library gives them, with a memory of distinct pieces.
+
+    An added token inside a text has its own id, as by default there; what stands between two of them is matched by itself.
+    """
 
     def __init__(self, path: str):
         import regex
@@ -53,41 +56,37 @@ class Pieces:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
-        if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
-            raise ValueError(f"{path} is no plain byte-level BPE file")
+        model, pre, added = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens", [])
+        self.added = {t["content"]: t["id"] for t in added}
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model.get("merges", [])]
+        order = [model["vocab"].get(m, -1) for m in merged]
+        if (
+            model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer") or model.get("ignore_merges") or order != sorted(set(order)) or -1 in order
+            or any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip"))
+        ):
+            raise ValueError(f"{path} is no plain byte-level BPE file whose merges are in order of their ids")
         back = byte_of_char()
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        ranks = {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if token not in self.added}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.pattern = regex.compile(pattern)
+        self.marks = tuple(self.added)
+        self.cut = re.compile("(" + "|".join(re.escape(m) for m in sorted(self.marks, key=len, reverse=True)) + ")") if self.marks else None
         self.encoding = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.forget()
+        self.seen = tk.Memory(self.coded, REMEMBER)
 
-    def forget(self) -> None:
-        self.pieces = pa.array([], pa.string())
-        self.begin, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+    def matches(self, text: str) -> list[str]:
+        """Added tokens of a text and the pattern's matches between them."""
+        parts = self.cut.split(text) if self.cut else [text]
+        return [x for part in parts for x in ([part] if part in self.added else self.pattern.findall(part))]
 
-    def learn(self, new: pa.Array) -> None:
-        coded = [self.encoding.encode_ordinary(x) for x in new.to_pylist()]
-        size = np.fromiter(map(len, coded), np.int64, len(coded))
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in coded for i in x), np.int32, int(size.sum()))])
-        self.pieces = pa.concat_arrays([self.pieces, new])
+    def coded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [[self.added[x]] if x in self.added else self.encoding.encode_ordinary(x) for x in pieces.to_pylist()]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((i for x in ids for i in x), np.int32, int(size.sum())), np.concatenate([[0], np.cumsum(size)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, one after another, and where each text begins."""
-        lists = cut_pieces(texts, self.pattern)
-        coded = lists.values.dictionary_encode()
-        distinct = coded.dictionary.cast(pa.string())
-        if len(self.pieces) + len(distinct) > REMEMBER:
-            self.forget()
-        known = pc.index_in(distinct, value_set=self.pieces)
-        if known.null_count:
-            self.learn(distinct.filter(known.is_null()))
-            known = pc.index_in(distinct, value_set=self.pieces)
-        ids, size = gather(self.ids, self.begin, known.to_numpy()[coded.indices.to_numpy()])
-        return ids, np.concatenate([[0], np.cumsum(size)])[lists.offsets.to_numpy()]
+        return self.seen.rows(cut_pieces(texts, self.matches, self.marks))
 
 
 @lru_cache(maxsize=2)
@@ -122,7 +121,7 @@ def piece_table(docs: DataFrame, path: str, capacity: int, end_id: int, keep_ids
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(out)])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tk.frugal(run), schema)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

@@ -97,6 +97,7 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray)
     return (low + high) / 2
 
 
+@tk.frugal
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in tk.slices(whole, "text", tk.KERNEL_BYTES):
@@ -116,6 +117,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@tk.frugal
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in tk.slices(whole, "text", tk.KERNEL_BYTES):
@@ -128,6 +130,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signatures, "doc_id long, n_shingles long, k1 long, k2 long, sketch binary")
 
 
+@tk.frugal
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -145,6 +148,7 @@ def alike(x: np.ndarray, y: np.ndarray) -> bool:
     return LINK_DEN * common >= LINK_NUM * (len(both) - common)
 
 
+@tk.frugal
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pairs = zip(batch.column("ia").to_pylist(), batch.column("ib").to_pylist(), strict=True)
@@ -220,6 +224,7 @@ def _pairs_inside(t: pa.Table, spans: list[tuple[int, int]]) -> Iterator[tuple[n
         yield judge()
 
 
+@tk.frugal
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows that have a likely partner in their run."""
     for t, spans in _blocks(batches):
@@ -229,6 +234,7 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from t.select(list(_ROW)).filter(pa.array(used)).to_batches()
 
 
+@tk.frugal
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs of each run that their full sets confirm."""
     for t, spans in _blocks(batches):

@@ -7,8 +7,10 @@ which are the words of ``[^\\x20\\x09-\\x0D]+`` (those separators are single byt
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,77 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    """Gives free memory back to the system, where the C library can."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError, TypeError):
+        return lambda _: 0
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after whose end the worker, which Spark keeps for later tasks, holds no free memory."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return wrapped
+
+
+class Memory:
+    """Ids of strings seen before, in limit bytes; beyond, it starts anew (a speed matter only).
+
+    make: ids of an array of distinct strings, one after another, and where each begins (one more at the end).
+    """
+
+    def __init__(self, make: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], limit: int):
+        self.make, self.limit = make, limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.begin, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def find(self, distinct: pa.Array) -> np.ndarray:
+        """The place of each of some distinct strings among begin."""
+        if self.known.nbytes + self.begin.nbytes + self.ids.nbytes > self.limit:
+            self.forget()
+        place = pc.index_in(distinct, value_set=self.known)
+        if place.null_count:
+            new = place.is_null()
+            fresh = distinct.filter(new)
+            ids, begin = self.make(fresh)
+            count = len(self.known)
+            self.begin = np.concatenate([self.begin, self.begin[-1] + begin[1:]])
+            self.ids = np.concatenate([self.ids, ids])
+            self.known = pa.concat_arrays([self.known, fresh])
+            out = pc.fill_null(place, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            out[new.to_numpy(zero_copy_only=False)] = np.arange(count, count + len(fresh))
+            return out
+        return place.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def rows(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all lists of strings, one after another, and where each list's begin."""
+        coded = lists.values.dictionary_encode()
+        code = self.find(coded.dictionary.cast(pa.string()))
+        ids, size = gather(self.ids, self.begin, code[coded.indices.to_numpy()])
+        return ids, np.concatenate([[0], np.cumsum(size)])[lists.offsets.to_numpy()]
+
+
+def gather(values: np.ndarray, begin: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs named by code, one after another, and the size of each."""
+    size = (begin[1:] - begin[:-1])[code]
+    ends = np.cumsum(size)
+    at = np.arange(int(ends[-1]) if len(ends) else 0)
+    return values[at + np.repeat(begin[:-1][code] - (ends - size), size)], size
+
+
 def plain(column) -> pa.Array:
     """A string column as one array without nulls."""
     if isinstance(column, pa.ChunkedArray):

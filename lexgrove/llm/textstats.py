@@ -98,6 +98,7 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
+@tk.frugal
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in tk.slices(whole, "text", tk.KERNEL_BYTES):
@@ -121,4 +122,4 @@ def keeping(docs: DataFrame) -> DataFrame:
                 s = statistics(tk.plain(batch.column("text")))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(fields))), *(pa.array(s[k], pa.int64()) for k in NAMES)], names=[*fields, *NAMES])
 
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, *(T.StructField(k, T.LongType()) for k in NAMES)]))
+    return base.mapInArrow(tk.frugal(run), T.StructType([*base.schema.fields, *(T.StructField(k, T.LongType()) for k in NAMES)]))
