@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,14 +30,42 @@ def folding() -> tuple[str, str]:
 def normalize(text: Column) -> Column:
     """Lower case without accents; apostrophes to spaces; each run of other characters outside a-z, 0-9, space to one space."""
     source, target = folding()
-    plain = F.translate(F.lower(text), source, target)
+    lower = F.lower(text)
+    plain = F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(lower, source, target)).otherwise(lower)
     return F.regexp_replace(F.regexp_replace(plain, "['’`]", " "), "[^a-z0-9 ]+", " ")
 
 
+def suffix_length(word: Column) -> Column:
+    """Length of the suffix that a word loses: the first of the list that leaves four characters; 0 for none.
+
+    Suffixes that end alike are in the list from the longest on, so the longest is the first, and a test of the word's last
+    characters for each length stands for the list.
+    """
+    out = F.lit(0)
+    for size in sorted({len(x) for x in SUFFIXES}):
+        out = F.when((F.length(word) >= 4 + size) & F.substring(word, -size, size).isin(*(x for x in SUFFIXES if len(x) == size)), size).otherwise(out)
+    return out
+
+
+def _without(word: Column, left: Column) -> Column:
+    """The first characters of a word, left of them or, if the last of these is a, e, i or o and four are left, one less."""
+    vowel = (left >= 4) & F.substring(word, left, F.lit(1)).isin("a", "e", "i", "o")
+    return F.substring(word, F.lit(1), left - F.when(vowel, 1).otherwise(0))
+
+
 def stem(word: Column) -> Column:
     """The word without the first suffix that leaves four characters, then without a last a, e, i or o if four are left."""
-    cut = F.regexp_replace(word, f"^(.{{4,}}?)(?:{'|'.join(SUFFIXES)})$", "$1")
-    return F.regexp_replace(cut, "^(.{3,})[aeio]$", "$1")
+    return _without(word, F.length(word) - suffix_length(word))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: inside the functions of arrays Spark shares no common part."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def stem_inside(word: Column) -> Column:
+    """stem() for use inside functions of arrays."""
+    return let(word, lambda w: let(F.length(w) - suffix_length(w), lambda left: _without(w, left)))
 
 
 def raw_tokens(text: Column) -> Column:
@@ -52,13 +81,50 @@ def kept_tokens(text: Column) -> Column:
 def tokens(text: Column, stemmed: bool = True) -> Column:
     """The index terms of a text. Both sides of the search use this one function."""
     kept = kept_tokens(text)
-    return F.transform(kept, stem) if stemmed else kept
+    return F.transform(kept, stem_inside) if stemmed else kept
+
+
+@lru_cache
+def recomposing() -> str:
+    """A regular expression for a character that composition (NFC) may change, alone or with what stands before it."""
+    change = set()
+    for code in range(0x80, 0x110000):
+        if not 0xD800 <= code < 0xE000 and not 0xAC00 <= code < 0xD7A4:
+            ch = chr(code)
+            parts = unicodedata.decomposition(ch)
+            if unicodedata.combining(ch) or unicodedata.normalize("NFC", ch) != ch:
+                change.add(code)
+            if parts and not parts.startswith("<"):
+                change.update(int(x, 16) for x in parts.split()[1:])
+    change.update((*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)))  # vowels and finals of Hangul
+    runs, codes = [], sorted(change)
+    for code in codes:
+        if runs and runs[-1][1] == code - 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
+def composed(text: Column) -> Column:
+    """The text in NFC. The JVM's functions have no such form, so a text that may change, and no other, goes through Python."""
+
+    @F.pandas_udf("string")
+    def nfc(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
+
+    return F.coalesce(nfc(F.when(text.rlike(recomposing()), text)), text)
+
+
+def tidy(text: Column) -> Column:
+    """Typographic spaces and quotation marks made plain, white space runs to one space, ends trimmed; the text is in NFC already."""
+    out = F.translate(text, "\u00a0\u2007\u202f’‘“”«»", "   ''\"\"\"\"")
+    return F.trim(F.replace(F.regexp_replace(out, r"(?U)\s+", " "), F.lit('" :'), F.lit('":')))
 
 
 def clean(text: Column) -> Column:
-    """Typographic spaces and quotation marks made plain, white space runs to one space, ends trimmed."""
-    plain = F.translate(text, "   ’‘“”«»", "   ''\"\"\"\"")
-    return F.trim(F.replace(F.regexp_replace(plain, r"(?U)\s+", " "), F.lit('" :'), F.lit('":')))
+    """tidy() of the composed text (NFC)."""
+    return tidy(composed(text))
 
 
 def segments(text: Column, terms: Column) -> Column:
@@ -69,7 +135,8 @@ def segments(text: Column, terms: Column) -> Column:
     runs = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"), F.lit(1))
 
     def mark(seg: Column) -> Column:
-        root = stem(F.trim(normalize(seg)))
-        return F.struct(seg.alias("seg"), ((root != "") & F.array_contains(terms, root)).alias("hit"))
+        known = lambda root: (root != "") & F.array_contains(terms, root)
+        hit = F.when(seg.rlike(r"^[\p{L}\p{N}]"), let(stem_inside(F.trim(normalize(seg))), known)).otherwise(False)
+        return F.struct(seg.alias("seg"), hit.alias("hit"))
 
     return F.transform(runs, mark)

@@ -1,61 +1,133 @@
-"""The inverted index: postings of two fields, lengths, statistics; built, saved and loaded as tables."""
+"""The inverted index: postings of two fields, document frequencies, lengths, statistics; built, saved, loaded, measured and published as tables."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import kept_tokens, stem
 
 FIELDS = {"body": "testo", "rubrica": "rubrica"}
+#: Tables of a saved index, in the order in which they are written; the manifest is last, so an index that has it is whole.
+TABLES = ("postings", "terms", "meta", "texts", "stats", "manifest")
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings(field, term, pos, tf, len, tipo), stats(n, avg_body, avg_rub; one row), meta(passages without text), texts(pos, testo), stemmed."""
+    """postings(field, term, pos, tf, len, tipo), terms(field, term, df), stats(n, avg_body, avg_rub; one row), meta(passages without text), texts(pos, testo), stemmed."""
 
     postings: DataFrame
+    terms: DataFrame
     stats: DataFrame
     meta: DataFrame
     texts: DataFrame
     stemmed: bool
 
 
-def lengths(passages: DataFrame, stemmed: bool = True) -> DataFrame:
-    """pos, len_body, len_rub: number of index terms of each field, 0 for none."""
-    return passages.select("pos", *(F.size(tokens(F.coalesce(c, F.lit("")), stemmed)).alias(n) for n, c in (("len_body", "testo"), ("len_rub", "rubrica"))))
-
-
-def statistics(sizes: DataFrame) -> DataFrame:
-    """n, avg_body over all passages, avg_rub over those with a heading."""
-    return sizes.agg(F.count("*").alias("n"), F.avg("len_body").alias("avg_body"), F.avg(F.when(F.col("len_rub") > 0, F.col("len_rub"))).alias("avg_rub"))
-
-
 def postings(passages: DataFrame, stemmed: bool = True) -> DataFrame:
     """field, term, pos, tf, len, tipo: one row for each term of each field of each passage.
 
-    Lengths and type ride along, so a search joins nothing but its terms.
+    Lengths and type ride along, so a search joins nothing but its terms.  Words become rows before they are stemmed, so that the
+    stemmer runs in generated code.
     """
-    fields = F.array(*(F.struct(F.lit(k).alias("field"), tokens(F.coalesce(F.col(c), F.lit("")), stemmed).alias("terms")) for k, c in FIELDS.items()))
-    rows = passages.select("pos", "tipo", F.explode(fields).alias("f")).select("pos", "tipo", "f.field", F.size("f.terms").alias("len"), F.explode("f.terms").alias("term"))
+    fields = F.array(*(F.struct(F.lit(k).alias("field"), kept_tokens(F.coalesce(F.col(c), F.lit(""))).alias("words")) for k, c in FIELDS.items()))
+    rows = passages.select("pos", "tipo", F.explode(fields).alias("f")).select("pos", "tipo", "f.field", F.size("f.words").alias("len"), F.explode("f.words").alias("word"))
+    term = stem(F.col("word")) if stemmed else F.col("word")
+    rows = rows.select("field", term.alias("term"), "pos", "len", "tipo")
     return rows.groupBy("field", "term", "pos", "len", "tipo").agg(F.count("*").alias("tf")).select("field", "term", "pos", "tf", "len", "tipo")
 
 
+def frequencies(rows: DataFrame) -> DataFrame:
+    """field, term, df of postings."""
+    return rows.groupBy("field", "term").agg(F.count("*").alias("df"))
+
+
+def lengths(rows: DataFrame, meta: DataFrame) -> DataFrame:
+    """pos, len_body, len_rub of all passages of meta, from their postings: number of index terms of each field, 0 for none."""
+    size = lambda field, name: F.coalesce(F.max(F.when(F.col("field") == field, F.col("len"))), F.lit(0)).alias(name)
+    found = rows.groupBy("pos").agg(size("body", "len_body"), size("rubrica", "len_rub"))
+    return meta.select("pos").join(found, "pos", "left").select("pos", F.coalesce("len_body", F.lit(0)).alias("len_body"), F.coalesce("len_rub", F.lit(0)).alias("len_rub"))
+
+
+def statistics(rows: DataFrame, meta: DataFrame) -> DataFrame:
+    """n, avg_body over all passages, avg_rub over those with terms in the heading; from counts of postings, since a field of len terms has their tf in sum."""
+    total = lambda field: F.sum(F.when(F.col("field") == field, F.col("tf")))
+    headed = rows.where("field = 'rubrica'").select("pos").distinct().agg(F.count("*").alias("headed"))
+    sums = rows.agg(total("body").alias("body"), total("rubrica").alias("rub"))
+    counted = meta.agg(F.count("*").alias("n")).crossJoin(sums).crossJoin(headed)  # one row each
+    share = lambda x, n: F.col(x).cast("double") / F.nullif(F.col(n), F.lit(0))
+    return counted.select("n", F.coalesce(share("body", "n"), F.when(F.col("n") > 0, 0.0)).alias("avg_body"), share("rub", "headed").alias("avg_rub"))
+
+
 def build(passages: DataFrame, stemmed: bool = True) -> Index:
-    return Index(postings(passages, stemmed), statistics(lengths(passages, stemmed)), passages.drop("testo"), passages.select("pos", "testo"), stemmed)
+    """The index as a plan. What is searched more than once should be saved: save() computes the postings once and all else from them."""
+    rows, meta = postings(passages, stemmed), passages.drop("testo")
+    return Index(rows, frequencies(rows), statistics(rows, meta), meta, passages.select("pos", "testo"), stemmed)
+
+
+def save(index: Index, path: str) -> Index:
+    """The index, written under path and read from there; postings partitioned by field and sorted by term inside files, so a term's lookup reads few row groups.
+
+    Frequencies and statistics are made from the written postings. No timestamps: rebuilding gives equal tables.
+    """
+    spark = index.postings.sparkSession
+    write = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}")
+    index.postings.repartitionByRange("field", "term", "pos").sortWithinPartitions("field", "term", "pos").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
+    write(index.meta, "meta")
+    write(index.texts, "texts")
+    rows, meta = spark.read.schema(_POSTINGS).parquet(f"{path}/postings"), spark.read.parquet(f"{path}/meta")
+    write(frequencies(rows), "terms")
+    write(statistics(rows, meta), "stats")
+    write(spark.range(1).select(F.lit(index.stemmed).alias("stemmed")), "manifest")
+    return load(spark, path)
 
 
-def save(index: Index, path: str) -> None:
-    """Tables under path; postings partitioned by field and sorted by term inside files, so a term's lookup reads few row groups. No timestamps: rebuilding gives equal tables."""
-    index.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "pos").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
-    for name in ("stats", "meta", "texts"):
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
-    index.stats.sparkSession.range(1).select(F.lit(index.stemmed).alias("stemmed")).write.mode("overwrite").parquet(f"{path}/manifest")
+_POSTINGS = "term string, pos long, tf long, len int, tipo string, field string"
 
 
 def load(spark: SparkSession, path: str) -> Index:
     """An index as saved; whether it is stemmed is the index's own property, never an option of a search."""
     read = lambda name: spark.read.parquet(f"{path}/{name}")
-    return Index(read("postings"), read("stats"), read("meta"), read("texts"), bool(read("manifest").first().stemmed))
+    rows = spark.read.schema(_POSTINGS).parquet(f"{path}/postings").select("field", "term", "pos", "tf", "len", "tipo")
+    return Index(rows, read("terms"), read("stats"), read("meta"), read("texts"), bool(read("manifest").first().stemmed))
+
+
+def missing(spark: SparkSession, path: str) -> list[str]:
+    """Tables that a saved index under path lacks."""
+    out = []
+    for name in TABLES:
+        try:
+            spark.read.parquet(f"{path}/{name}") if name != "postings" else spark.read.schema(_POSTINGS).parquet(f"{path}/{name}")
+        except AnalysisException:
+            out.append(name)
+    return out
+
+
+def load_if_there(spark: SparkSession, path: str) -> Index | None:
+    """The index under path; None where there is none, or no whole one."""
+    return None if missing(spark, path) else load(spark, path)
+
+
+def sizes(spark: SparkSession, path: str) -> DataFrame:
+    """name, files, bytes of the saved index's tables, by their names."""
+    one = lambda name: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{path}/{name}").select(F.lit(name).alias("name"), "length")
+    return reduce(DataFrame.unionByName, map(one, TABLES)).groupBy("name").agg(F.count("*").alias("files"), F.sum("length").alias("bytes")).orderBy("name")
+
+
+def publish(spark: SparkSession, path: str, target: str) -> Index:
+    """A copy of the saved index under target, if it is whole and consistent; else an error, and target stays as it is.
+
+    Consistent: index and texts have the same positions, no id or position occurs twice.
+    """
+    if lost := missing(spark, path):
+        raise ValueError(f"the index under {path} lacks {', '.join(lost)}")
+    index = load(spark, path)
+    both = index.meta.select("pos", F.lit(1).alias("m")).join(index.texts.select("pos", F.lit(1).alias("t")), "pos", "full").agg(F.count_if(F.col("m").isNull() | F.col("t").isNull()).alias("odd")).first()
+    twice = index.meta.groupBy("id").count().where("count > 1").union(index.meta.groupBy("pos").count().where("count > 1").withColumn("pos", F.col("pos").cast("string"))).limit(1).count()
+    if both.odd or twice:
+        raise ValueError(f"the index under {path}: {both.odd} positions lack passage or text; ids or positions that occur twice: {'some' if twice else 'none'}")
+    return save(index, target)

@@ -12,8 +12,8 @@ from ..functions.text import tokens
 from .index import Index
 
 K1, B = 1.2, 0.75
-#: Questions beyond this many are joined by shuffle instead of broadcast.
-BROADCAST_QUESTIONS = 50_000
+#: Terms of all questions together, and references, beyond this many are joined by shuffle instead of broadcast.
+BROADCAST_TERMS = 500_000
 
 
 @dataclass(frozen=True)
@@ -41,37 +41,65 @@ def question_terms(questions: DataFrame, stemmed: bool, synonyms: bool = True) -
     return questions.select("qid", F.posexplode(F.array_distinct(tokens(text, stemmed))).alias("ord", "term"))
 
 
+def few_rows(df: DataFrame) -> bool:
+    """Whether df is counted to be small enough to be broadcast."""
+    return df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+
+
 def _small(df: DataFrame, few: bool) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
-def contributions(terms: DataFrame, index: Index, config: SearchConfig, few: bool) -> DataFrame:
-    """qid, pos, field, ord, term, tipo, contrib of every posting of every question's terms.
+def _option(terms: DataFrame, config: SearchConfig | None, name: str) -> Column:
+    """An option as a column: the config's, or, where config is None, each term row's own."""
+    return F.col(name) if config is None else F.lit(getattr(config, name))
+
 
-    Only terms of questions are counted and scored: the postings are filtered by the terms first.
+def contributions(terms: DataFrame, index: Index, config: SearchConfig | None, few: bool, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """keys, pos, field, ord, recital, contrib of every posting of every question's terms.
+
+    The terms meet their document frequencies first, then the postings.  config None: terms carry the options of their own
+    configuration as columns (see configured()).
     """
-    asked = _small(terms.select("term").distinct(), few)
-    hit = index.postings.join(asked, "term", "left_semi")
-    frequency = hit.groupBy("field", "term").agg(F.count("*").alias("df"))
-    weighted = terms.join(frequency, "term")
-    rows = hit.join(_small(weighted, few), ["field", "term"]).crossJoin(F.broadcast(index.stats))  # one row
     body = F.col("field") == "body"
+    weighted = _small(terms, few).join(index.terms, "term").crossJoin(F.broadcast(index.stats))  # one row
     average = F.when(body, F.col("avg_body")).otherwise(F.col("avg_rub"))
-    size = F.greatest(F.col("len"), F.when(body, config.minimum_length).otherwise(0))
-    norm = (1 - B) + B * size / F.coalesce(F.nullif(average, F.lit(0.0)), F.lit(1.0))
-    weight = F.when(body, 1.0).otherwise(config.heading_weight)
-    score = weight * idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)
-    return rows.select("qid", "pos", "field", "ord", "term", "tipo", score.alias("contrib"))
-
-
-def scored(contrib: DataFrame, terms: DataFrame, config: SearchConfig, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
+    weighted = weighted.withColumn("average", F.coalesce(F.nullif(average, F.lit(0.0)), F.lit(1.0)))
+    weight = F.when(body, 1.0).otherwise(_option(terms, config, "heading_weight")) * idf(F.col("n"), F.col("df")) * (K1 + 1)
+    floor = F.when(body, _option(terms, config, "minimum_length")).otherwise(0)
+    own = ("recital_weight", "coverage") if config is None else ()
+    weighted = weighted.select(*keys, "field", "ord", "term", "average", weight.alias("weight"), floor.alias("floor"), *own)
+    hit = index.postings
+    if few:  # what is found is dealt by passage before the terms multiply it, so that scores are summed where they are made
+        hit = hit.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").repartition("pos")
+    rows = hit.join(_small(weighted, few), ["field", "term"])
+    norm = (1 - B) + B * F.greatest("len", "floor") / F.col("average")
+    score = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * norm)
+    return rows.select(*keys, "pos", "field", "ord", (F.col("tipo") == "considerando").alias("recital"), *own, score.alias("contrib"))
+
+
+def scored(contrib: DataFrame, terms: DataFrame, config: SearchConfig | None, keys: tuple[str, ...] = ("qid",), few: bool = False) -> DataFrame:
     """keys, pos, score, first: one row for each candidate; first decides ties (field, then term of the question)."""
     first = F.min(F.when(F.col("field") == "body", 0).otherwise(1000) + F.col("ord"))
-    out = contrib.groupBy(*keys, "pos", "tipo").agg(F.sum("contrib").alias("score"), F.count_if(F.col("field") == "body").alias("found"), first.alias("first"))
-    if config.coverage > 0:
+    own = [F.max(c).alias(c) for c in ("recital_weight", "coverage")] if config is None else []
+    out = contrib.groupBy(*keys, "pos").agg(F.sum("contrib").alias("score"), F.count_if(F.col("field") == "body").alias("found"), first.alias("first"), F.max("recital").alias("recital"), *own)
+    if config is None or config.coverage > 0:
         distinct = terms.groupBy(*keys).agg(F.count("*").alias("asked"))
-        out = out.join(F.broadcast(distinct), list(keys)).withColumn("score", F.col("score") * F.pow(F.col("found") / F.greatest("asked", F.lit(1)), F.lit(config.coverage)))
-    return out.withColumn("score", F.when(F.col("tipo") == "considerando", F.col("score") * config.recital_weight).otherwise(F.col("score"))).select(*keys, "pos", "score", "first")
+        out = out.join(_small(distinct, few), list(keys)).withColumn("score", F.col("score") * F.pow(F.col("found") / F.greatest("asked", F.lit(1)), _option(terms, config, "coverage")))
+    less = F.col("score") * _option(terms, config, "recital_weight")
+    return out.withColumn("score", F.when(F.col("recital"), less).otherwise(F.col("score"))).select(*keys, "pos", "score", "first")
+
+
+def configured(questions: DataFrame, stemmed: bool, configs: dict[str, SearchConfig]) -> DataFrame:
+    """config, qid, ord, term and the options of each configuration: the terms of all questions under all configurations."""
+    spark = questions.sparkSession
+    literal = lambda name, c: F.struct(F.lit(name).alias("config"), *(F.lit(getattr(c, k)).alias(k) for k in ("minimum_length", "recital_weight", "coverage", "heading_weight")))
+    out = None
+    for synonyms in sorted({c.synonyms for c in configs.values()}):
+        some = F.array(*(literal(name, c) for name, c in configs.items() if c.synonyms == synonyms))
+        part = question_terms(questions, stemmed, synonyms).withColumn("c", F.explode(some)).select("c.*", "qid", "ord", "term")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], "config string, minimum_length int, recital_weight double, coverage double, heading_weight double, qid int, ord int, term string")
 
 
 def exact_hits(questions: DataFrame, meta: DataFrame) -> DataFrame:
@@ -97,14 +125,24 @@ def search(questions: DataFrame, index: Index, config: SearchConfig = DEFAULTS)
 
     Text is not joined here; late_text adds it to the few rows that are left.
     """
-    few = questions.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS
     terms = question_terms(questions, index.stemmed, config.synonyms)
-    scores = scored(contributions(terms, index, config, few), terms, config)
+    few = few_rows(terms)
+    scores = scored(contributions(terms, index, config, few), terms, config, few=few)
     top = ranked(exact_hits(_small(questions, few), index.meta), scores, config.limit)
     words = terms.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("ord", "term"))).alias("t")).select("qid", F.col("t.term").alias("termini"))
     return top.join(index.meta, "pos").join(words, "qid", "left").select("qid", "rank", "pos", "id", "tipo", "n", "par", "citazione", "rubrica", "capo", "termine", "punteggio", "esatto", F.coalesce("termini", F.array().cast("array<string>")).alias("termini"))
 
 
+def search_each(questions: DataFrame, index: Index, configs: dict[str, SearchConfig], limit: int) -> DataFrame:
+    """config, qid, rank, pos, punteggio, esatto of questions under all configurations in one job: the configuration is part of the key."""
+    terms = configured(questions, index.stemmed, configs)
+    few, keys = few_rows(terms), ("config", "qid")
+    scores = scored(contributions(terms, index, None, few, keys), terms, None, keys, few)
+    names = F.explode(F.array(*(F.lit(x) for x in configs)))
+    exact = exact_hits(_small(questions, few), index.meta).select(names.alias("config"), "qid", "pos")
+    return ranked(exact, scores, limit, keys)
+
+
 def interactive(questions: DataFrame, index: Index, config: SearchConfig = DEFAULTS) -> DataFrame:
     """search() of those questions that have three characters or more."""
     return search(questions.where(F.length(F.trim("d")) >= 3), index, config)

@@ -26,7 +26,7 @@ def toks(x: str) -> str:
 
 
 def clean(x: str) -> str:
-    return f"trim(replace(regexp_replace(translate({x}, '   ’‘“”«»', '   ''''\"\"\"\"'), '[\\s   -     　\u0085\x0b]+', ' ', 'g'), '\" :', '\":'))"
+    return f"trim(replace(regexp_replace(translate(nfc_normalize({x}), '   ’‘“”«»', '   ''''\"\"\"\"'), '[\\s   -     　\u0085\x0b]+', ' ', 'g'), '\" :', '\":'))"
 
 
 def expand(x: str) -> str:
@@ -41,11 +41,13 @@ PASSAGES = """passages as materialized (
     rubrica, null::varchar termine, '' capo, testo
   from (select doc_id n, tipo, case when len(l) = 1 then null else i - 1 end::int par, case when len(l) = 1 or tipo = 'considerando' then '' else l[1] end rubrica, l[i] testo, len(l) = 1 one, i
     from (select doc_id, case when source in ('src0','src1','src2','src3','src4','src5') then 'considerando' else 'articolo' end tipo, string_split(text, chr(10)) l from documents), unnest(range(1, len(l) + 1)) u(i))
-  where (one or i > 1) and length(testo) >= 12)"""
+  where (one or i > 1 or tipo = 'considerando') and length(testo) >= 12)"""
+#: Whole benchmark texts; beside them their first words as short questions; and references.
 QUESTIONS = """questions as materialized (
-  select item_id qid, array_to_string(regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[1:8], ' ') d from benchmark
+  select item_id qid, text d from benchmark
   union all select 1000000 + item_id, 'art. ' || item_id || ', comma 1' from benchmark
-  union all select 2000000 + item_id, 'considerando ' || item_id from benchmark)"""
+  union all select 2000000 + item_id, 'considerando ' || item_id from benchmark
+  union all select 3000000 + item_id, array_to_string(regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[1:8], ' ') from benchmark)"""
 ITALIAN = (
     "entro quando devo segnalare una violazione al garante",
     "c'e' stato un data breach: chi devo avvisare?",
@@ -63,7 +65,9 @@ ITALIAN = (
     "un ragazzo può dare il consenso da solo",
 )
 ITALIAN_SQL = "italian(qid, d) as (values " + ", ".join("({}, '{}')".format(i, q.replace("'", "''")) for i, q in enumerate(ITALIAN)) + ")"
-POSTINGS = f"""tok as materialized (select pos, tipo, {toks('testo')} b, {toks('rubrica')} r from passages),
+def indexed(stemmed: bool = True) -> str:
+    f = toks if stemmed else kept
+    return f"""tok as materialized (select pos, tipo, {f('testo')} b, {f('rubrica')} r from passages),
 lens as materialized (select pos, len(b)::int len_body, len(r)::int len_rub from tok),
 stats as materialized (select count(*) n, avg(len_body) avg_body, avg(len_rub) filter (len_rub > 0) avg_rub from lens),
 postings as materialized (
@@ -71,9 +75,12 @@ postings as materialized (
   union all select 'rubrica', term, pos, count(*), len, tipo from (select pos, tipo, len(r)::int len, unnest(r) term from tok) group by term, pos, len, tipo)"""
 
 
-def terms(source: str = "questions", synonyms: bool = True) -> str:
+POSTINGS = indexed()
+
+
+def terms(source: str = "questions", synonyms: bool = True, stemmed: bool = True) -> str:
     text = expand("d") if synonyms else "d"
-    return f"""terms as materialized (select qid, term, min(o) ord from (select qid, unnest(t) term, unnest(range(len(t))) o from (select qid, {toks('e')} t from (select qid, {text} e from {source}))) group by qid, term)"""
+    return f"""terms as materialized (select qid, term, min(o) ord from (select qid, unnest(t) term, unnest(range(len(t))) o from (select qid, {(toks if stemmed else kept)('e')} t from (select qid, {text} e from {source}))) group by qid, term)"""
 
 
 def scores(floor: int = 25, recital: float = 0.55, coverage: float = 0.0, heading: float = 2.2, fields: str = "true") -> str:
@@ -103,37 +110,30 @@ def ranked(limit: int = 8, exact: bool = True) -> str:
     return f"top as materialized (select * from (select qid, pos, esatto, score punteggio, row_number() over (partition by qid order by esatto desc, s desc, first, pos) rank from ({merged})) where rank <= {limit})"
 
 
-QRELS = "qrels as materialized (select b.item_id qid, p.id from benchmark b join passages p on contains(p.testo, b.text))"
-JUDGED = "judged as materialized (select * from questions semi join qrels using (qid))"
+#: Both questions of a benchmark text expect the passages that contain it (exact) and the documents that do (article); judged is each question with such a target.
+QRELS = "qrels as materialized (select k.a + b.item_id qid, p.id from benchmark b join passages p on contains(p.testo, b.text) cross join (values (0), (3000000)) k(a))"
+ARTICLE_TARGETS = "article_targets as materialized (select k.a + b.item_id qid, case when d.source in ('src0','src1','src2','src3','src4','src5') then 'considerando' else 'articolo' end tipo, d.doc_id n from benchmark b join documents d on contains(d.text, b.text) cross join (values (0), (3000000)) k(a))"
+JUDGED = "judged as materialized (select * from questions where qid in (select qid from qrels union select qid from article_targets))"
 METRICS = """named as (select t.qid, t.rank, p.id, p.tipo, p.n from top t join passages p using (pos)),
-hit_e as (select qid, min(rank) esatto from named semi join qrels using (qid, id) group by qid),
-norms as (select distinct qid, tipo, n from qrels join passages using (id)),
-hit_a as (select qid, min(rank) articolo from named semi join norms using (qid, tipo, n) group by qid),
-ranks as materialized (select qid, esatto, articolo from (select distinct qid from qrels) left join hit_e using (qid) left join hit_a using (qid)),
-metrics as (select target, count(*) n, round(avg((r is not null and r = 1)::int), 6) p1, round(avg((r is not null and r <= 3)::int), 6) p3, round(avg(coalesce(1.0::double / r, 0)), 6) mrr
-  from (select 'esatto' target, esatto r from ranks union all select 'articolo', articolo from ranks) group by target)"""
-#: Article targets from whole documents (FIXTURES, 4), with questions judged by each target that they have.
-ARTICLE_TARGETS = "article_targets as materialized (select b.item_id qid, case when d.source in ('src0','src1','src2','src3','src4','src5') then 'considerando' else 'articolo' end tipo, d.doc_id n from benchmark b join documents d on contains(d.text, b.text))"
-JUDGED_WHOLE = "judged as materialized (select * from questions semi join article_targets using (qid))"
-METRICS_WHOLE = """named as (select t.qid, t.rank, p.id, p.tipo, p.n from top t join passages p using (pos)),
 hit_e as (select qid, min(rank) r from named semi join qrels using (qid, id) group by qid),
 hit_a as (select qid, min(rank) r from named semi join article_targets using (qid, tipo, n) group by qid),
 targets as materialized (
   select qid, 'esatto' target, r from (select distinct qid from qrels) left join hit_e using (qid)
   union all select qid, 'articolo', r from (select distinct qid from article_targets) left join hit_a using (qid)),
 metrics as (select target, count(*) n, round(avg((r is not null and r = 1)::int), 6) p1, round(avg((r is not null and r <= 3)::int), 6) p3, round(avg(coalesce(1.0::double / r, 0)), 6) mrr from targets group by target)"""
-DEFINED = "defined as (select doc_id, string_agg(i || ') \"' || substr(l[i], 1, 30) || '\": ' || l[i] || '; ', '' order by i) t from (select doc_id, list_transform(string_split(text, chr(10)), lambda x: replace(x, '\"', '')) l from documents), unnest(range(1, least(len(l), 99) + 1)) u(i) where length(l[i]) >= 2 group by doc_id)"
-MARKED = "string_split(regexp_replace(t, '" + DEFINITION.replace("'", "''") + "', chr(1) || '\\1' || chr(2) || '\\2' || chr(3), 'g'), chr(1))"
-DEFINITION_ROWS = f"""select doc_id, split_part(p, chr(2), 1)::int num, trim(split_part(split_part(p, chr(2), 2), chr(3), 1)) termine, trim(split_part(split_part(p, chr(2), 2), chr(3), 2), ' ;') corpo
-from (select doc_id, unnest(m[2:]) p from (select doc_id, {MARKED} m from defined) where len(m) > {DEFINITIONS}) where trim(split_part(split_part(p, chr(2), 2), chr(3), 2), ' ;') <> ''"""
-#: The same lists over all lines: a document's lines go in even lists of 99 at most, so that every marker has two digits.
-DEFINED_WHOLE = """kept as (select doc_id, list(i order by i) ix, list(x order by i) xs from (select doc_id, unnest(range(1, len(l) + 1)) i, unnest(l) x from (select doc_id, list_transform(string_split(text, chr(10)), lambda x: replace(x, '"', '')) l from documents)) where length(x) >= 2 group by doc_id),
+#: Lists of definitions over all lines: a document's lines go in even lists of 99 at most, so that every marker has two digits.
+DEFINED = """kept as (select doc_id, list(i order by i) ix, list(x order by i) xs from (select doc_id, unnest(range(1, len(l) + 1)) i, unnest(l) x from (select doc_id, list_transform(string_split(text, chr(10)), lambda x: replace(x, '"', '')) l from documents)) where length(x) >= 2 group by doc_id),
 defined as (select doc_id, ix[a + 1:b] ix, array_to_string(list_transform(xs[a + 1:b], lambda x, i: i || ') "' || substr(x, 1, 30) || '": ' || x || '; '), '') t
   from (select doc_id, ix, xs, k * len(ix) // g a, (k + 1) * len(ix) // g b from (select *, (len(ix) + 98) // 99 g from kept), unnest(range(g)) u(k)))"""
-DEFINITION_ROWS_WHOLE = f"""select doc_id, ix[split_part(p, chr(2), 1)::int]::int num, trim(split_part(split_part(p, chr(2), 2), chr(3), 1)) termine, trim(split_part(split_part(p, chr(2), 2), chr(3), 2), ' ;') corpo
+MARKED = "string_split(regexp_replace(t, '" + DEFINITION.replace("'", "''") + "', chr(1) || '\\1' || chr(2) || '\\2' || chr(3), 'g'), chr(1))"
+DEFINITION_ROWS = f"""select doc_id, ix[split_part(p, chr(2), 1)::int]::int num, trim(split_part(split_part(p, chr(2), 2), chr(3), 1)) termine, trim(split_part(split_part(p, chr(2), 2), chr(3), 2), ' ;') corpo
 from (select doc_id, ix, unnest(m[2:]) p from (select doc_id, ix, {MARKED} m from defined) where len(m) > {DEFINITIONS}) where trim(split_part(split_part(p, chr(2), 2), chr(3), 2), ' ;') <> ''"""
-NODES = "nodes as (select doc_id doc, i ord, case length(l[i]) % 7 when 0 then 'capo' when 1 then 'sezione' when 2 then 'subtitle' else 'art' end kind, substr(l[i], 1, 12) title from (select doc_id, string_split(text, chr(10)) l from documents), unnest(range(1, len(l) + 1)) u(i))"
+NODES = "nodes as (select doc_id doc, i ord, case length(l[i]) % 7 when 0 then 'capo' when 1 then 'sezione' when 2 then 'subtitle' else 'art' end kind, l[i] title from (select doc_id, string_split(text, chr(10)) l from documents), unnest(range(1, len(l) + 1)) u(i))"
 
 
 def sql(*ctes: str, select: str) -> str:
     return "with " + ",\n".join(ctes) + "\n" + select
+
+
+#: Texts of users' turns beside the questions.
+SAID = "said as (select 4000000000 + conv_id * 100000 + turn qid, text d from conversations where role = 'user')"

@@ -26,34 +26,52 @@ def place(tipo: Column, n: Column, par: Column) -> Column:
     return F.when(tipo == "considerando", F.lit(0)).otherwise(F.lit(1 << 60)).cast("long") + n * F.lit(1 << 20) + F.coalesce(par, F.lit(0))
 
 
-def identify(df: DataFrame) -> DataFrame:
+def place_on_page(page: Column, tipo: Column, n: Column, par: Column, definition: bool = False) -> Column:
+    """The same over many pages: recitals first, then by page, article or recital, and paragraph; an article's definitions come after its paragraphs.
+
+    30 bits of page, 14 of article, 17 of paragraph; a number beyond that is an error, not a clash.
+    """
+    page, par = page.cast("long"), F.coalesce(par, F.lit(0))
+    low = F.lit(0).cast("long")
+    fits = page.between(0, (1 << 30) - 1) & n.between(0, (1 << 14) - 1) & par.between(0, (1 << 17) - 1)
+    at = F.when(tipo == "considerando", low).otherwise(F.lit(1 << 62)) + page * F.lit(1 << 32) + n * F.lit(1 << 18) + F.lit(definition << 17) + par
+    return F.when(fits, at).otherwise(F.raise_error(F.concat_ws(" ", F.lit("no place for"), page.cast("string"), tipo, n.cast("string"), par.cast("string"))).cast("long"))
+
+
+def identify(df: DataFrame, pos: Column | None = None) -> DataFrame:
     """Adds pos, id and citazione to (tipo, n, par)."""
     with_par = lambda mark: F.when(F.col("par").isNotNull() & (F.col("par") != 0), F.concat(F.lit(mark), F.col("par").cast("string"))).otherwise("")
     recital = F.col("tipo") == "considerando"
-    out = df.withColumn("pos", place(F.col("tipo"), F.col("n"), F.col("par")))
+    out = df.withColumn("pos", place(F.col("tipo"), F.col("n"), F.col("par")) if pos is None else pos)
     out = out.withColumn("id", F.concat(F.when(recital, "c").otherwise("a"), F.col("n").cast("string"), with_par("p")))
     return out.withColumn("citazione", F.concat(F.when(recital, "Considerando ").otherwise("Articolo "), F.col("n").cast("string"), with_par(", paragrafo ")))
 
 
+def type_of(source: Column) -> Column:
+    """Whether a document's passages are recitals or articles."""
+    return F.when(source.isin(*RECITAL_SOURCES), "considerando").otherwise("articolo")
+
+
 def from_documents(docs: DataFrame) -> DataFrame:
-    """Each document is an article or recital: its first line the heading, each further line a paragraph; one line alone is a passage without a number."""
-    lines = F.split("text", "\n")
-    rows = docs.select(F.col("doc_id").alias("n"), F.when(F.col("source").isin(*RECITAL_SOURCES), "considerando").otherwise("articolo").alias("tipo"), lines.alias("lines"))
-    one = F.size("lines") == 1
-    rows = rows.select("n", "tipo", F.when(one | (F.col("tipo") == "considerando"), "").otherwise(F.element_at("lines", 1)).alias("rubrica"), one.alias("one"), F.posexplode("lines").alias("ord", "testo"))
-    rows = rows.where((F.col("one") | (F.col("ord") > 0)) & (F.length("testo") >= SHORTEST)).withColumn("par", F.when(~F.col("one"), F.col("ord")))
+    """Each document is an article or recital. An article's first line is its heading, each further line a paragraph; all lines of a recital are paragraphs, the first without a number; one line alone is a passage without a number."""
+    rows = docs.select(F.col("doc_id").alias("n"), type_of(F.col("source")).alias("tipo"), F.split("text", "\n").alias("lines"))
+    one, recital = F.size("lines") == 1, F.col("tipo") == "considerando"
+    rows = rows.select("n", "tipo", F.when(one | recital, "").otherwise(F.element_at("lines", 1)).alias("rubrica"), one.alias("one"), F.posexplode("lines").alias("ord", "testo"))
+    rows = rows.where((F.col("one") | recital | (F.col("ord") > 0)) & (F.length("testo") >= SHORTEST)).withColumn("par", F.when(~F.col("one"), F.col("ord")))
     return identify(rows).select("pos", "id", "tipo", "n", "par", "citazione", "rubrica", F.lit(None).cast("string").alias("termine"), F.lit("").alias("capo"), "testo")
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of passages, as extraction writes it; pos is the place in the array."""
-    whole = spark.read.text(path, wholetext=True)
-    items = F.from_json("value", T.ArrayType(T.StructType(SCHEMA.fields[1:])))
-    return whole.select(F.posexplode(items).alias("pos", "p")).select(F.col("pos").cast("long").alias("pos"), "p.*")
+def read_json(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
+    """Passages from JSON: lines as write_json writes them, each with its pos; or files that hold one array each, whose pos is the place in the array (each file is read by one task; a second file's places come after)."""
+    if not array:
+        return spark.read.schema(SCHEMA).json(path)
+    rows = spark.read.schema(T.StructType(SCHEMA.fields[1:])).json(path, multiLine=True)
+    return rows.select(F.monotonically_increasing_id().alias("pos"), *(f.name for f in SCHEMA.fields[1:]))
 
 
 def write_json(passages: DataFrame, path: str) -> None:
-    passages.drop("pos").write.mode("overwrite").json(path)
+    """Passages as JSON lines, which read_json reads in any number of tasks."""
+    passages.select(*(f.name for f in SCHEMA.fields)).write.mode("overwrite").json(path)
 
 
 def from_pages(pages: DataFrame) -> DataFrame:
@@ -63,11 +81,13 @@ def from_pages(pages: DataFrame) -> DataFrame:
         html = F.regexp_replace(html, rf"(?is)<{tag}[ >].*?</{tag}>", " ")
     html = F.regexp_replace(html, r'(?is)<div class="ad">.*?</div>', " ")
     html = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    bare = lambda x: clean(unescape(F.regexp_replace(x, "<[^>]*>", " ")))
-    rows = pages.select("page_id", bare(F.regexp_extract(html, r"(?is)<h1>(.*?)</h1>", 1)).alias("heading"), F.split(html, "(?i)<p>").alias("parts"))
-    rows = rows.select("page_id", "heading", F.posexplode("parts").alias("ord", "part")).where("ord > 0")
-    body = F.element_at(F.split("part", "(?i)</p>|</article>|</body>"), 1)
-    return rows.select("page_id", "ord", "heading", bare(body).alias("testo")).where(F.length("testo") >= SHORTEST)
+    bare = lambda x: unescape(F.regexp_replace(x, "<[^>]*>", " "))
+    rows = pages.select("page_id", bare(F.regexp_extract(html, r"(?is)<h1>(.*?)</h1>", 1)).alias("h"), F.split(html, "(?i)<p>").alias("parts"))
+    rows = rows.select("page_id", "h", F.posexplode("parts").alias("ord", "part")).where("ord > 0")
+    rows = rows.select("page_id", "h", "ord", bare(F.element_at(F.split("part", "(?i)</p>|</article>|</body>"), 1)).alias("t"))
+    # an array's filter, since a predicate on the cleaned text would be pushed below it and clean every text twice
+    long = F.filter(F.array(clean(F.col("t"))), lambda x: F.length(x) >= SHORTEST)
+    return rows.select("page_id", "ord", clean(F.col("h")).alias("heading"), F.explode(long).alias("testo"))
 
 
 def unescape(x: Column) -> Column:
@@ -96,15 +116,16 @@ def fill_chapters(nodes: DataFrame) -> DataFrame:
 
     kind: capo opens a chapter and closes the section; sezione opens a section; subtitle extends what is open; others are content.
     """
-    first = Window.partitionBy("doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    chapter = Window.partitionBy("doc", "__c").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    section = Window.partitionBy("doc", "__c", "__s").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    order = lambda *by: Window.partitionBy("doc", *by).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     kind = F.col("kind")
-    out = nodes.withColumn("__c", F.sum((kind == "capo").cast("int")).over(first)).withColumn("__s", F.sum((kind == "sezione").cast("int")).over(chapter))
-    title = F.when(kind.isin("capo", "sezione", "subtitle"), F.col("title"))
-    join = lambda when, over: F.nullif(F.array_join(F.collect_list(F.when(when, title)).over(over), " — "), F.lit(""))
-    out = out.withColumn("capo", F.when(F.col("__c") > 0, join(F.col("__s") == 0, chapter))).withColumn("sezione", F.when(F.col("__s") > 0, join(F.col("__s") > 0, section)))
-    return out.drop("__c", "__s")
+    titled = kind.isin("capo", "sezione", "subtitle")
+    out = nodes.withColumn("__c", F.sum((kind == "capo").cast("int")).over(order())).withColumn("__s", F.sum((kind == "sezione").cast("int")).over(order("__c")))
+    # titles alone gather the titles before them; every other row then takes the last label, so the work grows with the rows
+    label = F.array_join(F.collect_list(F.when(titled, F.col("title"))).over(order("__c", "__s", "__t")), " — ")
+    out = out.withColumn("__t", titled).withColumn("__l", F.when(titled, label))
+    last = lambda when, *by: F.nullif(F.last(F.when(when, F.col("__l")), ignorenulls=True).over(order(*by)), F.lit(""))
+    out = out.withColumn("capo", F.when(F.col("__c") > 0, last(F.col("__s") == 0, "__c"))).withColumn("sezione", F.when(F.col("__s") > 0, last(F.col("__s") > 0, "__c", "__s")))
+    return out.drop("__c", "__s", "__t", "__l")
 
 
 def fold_paragraphs(blocks: DataFrame) -> DataFrame:
@@ -191,7 +212,10 @@ def legal_nodes(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def from_legal_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """Passages of pages with legal markup: recitals, article paragraphs, and definitions as passages of their own."""
+    """Passages of pages with legal markup: recitals, article paragraphs, and definitions as passages of their own.
+
+    pos is unique over all pages; id, whose form is fixed, within a page.
+    """
     nodes = legal_nodes(pages, key)
     recitals = nodes.where("kind = 'rct'").select(key, F.lit("considerando").alias("tipo"), F.col("number").alias("n"), F.lit(None).cast("int").alias("par"), F.lit("").alias("rubrica"), F.lit("").alias("capo"), F.regexp_replace("text", r"^\(\d+\)\s*", "").alias("testo")).where("testo <> ''")
     upper = F.upper("text")
@@ -206,9 +230,11 @@ def from_legal_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
     base = base.select(key, F.lit("articolo").alias("tipo"), "n", "par", "rubrica", "capo", "testo")
     listed = split_definitions(base)
     names = [key, "pos", "id", "tipo", "n", "par", "citazione", "rubrica", "termine", "capo", "testo"]
-    plain = identify(recitals.unionByName(base.where(F.size(F.split(F.regexp_replace("testo", DEFINITION, "\u0001"), "\u0001")) <= DEFINITIONS))).withColumn("termine", F.lit(None).cast("string"))
+    at = lambda par, definition: place_on_page(F.col(key), F.col("tipo"), F.col("n"), F.col(par), definition)
+    plain = recitals.unionByName(base.where(F.size(F.split(F.regexp_replace("testo", DEFINITION, "\u0001"), "\u0001")) <= DEFINITIONS))
+    plain = identify(plain, at("par", False)).withColumn("termine", F.lit(None).cast("string"))
     n = F.col("n").cast("string")
-    listed = listed.select(key, (place(F.lit("articolo"), F.col("n"), F.lit(0)) + F.col("num")).alias("pos"), F.concat(F.lit("a"), n, F.lit("d"), F.col("num").cast("string")).alias("id"), "tipo", "n", F.lit(None).cast("int").alias("par"), F.concat(F.lit("Articolo "), n, F.lit(", punto "), F.col("num").cast("string"), F.lit(")")).alias("citazione"), F.concat_ws(" — ", "rubrica", "termine").alias("rubrica"), "termine", "capo", F.col("corpo").alias("testo"))
+    listed = listed.select(key, at("num", True).alias("pos"), F.concat(F.lit("a"), n, F.lit("d"), F.col("num").cast("string")).alias("id"), "tipo", "n", F.lit(None).cast("int").alias("par"), F.concat(F.lit("Articolo "), n, F.lit(", punto "), F.col("num").cast("string"), F.lit(")")).alias("citazione"), F.concat_ws(" — ", "rubrica", "termine").alias("rubrica"), "termine", "capo", F.col("corpo").alias("testo"))
     return plain.select(*names).unionByName(listed.select(*names))
 
 

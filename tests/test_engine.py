@@ -1,12 +1,21 @@
 """Extraction, index and search on a small corpus made by hand."""
 
+import json
+import math
+import re
+import unicodedata
+from collections import Counter
 from dataclasses import replace
 
+import pytest
 from pyspark.sql import functions as F
 
-from lexgrove.operators import evaluate, index, search
+from lexgrove.functions import text as X
+from lexgrove.functions.lexicon import STOP_WORDS, SUFFIXES
+from lexgrove.operators import evaluate, index, search, store
 from lexgrove.plans import queries
 from lexgrove.sources import passages as P
+from lexgrove.sources.fetch import fetch
 from lexgrove.streaming.questions import answer
 
 HTML = """
@@ -33,35 +42,170 @@ def test_extraction(spark):
     assert rows["a2d1"].capo == "SEZIONE 1" and rows["a2d1"].termine == "dato" and rows["a2d1"].testo == "ogni informazione" and rows["a2d1"].rubrica == "Definizioni — dato"
 
 
+def plain_terms(text):
+    flat = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not 0x300 <= ord(c) <= 0x36F)
+    out = []
+    for w in re.sub("[^a-z0-9 ]+", " ", re.sub("['’`]", " ", flat)).split():
+        if len(w) >= 2 and w not in STOP_WORDS:
+            w = next((w[: -len(x)] for x in SUFFIXES if w.endswith(x) and len(w) - len(x) >= 4), w)
+            out.append(w[:-1] if len(w) >= 4 and w[-1] in "aeio" else w)
+    return out
+
+
+def plain_scores(passages, question):
+    """BM25 over both fields with floor, heading weight and recital weight, passage by passage."""
+    fields = [(plain_terms(p.testo), plain_terms(p.rubrica)) for p in passages]
+    n, headed = len(fields), [len(r) for _, r in fields if r]
+    mean = (sum(len(b) for b, _ in fields) / n, sum(headed) / max(1, len(headed)) or 1.0)
+    out = {}
+    for p, both in zip(passages, fields, strict=True):
+        total = 0.0
+        for t in dict.fromkeys(plain_terms(question)):
+            for k, (weight, floor) in enumerate(((1.0, 25), (2.2, 0))):
+                df, tf = sum(t in f[k] for f in fields), Counter(both[k])[t]
+                if tf:
+                    norm = 0.25 + 0.75 * max(len(both[k]), floor) / mean[k]
+                    total += weight * math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * norm)
+        if total:
+            out[p.id] = total * (0.55 if p.tipo == "considerando" else 1)
+    return out
+
+
 def test_search(spark, tmp_path):
+    passages = corpus(spark).collect()
     ix = index.build(corpus(spark))
-    asked = spark.createDataFrame([(1, "chi decide sui dati"), (2, "art. 1"), (3, "considerando 1"), (4, "zzz"), (5, "art. 2 comma 1")], "qid int, d string")
+    asked = spark.createDataFrame([(1, "chi decide sui dati"), (2, "art. 1"), (3, "considerando 1"), (4, "zzz"), (5, "art. 2 comma 1"), (6, "titolare e trattamento")], "qid int, d string")
     rows = search.search(asked, ix).orderBy("qid", "rank").collect()
-    by = {q: [r.id for r in rows if r.qid == q] for q in range(1, 6)}
-    assert by[1][0] in ("a2d2", "a1p1") and by[2][:2] == ["a1p1", "a1p2"] and by[3][0] == "c1" and by[4] == []
+    by = {q: [r.id for r in rows if r.qid == q] for q in range(1, 7)}
+    assert by[1][0] == "a2d1" and by[2][:2] == ["a1p1", "a1p2"] and by[3][0] == "c1" and by[4] == []
     assert all(r.esatto == (r.punteggio == float("inf")) for r in rows)
+    for q, d in ((1, "chi decide sui dati"), (6, "titolare e trattamento")):
+        assert {r.id: r.punteggio for r in rows if r.qid == q} == pytest.approx(plain_scores(passages, d), abs=1e-6)
+        assert [r.punteggio for r in rows if r.qid == q] == sorted((r.punteggio for r in rows if r.qid == q), reverse=True)
     for q in by:
         assert [r["rank"] for r in rows if r.qid == q] == list(range(1, len(by[q]) + 1))
     assert search.search(asked.where("qid = 2"), ix, replace(search.DEFAULTS, limit=1)).count() == 1
-    index.save(ix, str(tmp_path / "ix"))
-    back = index.load(spark, str(tmp_path / "ix"))
-    assert back.stemmed and evaluate.same_index(ix, back)
+    assert search.interactive(asked.unionByName(spark.createDataFrame([(9, " a ")], "qid int, d string")), ix).where("qid = 9").count() == 0
+    path = str(tmp_path / "ix")
+    assert index.load_if_there(spark, path) is None and set(index.missing(spark, path)) == set(index.TABLES)
+    back = index.save(ix, path)
+    assert back.stemmed and evaluate.same_index(ix, back) and not evaluate.same_index(index.build(corpus(spark).where("id <> 'c1'")), back)
     assert [r.asDict() for r in search.search(asked, back).orderBy("qid", "rank").collect()] == [r.asDict() for r in rows]
+    assert {r.name for r in index.sizes(spark, path).where("bytes > 0").collect()} == set(index.TABLES)
+    assert evaluate.same_index(index.publish(spark, path, str(tmp_path / "out")), back)
+
+
+def test_publish_refuses(spark, tmp_path):
+    path = str(tmp_path / "ix")
+    passages = corpus(spark)
+    index.save(index.build(passages), path)
+    passages.select("pos", "testo").limit(2).write.mode("overwrite").parquet(f"{path}/texts")
+    with pytest.raises(ValueError, match="lack passage or text"):
+        index.publish(spark, path, str(tmp_path / "out"))
+    index.save(index.build(passages.withColumn("id", F.lit("a1"))), path)
+    with pytest.raises(ValueError, match="occur twice: some"):
+        index.publish(spark, path, str(tmp_path / "out"))
+    assert index.load_if_there(spark, str(tmp_path / "out")) is None
+
+
+def test_kept_index_follows_its_source(spark, tmp_path):
+    source = str(tmp_path / "documents.parquet")
+    docs = lambda text: spark.createDataFrame([(1, text, "src9")], "doc_id long, text string, source string")
+    docs("una riga di prova").write.parquet(source)
+    get = lambda: store.kept_index(P.from_documents(spark.read.parquet(source)), source)
+    first = {r.term for r in get().terms.collect()}
+    assert {r.term for r in get().terms.collect()} == first and "prov" in first
+    docs("tutta un'altra frase qui").write.mode("overwrite").parquet(source)
+    assert "fras" in {r.term for r in get().terms.collect()}
+
+
+def test_lengths_and_statistics(spark):
+    docs = spark.createDataFrame([(1, "titolo\nil lo la di a da\ncasa casa strada", "src9"), (2, "considerando lungo abbastanza\naltro testo qui", "src0")], "doc_id long, text string, source string")
+    ix = index.build(P.from_documents(docs))
+    got = {r.pos % (1 << 20): (r.len_body, r.len_rub) for r in index.lengths(ix.postings, ix.meta).collect() if r.pos >= 1 << 60}
+    assert got == {1: (0, 1), 2: (3, 1)}
+    stats = ix.stats.first()
+    assert stats.n == 4 and stats.avg_rub == 1.0 and stats.avg_body == pytest.approx((0 + 3 + 3 + 2) / 4)
 
 
-def test_evaluation(spark):
+def test_evaluation(spark, tmp_path):
     ix = index.build(corpus(spark))
-    asked = spark.createDataFrame([(1, "diritto di accesso"), (2, "volontà libera")], "qid int, d string")
-    expected = spark.createDataFrame([(1, "a1p2"), (2, "a2d1")], "qid int, id string")
-    m = {r.target: r for r in evaluate.evaluate(asked, expected, ix).collect()}
+    with open(tmp_path / "q.json", "w", encoding="utf-8") as f:
+        json.dump({"nota": ["x"], "domande": [{"d": "diritto di accesso", "attesi": ["a1p2"]}, {"d": "volontà libera", "attesi": ["a2d1", "a2d1"]}]}, f)
+    asked, expected = evaluate.read_questions(spark, str(tmp_path / "q.json"))
+    assert [tuple(r) for r in asked.orderBy("qid").collect()] == [(1, "diritto di accesso"), (2, "volontà libera")] and expected.count() == 2
+    m = {r.target: r for r in evaluate.report(evaluate.evaluate(asked, expected, ix)).collect()}
     assert m["articolo"].p1 == 1.0 and m["esatto"].p1 == 0.5 and m["esatto"].n == 2
+    assert m["articolo"].line == "P@1 100 %  P@3 100 %  MRR 1.000"
     assert evaluate.ghosts(expected, ix.meta).count() == 0
-    a = evaluate.alignment(ix).first()
+    a = evaluate.alignment(ix.meta, ix.texts).first()
     assert a.passages == a.texts == 6 and a.unmatched == 0
-    assert evaluate.duplicate_ids(ix.meta).count() == 0
-    grid = evaluate.ablation(asked, expected, ix)
+    assert evaluate.duplicate_ids(ix.meta).count() == 0 and evaluate.duplicate_ids(ix.meta, "pos").count() == 0
+    grid = evaluate.ablation(asked, expected, ix).cache()
     assert grid.count() == 2 * len(evaluate.ABLATION)
     assert {r.questions for r in evaluate.deltas(grid).where("config = 'no_coverage'").collect()} == {0}
+    for name in ("no_heading", "bare_plain"):
+        alone = evaluate.evaluate(asked, expected, ix, replace(search.DEFAULTS, **evaluate.ABLATION[name])).orderBy("target").collect()
+        assert [tuple(r) for r in grid.where(F.col("config") == name).drop("config").orderBy("target").collect()] == [tuple(r) for r in alone]
+    plain = index.build(corpus(spark), stemmed=False)
+    both = evaluate.stemming(asked, expected, ix, plain)
+    assert both.count() == 4 and both.where("config = 'stemmed' and questions <> 0").count() == 0 and evaluate.stemming(asked, expected, ix, None).count() == 2
+
+
+def test_containing_is_contains(spark):
+    words = ["uno", "due", "tre", "quattro", "cinque", "sei", "sette", "otto"]
+    texts = [(1, " ".join(words)), (2, "x" + " ".join(words) + "y"), (3, "uno  due tre"), (4, None), (5, ""), (6, "due tre\nquattro cinque sei sette otto nove"), (7, "quattro quattro quattro quattro quattro quattro quattro quattro")]
+    items = [(1, "due tre quattro cinque sei sette"), (2, "no due tr"), (3, "e"), (4, "due  tre"), (5, None), (6, "tre\nquattro cinque sei sette ott"), (7, "attro quattro quattro quattro quattro quattro qu"), (8, "uno due tre quattro cinque sei sette otto nove"), (9, "ue tre qua")]
+    got = evaluate.containing(spark.createDataFrame(texts, "k long, text string"), spark.createDataFrame(items, "item long, text string"), "k").collect()
+    assert sorted(map(tuple, got)) == sorted((i, k) for i, x in items for k, t in texts if x is not None and t is not None and x in t)
+
+
+def test_json(spark, tmp_path):
+    passages = corpus(spark)
+    P.write_json(passages.repartition(3), str(tmp_path / "p"))
+    assert sorted(map(tuple, P.read_json(spark, str(tmp_path / "p")).collect()), key=repr) == sorted(map(tuple, passages.collect()), key=repr)
+    with open(tmp_path / "brani.json", "w", encoding="utf-8") as f:
+        json.dump([{"id": "c1", "tipo": "considerando", "n": 1, "testo": "è"}, {"id": "a1", "tipo": "articolo", "n": 1, "par": None, "testo": "b"}], f, indent=1)
+    assert [(r.pos, r.id, r.par, r.testo) for r in P.read_json(spark, str(tmp_path / "brani.json"), array=True).orderBy("pos").collect()] == [(0, "c1", None, "è"), (1, "a1", None, "b")]
+
+
+def test_places_do_not_clash(spark):
+    """Definitions and numbered paragraphs in one article, the same article on two pages."""
+    html = '<div id="art_4"><p class="oj-sti-art">Definizioni</p><div>1. Il paragrafo uno del testo.</div><div>2. Un «a» qui: 1) «dato»: ogni informazione; 2) «titolare»: chi decide; 3) «consenso»: volontà libera;</div></div>'
+    rows = P.from_legal_pages(spark.createDataFrame([(1, html), (2, html), (3, None)], "page_id long, html string")).collect()
+    assert len(rows) == 8 == len({r.pos for r in rows}) and {r.id for r in rows} == {"a4p1", "a4d1", "a4d2", "a4d3"}
+    with pytest.raises(Exception, match="no place for"):
+        P.from_legal_pages(spark.createDataFrame([(1 << 40, html)], "page_id long, html string")).collect()
+
+
+def test_chapters_of_a_long_document(spark):
+    kinds = ["art", "subtitle", "capo", "art", "subtitle", "art", "sezione", "subtitle", "art", "art", "capo", "art", "sezione", "art"]
+    nodes = spark.createDataFrame([(1, i, k, f"t{i}") for i, k in enumerate(kinds)] + [(2, i, "art" if i else "sezione", "s") for i in range(3000)], "doc int, ord int, kind string, title string")
+    rows = P.fill_chapters(nodes).where("kind = 'art'").orderBy("doc", "ord").collect()
+    assert [(r.ord, r.capo, r.sezione) for r in rows if r.doc == 1] == [(0, None, None), (3, "t2", None), (5, "t2 — t4", None), (8, "t2 — t4", "t6 — t7"), (9, "t2 — t4", "t6 — t7"), (11, "t10", None), (13, "t10", "t12")]
+    assert {(r.capo, r.sezione) for r in rows if r.doc == 2} == {(None, "s")}
+
+
+def test_composition(spark):
+    given = ["e\u0301 \u1100\u1161\u11a8 \u212b \u00e9", "plain", "", None, "a\u0323\u0302"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, x string").select("i", X.clean(F.col("x")).alias("y")).orderBy("i").collect()
+    assert [r.y for r in got] == [None if t is None else unicodedata.normalize("NFC", t) for t in given]
+    pattern = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), X.recomposing()))
+    for code in (*range(0x80, 0x3000), *range(0xAC00, 0xAC20), *range(0x1D100, 0x1D200)):
+        for t in (chr(code), "a" + chr(code), "\u1100" + chr(code)):
+            assert unicodedata.normalize("NFC", t) == t or pattern.search(t), hex(code)
+
+
+def test_fetch(tmp_path):
+    page = tmp_path / "page.html"
+    page.write_text("è «testo»", encoding="utf-8")
+    copy = str(tmp_path / "kept" / "copy.html")
+    assert fetch(page.as_uri(), copy) == "è «testo»"
+    page.write_text("altro", encoding="utf-8")
+    assert fetch(page.as_uri(), copy) == "è «testo»" and fetch(page.as_uri(), copy, force=True) == "altro"
+    with pytest.raises(OSError):
+        fetch((tmp_path / "missing").as_uri(), copy, force=True)
+    assert fetch("", copy) == "altro"
 
 
 def test_definitions_need_three(spark):
@@ -84,23 +228,24 @@ def test_empty(spark):
     assert ix.stats.select(F.col("n")).first().n == 0
 
 
-def test_article_targets_come_from_whole_documents(spark, tmp_path):
-    """A benchmark text over a line break, and one in a recital's first line, have article targets and are judged."""
+def test_targets_come_from_whole_documents(spark, tmp_path):
+    """A benchmark text over a line break, and one in a recital's first line, have article targets and are judged, whole and short."""
     docs = [(1, "rubrica uno\nprima riga del testo\nseconda riga", "src9"), (2, "prima riga di un considerando\naltra riga", "src0"), (3, "rubrica tre\nuna frase intera qui", "src9")]
     spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     items = [(1, "del testo\nseconda"), (2, "riga di un considerando"), (3, "frase intera"), (4, "assente")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    assert [r.qid for r in queries.qrels(spark, str(tmp_path)).collect()] == [3]
-    found = {(r.qid, r.tipo, r.n) for r in queries.qrels_article_whole(spark, str(tmp_path)).collect()}
-    assert found == {(1, "articolo", 1), (2, "considerando", 2), (3, "articolo", 3)}
-    n = {r.target: r.n for r in queries.eval_metrics_whole(spark, str(tmp_path)).collect()}
-    assert n == {"articolo": 3, "esatto": 1}
+    both = lambda *qids: {q + k for q in qids for k in (0, queries.SHORT)}
+    assert {r.qid for r in queries.qrels(spark, str(tmp_path)).collect()} == both(2, 3)
+    found = {(r.qid, r.tipo, r.n) for r in queries.qrels_article(spark, str(tmp_path)).collect()}
+    assert found == {(q, t, n) for n, t in ((1, "articolo"), (2, "considerando"), (3, "articolo")) for q in both(n)}
+    n = {r.target: r.n for r in queries.eval_metrics(spark, str(tmp_path)).collect()}
+    assert n == {"articolo": 6, "esatto": 4}
+    assert {r.qid for r in queries.match_article(spark, str(tmp_path)).collect()} == both(1, 2, 3)
 
 
 def test_definitions_of_all_lines(spark, tmp_path):
     """Lines beyond the 99th give definitions, also where fewer than three are left."""
     docs = [(n, "\n".join(f"voce numero {i}" for i in range(1, n + 1)), "src9") for n in (3, 99, 101, 250)]
     spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    rows = queries.definition_split_whole(spark, str(tmp_path)).collect()
+    rows = queries.definition_split(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.num, r.termine, r.corpo) for r in rows) == [(n, i, f"voce numero {i}", f"voce numero {i}") for n in (3, 99, 101, 250) for i in range(1, n + 1)]
-    assert queries.definition_split(spark, str(tmp_path)).where("doc_id = 250").count() == 99

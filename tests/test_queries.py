@@ -9,7 +9,7 @@ import pytest
 from lexgrove.plans import queries as core
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents pages benchmark".split()
+TABLES = "documents pages benchmark labels conversations".split()
 
 
 def value(v):
@@ -19,7 +19,7 @@ def value(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", sorted(set(core.ORACLE) - {"ablation_grid"}))
+@pytest.mark.parametrize("name", sorted(core.ORACLE))
 def test_query(spark, name):
     con = duckdb.connect()
     for t in TABLES:
