@@ -6,10 +6,12 @@ node keeps its covering radius, the largest distance from its centre to what is
 only if their centres' distance is at most the sum of both covering radii and the threshold distance; else the pair of nodes
 is pruned with all below.
 
-On the cluster: equal vectors are one class.  The upper levels come from a bounded sample (SAMPLE rows in all, UPPER
-nodes a label); every class goes to its nearest node of its label, whose covering radius and size are then counted over all
+On the cluster: equal vectors are one class.  The upper levels are those of the cover tree of a bounded sample (SAMPLE rows in
+all); of each label's the deepest level counts whose nodes hold FULL sampled rows on average and of whose node pairs at least half are
+pruned, else the root alone.  Every class goes to its nearest node of its label, whose covering radius and size are then counted over all
 rows.  Node pairs that survive pruning are cut into blocks of about BLOCK classes, and each pair of blocks is one task, which
-builds the lower levels of both trees and traverses them level by level.  A task returns what it found in a size that is
+builds the lower levels of both trees and traverses them level by level.  So where distances tell nothing (random directions in many
+dimensions are all about as far apart) a vector goes to as many tasks as its label has blocks, and no upper level multiplies that.  A task returns what it found in a size that is
 linear in its rows: a count for each class and a forest that connects what is linked, so a large group of near copies makes
 no quadratic output.  A label without sampled rows has one unpruned node.
 
@@ -32,62 +34,77 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .common import components, cut
 
-SAMPLE, UPPER, BLOCK = 8192, 32, 1024
+SAMPLE, FULL, BLOCK = 2048, 8, 2048
 #: Radius of the root's level; each level below halves it, down to LEAST.
 ROOT, LEAST = 2.0, 0.25
-SLACK = 1e-9
-
-
-def net(points: np.ndarray, radius: float, limit: int | None = None) -> np.ndarray:
-    """Greedy net: indices of centres more than radius apart that cover all points (or the first limit of them). The first point is one."""
-    centres, near = [], np.full(len(points), np.inf)
-    left = np.arange(len(points))
-    while len(left) and (limit is None or len(centres) < limit):
-        c = left[0]
-        centres.append(c)
-        d = np.linalg.norm(points[left] - points[c], axis=1)
-        near[left] = np.minimum(near[left], d)
-        left = left[d > radius]
+#: More than the rounding of a distance that comes from a product of unit vectors.
+SLACK = 1e-7
+
+
+def distances(dot: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * dot, 0))
+
+
+def net(dot: np.ndarray, radius: float) -> np.ndarray:
+    """Greedy net: indices of centres more than radius apart that cover all points, whose products are given. The first point is one."""
+    near = 1 - radius * radius / 2
+    centres, left = [], np.arange(len(dot))
+    while len(left):
+        centres.append(left[0])
+        left = left[dot[left[0], left] < near]
     return np.array(centres, np.int64)
 
 
 class CoverTree:
-    """Levels from the root down: centres (indices of points), parents, and covering radii; the last level is all points."""
+    """Levels from the root down: centres (indices of points), parents, and covering radii; the last level is all points. It takes the square of the points in memory."""
 
     def __init__(self, points: np.ndarray):
         self.points = points
         n = len(points)
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        dot = points @ points.T
         home = np.zeros(n, np.int64)  # node of each point at the level above
         radius = ROOT
         centres = np.zeros(1, np.int64)
-        self.levels.append((centres, np.zeros(1, np.int64), np.array([np.linalg.norm(points - points[0], axis=1).max()])))
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(centres, np.zeros(1, np.int64), np.array([distances(dot[0]).max()]))]
         while radius / 2 >= LEAST and len(centres) < n:
             radius /= 2
-            new_centres, parents, new_home = [], [], np.empty(n, np.int64)
             order = np.argsort(home, kind="stable")
-            ends = np.append(np.flatnonzero(np.diff(home[order])) + 1, n)
-            a = 0
-            for b in ends.tolist():
-                members = order[a:b]
-                node = home[members[0]]
+            size = np.bincount(home, minlength=len(centres))
+            end = np.cumsum(size)
+            new_centres, parents, new_home = [centres[size == 1]], [np.flatnonzero(size == 1)], np.empty(n, np.int64)
+            count = len(new_centres[0])
+            new_home[new_centres[0]] = np.arange(count)  # a node of one point goes on as it is
+            for node in np.flatnonzero(size > 1).tolist():
+                members = order[end[node] - size[node] : end[node]]
                 at = int(np.flatnonzero(members == centres[node])[0])
                 members = np.concatenate([members[at : at + 1], members[:at], members[at + 1 :]])  # nested: the centre first
-                own = points[members]
+                own = dot if len(members) == n and at == 0 else dot[np.ix_(members, members)]
                 chosen = net(own, radius)
-                d = np.sqrt(np.maximum(2 - 2 * own @ own[chosen].T, 0))
-                new_home[members] = len(new_centres) + d.argmin(1)
-                new_home[members[chosen]] = len(new_centres) + np.arange(len(chosen))
-                new_centres += members[chosen].tolist()
-                parents += [node] * len(chosen)
-                a = b
-            centres, home = np.array(new_centres), new_home
+                new_home[members] = count + own[:, chosen].argmax(1)
+                new_home[members[chosen]] = count + np.arange(len(chosen))
+                new_centres.append(members[chosen])
+                parents.append(np.full(len(chosen), node))
+                count += len(chosen)
+            centres, home = np.concatenate(new_centres), new_home
             reach = np.zeros(len(centres))
-            np.maximum.at(reach, home, np.linalg.norm(points - points[centres[home]], axis=1))
-            self.levels.append((centres, np.array(parents), reach))
+            np.maximum.at(reach, home, distances(dot[np.arange(n), centres[home]]))
+            self.levels.append((centres, np.concatenate(parents), reach))
         self.levels.append((np.arange(n), home, np.zeros(n)))
 
 
+def survivors(points: np.ndarray, radii: np.ndarray, reach: float) -> np.ndarray:
+    """Which pairs of nodes, by their centres and covering radii, can hold a pair within reach."""
+    return distances(points @ points.T) <= radii[:, None] + radii[None, :] + reach
+
+
+def upper(points: np.ndarray, reach: float) -> np.ndarray:
+    """Centres of the sample's deepest level that is full enough and prunes half of its node pairs; else of the root."""
+    for centres, _, radii in reversed(CoverTree(points).levels[1:]):
+        if len(centres) * FULL <= len(points) and survivors(points[centres], radii, reach).mean() <= 0.5:
+            return points[centres]
+    return points[:1]
+
+
 def linked(a: CoverTree, b: CoverTree, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Indices of all pairs (of a's and b's points) with at least this cosine, by dual traversal."""
     reach = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
@@ -107,13 +124,20 @@ def linked(a: CoverTree, b: CoverTree, cosine: float) -> tuple[np.ndarray, np.nd
         rows, cols = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
         if not len(rows):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        here = alive[np.ix_(rows, cols)]
+        if here.mean() < 0.05:  # few pairs are left: each by itself
+            i, j = np.nonzero(here)
+            dot = np.einsum("ij,ij->i", a.points[ca[rows[i]]], b.points[cb[cols[j]]])
+            if k == depth - 1:
+                hit = dot >= cosine
+                return rows[i[hit]], cols[j[hit]]
+            alive[rows[i], cols[j]] = distances(dot) <= ra[rows[i]] + rb[cols[j]] + reach
+            continue
         dot = a.points[ca[rows]] @ b.points[cb[cols]].T
         if k == depth - 1:
-            hit = (dot >= cosine) & alive[np.ix_(rows, cols)]
-            i, j = np.nonzero(hit)
+            i, j = np.nonzero((dot >= cosine) & here)
             return rows[i], cols[j]
-        apart = np.sqrt(np.maximum(2 - 2 * dot, 0))
-        alive[np.ix_(rows, cols)] &= apart <= ra[rows][:, None] + rb[cols][None, :] + reach
+        alive[np.ix_(rows, cols)] = here & (distances(dot) <= ra[rows][:, None] + rb[cols][None, :] + reach)
     raise AssertionError
 
 
@@ -186,7 +210,7 @@ def _assign(centres: dict[tuple[int, int], np.ndarray]):
                 groups.setdefault((label, len(u)), []).append(k)
             for key, rows in groups.items():
                 if (c := centres.get(key)) is not None:
-                    d = np.sqrt(np.maximum(2 - 2 * np.array([units[k] for k in rows]) @ c.T, 0))
+                    d = distances(np.array([units[k] for k in rows]) @ c.T)
                     cell[rows] = d.argmin(1)
                     apart[rows] = d.min(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(u) for u in units], pa.int32()), pa.array(cell, pa.int32()), pa.array(apart, pa.float64())], names=[*batch.schema.names, "dim", "cell", "apart"])
@@ -203,31 +227,25 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.93) -> DataFrame:
     fit = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(~F.isnan(big) & (big < float("inf")), F.lit(False)) & F.exists("vector", lambda x: x != 0.0)
     digest = F.sha2(F.array_join(F.transform("vector", lambda x: F.hex(F.when(x == 0.0, F.lit(0.0)).otherwise(x).cast("string"))), ","), 256)
     rows = cut(rows.select("vec_id", "label", "vector", F.coalesce(fit, F.lit(False)).alias("fit")).withColumn("same", F.when(F.col("fit"), digest)))
-    classes = rows.where("fit").groupBy("label", "same").agg(F.min("vec_id").alias("node"), F.count("*").alias("many"), F.first("vector").alias("vector"))
-    classes = cut(classes.select("node", "label", "many", "same", "vector"))
+    classes = rows.where("fit").groupBy("label", "same").agg(F.min("vec_id").alias("least"), F.count("*").alias("many"), F.first("vector").alias("vector"))
+    # a class has a number of its own, since rows that repeat a vec_id may be of several classes
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("node"), "least", "label", "many", "same", "vector"))
     units = classes.select("node", "label", "many", "vector").mapInArrow(_units, "node long, label long, many long, unit array<double>")
 
     sample = units.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(SAMPLE).collect()
     grouped: dict[tuple[int, int], list] = {}
     for r in sample:
         grouped.setdefault((r.label, len(r.unit)), []).append(r.unit)
-    centres = {}
-    for key, points in grouped.items():
-        points = np.array(points)
-        centres[key] = points[net(points, ROOT / 2, UPPER)]
+    reach = math.sqrt(2 - 2 * cosine) + SLACK
+    centres = {key: upper(np.array(points), reach) for key, points in grouped.items()}
     placed = cut(units.mapInArrow(_assign(centres), "node long, label long, many long, unit array<double>, dim int, cell int, apart double"))
     cells = placed.groupBy("label", "dim", "cell").agg(F.count("*").alias("size"), F.max("apart").alias("radius"))
     cells = cells.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     sampled = {(r.label, r.dim, r.cell): r.radius for r in cells.where("cell >= 0").collect()}  # SAMPLE rows at most
-    reach = math.sqrt(2 - 2 * cosine) + SLACK
     pairs = []
     for (label, dim), c in centres.items():
-        d = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))
-        for x in range(len(c)):
-            for y in range(x, len(c)):
-                rx, ry = sampled.get((label, dim, x)), sampled.get((label, dim, y))
-                if rx is not None and ry is not None and d[x, y] <= rx + ry + reach:
-                    pairs.append((label, dim, x, y))
+        radii = np.array([sampled.get((label, dim, x), -math.inf) for x in range(len(c))])  # a node without rows meets none
+        pairs += [(label, dim, x, y) for x, y in np.argwhere(np.triu(survivors(c, radii, reach))).tolist()]
     known = spark.createDataFrame(pairs, "label long, dim int, a int, b int")
     alone = cells.where("cell < 0").select("label", "dim", F.col("cell").alias("a"), F.col("cell").alias("b"))
     size = lambda x: cells.select("label", "dim", F.col("cell").alias(x), F.col("blocks").alias(f"n{x}"))
@@ -240,9 +258,13 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.93) -> DataFrame:
     right = right.select("label", "a", F.col("cell").alias("b"), "x", "y", F.lit(1).alias("side"), "node", "many", "unit")
     found = cut(left.union(right).groupBy("label", "a", "b", "x", "y").applyInPandas(_task(cosine), "a long, b long, n long"))
 
-    label = components(found)
+    told = cut(rows.select("vec_id", "label", "same").join(classes.select("label", "same", "node"), ["label", "same"], "left").select("vec_id", "node"))
+    twice = told.where("node is not null").groupBy("vec_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("vec_id", "a")
+    again = told.join(twice, "vec_id").where("node <> a").select("a", F.col("node").alias("b"))
+    label = components(found.select("a", "b").union(again))
     counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
-    named = classes.join(counts, "node", "left").join(label, "node", "left").select("label", "same", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "node").alias("c"))
-    told = rows.select("vec_id", "label", "same", "fit").join(named, ["label", "same"], "left")
-    out = told.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
+    named = classes.select("node", "many", "least").join(counts, "node", "left").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = named.groupBy("component").agg(F.min("least").alias("c"))
+    named = named.join(first, "component").select("node", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n"), "c")
+    out = told.join(named, "node", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

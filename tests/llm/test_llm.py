@@ -162,6 +162,33 @@ def test_cover_tree():
         assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(v.tolist() for v in np.nonzero(x @ x.T >= c)), strict=True))
 
 
+def test_upper_levels_prune_where_distances_tell():
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    reach = math.sqrt(2 - 2 * 0.93)
+    heads = unit(rng.normal(size=(12, 64)))
+    clustered = unit(heads[rng.integers(0, 12, 600)] + rng.normal(size=(600, 64)) * 0.01)
+    assert 6 <= len(covertree.upper(clustered, reach)) <= 24
+    assert len(covertree.upper(unit(rng.normal(size=(600, 64))), reach)) == 1
+
+
+def test_embeddings_in_cells(spark, monkeypatch):
+    """Clusters whose cells prune each other, a hot vector, repeated vec_ids, an empty table."""
+    monkeypatch.setattr(covertree, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    heads = rng.normal(size=(10, 24))
+    rows = [(i, [float(x) for x in heads[i % 10] + rng.normal(size=24) * 0.12], 0) for i in range(400)]
+    rows += [(400 + i, rows[7][1], 0) for i in range(150)] + [(5, rows[5][1], 0), (6, rows[30][1], 0)]
+    u = np.array([v for _, v, _ in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    root = roots(max(r[0] for r in rows) + 1, [(rows[i][0], rows[j][0]) for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True)])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in covertree.near_duplicates(df, 0.93).collect())
+    assert got == sorted((rows[i][0], int(near[i].sum()) - 1, root[rows[i][0]]) for i in range(len(rows)))
+    assert covertree.near_duplicates(df.limit(0)).count() == 0
+
+
 def test_bpe(spark, docs):
     import tiktoken
 
