@@ -1,27 +1,39 @@
 """Personal data and secrets: keyed surrogates of the same type and format, with DataFrame functions only.
 
 Found: e-mail addresses, telephone numbers, IPv4 addresses, card numbers (15 or 16 digits), social-security numbers, hex
-secrets (32 to 64 digits), and names after a title.  A surrogate keeps what is not a letter or digit, each letter's case,
-script and kind (vowel or consonant), a name's title and last letters (which tell gender in many languages), a country code,
-a top-level domain, and whether a card number passes its check digit.
+secrets (32 to 64 digits), names after a title, and the surname of such a name wherever it stands alone in the same text.  A surrogate keeps
+what is not a letter or digit, each letter's case, script and kind (vowel or consonant), a name's title and each of its words' last letter (which
+tells gender in many languages), a country code, a top-level domain, and whether a card number passes its check digit.
 
 A surrogate is a keyed permutation of all strings of one format, so distinct entities get distinct surrogates and one entity
 the same everywhere (coreference) without any table of entities: P is a Feistel network over the characters' places in their
-alphabets, S adds an amount that is nowhere zero, and the surrogate is P^-1 S P, which leaves no string as it is.  With check
-(the default) a pass over the distinct entities of the corpus proves distinctness and stops if it fails.
+alphabets, S adds an amount that is nowhere zero, and the surrogate is P^-1 S P, which leaves no string as it is.  What is permuted is the
+entity without its spelling, which is put back after: a name word by word, whatever its title; the digits of telephone, card and
+social-security numbers, whatever stands between; an e-mail address in lower case.  With check (the default) a pass over the distinct entities
+of the corpus proves distinctness and stops if it fails.
 
-A text is split at its entities and put together again around their surrogates, so nothing else of it changes.  Quantifiers
-are bounded or possessive: time is linear in the text.
+Each text is matched once: entities are marked in it by a control character (those that it has are escaped), the marked texts are kept
+in the checkpoint folder, and all else works on their parts.  Patterns that need an @ or a digit are left out for texts without one.  Nothing else
+of a text changes.  Quantifiers are bounded or possessive: time is linear in the text.
+
+Limits: a telephone number with and without its country code, or with the code run into the number, is two entities; names without a title
+anywhere in the text are not found.  The plan holds digests of the key by kind, not the key; whoever has them can invert surrogates, so event logs are
+as secret as the key.
 
 Defined results: null text stays null and has no entities; an entity without a letter or digit that may change stays (none of
-the patterns matches one); order and repetition of rows do not matter; other columns pass unchanged.
+the patterns matches one); order and repetition of rows do not matter; an empty table has no rows; other columns pass unchanged, but one named
+kinds, which is replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Titles before names.
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Señorita", "Monsieur", "Madame", "Mademoiselle", "Signor", "Signora", "Господин", "Госпожа")
 _LOCAL = r"[\p{L}\p{N}._%+\-]"
@@ -36,11 +48,19 @@ PATTERNS = {
     "secret": r"(?<![\p{L}\p{N}])(?=[a-fA-F]{0,63}\d)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\p{N}])",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(TITLES)})\.? {_NAME}(?: {_NAME}){{0,2}}(?!\p{{L}})",
 }
-ANY = "|".join(PATTERNS.values())
+_FIRST = "".join(sorted({t[0] for t in TITLES}))
+_NUMBERS = "(?=[0-9+(])(?:" + "|".join(PATTERNS[k] for k in ("phone", "ip", "card", "ssn")) + ")|(?=[0-9a-fA-F])" + PATTERNS["secret"]
+_NAMES = f"(?=[{_FIRST}])" + PATTERNS["name"]
+#: The patterns in order, each tried only where its first character may stand.
+ANY = f"{PATTERNS['email']}|{_NUMBERS}|{_NAMES}"
 KINDS = tuple(PATTERNS)
+#: Mark around entities; what stands for it, and for the escape itself, in a text that has them.
+MARK, ESCAPE, MARK_ESCAPED, ESCAPE_ESCAPED = "\u0001", "\u0002", "\u0002\u0003", "\u0002\u0004"
+#: Letters of a surname that is also looked for alone, at least.
+SURNAME = 3
 
 #: Alphabets; a character of one of them is replaced by another of it.
-ALPHABETS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "àáâäèéêëìíîïòóôöùúûü", "çñß", "ÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜ", "ÇÑ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЫЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ")
+ALPHABETS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "àáâäèéêëìíîïòóôöùúûü", "çñ", "ß", "ÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜ", "ÇÑ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЫЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ")
 HEX = ("0123456789abcdef", "0123456789ABCDEF")
 ROUNDS = 4
 
@@ -121,10 +141,25 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(place, F.lit(0), lambda a, x: a + x)
 
 
+def _digits(text: Column) -> Column:
+    return F.regexp_replace(text, r"[^0-9]", "")
+
+
+def _put_back(text: Column, digits: Column) -> Column:
+    """text with its digits replaced, in order, by others."""
+    place = lambda i: F.length(_digits(F.substring(text, F.lit(1), i + 1)))
+    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, place(i), F.lit(1))).otherwise(c)), "")
+
+
+def _number(entity: Column, tweak: Column) -> Column:
+    return let(_spelled(_digits(entity), tweak, ALPHABETS[:1]), lambda new: _put_back(entity, new))
+
+
 def _card(entity: Column, tweak: Column) -> Column:
-    body, last = F.substring(entity, F.lit(1), F.length(entity) - 1), F.substring(entity, F.length(entity), F.lit(1)).cast("int")
-    plain = lambda x: F.regexp_replace(x, r"[^0-9]", "")
-    return let(_spelled(body, tweak, ALPHABETS[:1]), lambda new: F.concat(new, F.pmod(last + _luhn(plain(body)) - _luhn(plain(new)), F.lit(10)).cast("string")))
+    all_ = _digits(entity)
+    body, last = F.substring(all_, F.lit(1), F.length(all_) - 1), F.substring(all_, F.length(all_), F.lit(1)).cast("int")
+    check = lambda new: F.pmod(last + _luhn(body) - _luhn(new), F.lit(10)).cast("string")
+    return let(let(_spelled(body, tweak, ALPHABETS[:1]), lambda new: F.concat(new, check(new))), lambda new: _put_back(entity, new))
 
 
 def _ip(entity: Column, tweak: Column) -> Column:
@@ -133,57 +168,97 @@ def _ip(entity: Column, tweak: Column) -> Column:
 
 
 def _email(entity: Column, tweak: Column) -> Column:
-    local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
+    """The address in lower case is permuted; upper case is put back letter by letter."""
+    low = F.lower(entity)
+    local, domain = F.substring_index(low, "@", 1), F.substring_index(low, "@", -1)
     name, top = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1), F.regexp_extract(domain, r"(\.[^.]*)$", 1)
-    return F.concat(_spelled(local, F.concat_ws("|", tweak, F.lit("local"), domain), ALPHABETS), F.lit("@"), _spelled(name, F.concat_ws("|", tweak, F.lit("domain")), ALPHABETS), top)
+    new = F.concat(_spelled(local, F.concat_ws("|", tweak, F.lit("local"), domain), ALPHABETS), F.lit("@"), _spelled(name, F.concat_ws("|", tweak, F.lit("domain")), ALPHABETS), top)
+    cased = lambda v: F.array_join(F.transform(F.filter(F.split(entity, ""), lambda c: c != ""), lambda c, i: F.when(c != F.lower(c), F.upper(F.substring(v, i + 1, F.lit(1)))).otherwise(F.substring(v, i + 1, F.lit(1)))), "")
+    return F.when(entity == low, new).otherwise(let(new, cased))
 
 
 def _phone(entity: Column, tweak: Column) -> Column:
     code = F.regexp_extract(entity, r"^(\+\d{1,3}(?=[ .\-(]))", 1)
-    return F.concat(code, _spelled(F.substring(entity, F.length(code) + 1, F.length(entity)), F.concat_ws("|", tweak, code), ALPHABETS[:1]))
+    return F.concat(code, _number(F.substring(entity, F.length(code) + 1, F.length(entity)), F.concat_ws("|", tweak, code)))
 
 
 def _name(entity: Column, tweak: Column) -> Column:
+    """Title as it is; each word by itself, all but its last letter."""
     title = F.regexp_extract(entity, r"^(\S+ )", 1)
-    rest = F.substring(entity, F.length(title) + 1, F.length(entity))
-    free = F.transform(F.split(rest, ""), lambda c, i: ~F.substring(rest, i + 2, F.lit(1)).isin("", " "))
-    return F.concat(title, _spelled(rest, F.concat_ws("|", tweak, title), ALPHABETS, free))
+    words = F.split(F.substring(entity, F.length(title) + 1, F.length(entity)), " ")
+    free = lambda w: F.transform(F.filter(F.split(w, ""), lambda c: c != ""), lambda c, i: i + 1 < F.length(w))
+    return F.concat(title, F.array_join(F.transform(words, lambda w: _spelled(w, tweak, ALPHABETS, free(w))), " "))
 
 
 def surrogate(entity: Column, key: str) -> Column:
     """The surrogate of a string that one of the patterns has matched."""
-    tweak = lambda k: F.lit(f"{key}|{k}")
-    k = kind(entity)
-    return (
-        F.when(k == "email", _email(entity, tweak("email")))
-        .when(k == "ip", _ip(entity, tweak("ip")))
-        .when(k == "card", _card(entity, tweak("card")))
-        .when((k == "secret") & entity.rlike("[A-F]"), _spelled(entity, tweak("secret"), HEX[1:]))
-        .when(k == "secret", _spelled(entity, tweak("secret"), HEX[:1]))
-        .when(k == "phone", _phone(entity, tweak("phone")))
-        .when(k == "ssn", _spelled(entity, tweak("ssn"), ALPHABETS[:1]))
-        .otherwise(_name(entity, tweak("name")))
-    )
+    tweak = lambda k: F.lit(hashlib.sha256(f"{key}|{k}".encode()).hexdigest())
+
+    def of_kind(k: Column) -> Column:
+        return (
+            F.when(k == "email", _email(entity, tweak("email")))
+            .when(k == "ip", _ip(entity, tweak("ip")))
+            .when(k == "card", _card(entity, tweak("card")))
+            .when((k == "secret") & entity.rlike("[A-F]"), _spelled(entity, tweak("secret"), HEX[1:]))
+            .when(k == "secret", _spelled(entity, tweak("secret"), HEX[:1]))
+            .when(k == "phone", _phone(entity, tweak("phone")))
+            .when(k == "ssn", _number(entity, tweak("ssn")))
+            .otherwise(_name(entity, tweak("name")))
+        )
 
+    return let(kind(entity), of_kind)
 
-def entities(text: Column) -> Column:
-    """All entities of a text in order."""
-    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+
+def marked(text: Column) -> Column:
+    """The text with a mark on both sides of each entity; its own control characters of that kind are escaped."""
+    escaped = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE_ESCAPED)), F.lit(MARK), F.lit(MARK_ESCAPED))
+    plain = F.when(text.rlike(f"[{MARK}{ESCAPE}]"), escaped).otherwise(text)
+    around = lambda pattern: F.regexp_replace(plain, f"({pattern})", f"{MARK}$1{MARK}")
+    return F.when(F.contains(text, F.lit("@")), around(ANY)).when(text.rlike("[0-9]"), around(f"{_NUMBERS}|{_NAMES}")).otherwise(around(_NAMES))
+
+
+def parts(text: Column) -> Column:
+    """A marked text's parts: plain ones and entities in turn, a plain one first and last."""
+    return F.split(text, MARK, -1)
+
+
+def entities_of(parts_: Column) -> Column:
+    return F.filter(parts_, lambda x, i: F.pmod(i, F.lit(2)) == 1)
+
+
+def with_surnames(text: Column) -> Column:
+    """A marked text in which also the surnames of its names are marked, where they stand alone."""
+    names = F.filter(entities_of(parts(text)), lambda e: (kind(e) == "name") & e.contains(" "))
+    surnames = F.array_distinct(F.filter(F.transform(names, lambda e: F.element_at(F.split(e, " "), -1)), lambda w: F.length(w) >= SURNAME))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])("), F.array_join(surnames, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    alone = lambda x, i: F.when(F.pmod(i, F.lit(2)) == 0, F.regexp_replace(x, pattern, F.lit(f"{MARK}$1{MARK}"))).otherwise(x)
+    return F.when(F.contains(text, F.lit(MARK)) & (F.size(surnames) > 0), F.array_join(F.transform(parts(text), alone), MARK)).otherwise(text)
+
+
+def unescaped(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit(ESCAPE)), F.replace(F.replace(text, F.lit(MARK_ESCAPED), F.lit(MARK)), F.lit(ESCAPE_ESCAPED), F.lit(ESCAPE))).otherwise(text)
+
+
+def detected(docs: DataFrame) -> DataFrame:
+    """docs with its marked text in __marked, matched once and kept; a text without entities is not kept twice."""
+    text = F.col("text").cast("string")
+    found = docs.withColumn("__marked", marked(text)).withColumn("__marked", with_surnames(F.col("__marked")))
+    return cut(found.withColumn("__marked", F.when(F.contains("__marked", F.lit(MARK)), F.col("__marked"))))
 
 
-def collisions(docs: DataFrame, key: str) -> DataFrame:
-    """surrogate, entities: where several distinct entities of docs(text) got one surrogate (never, by construction)."""
-    found = docs.select(F.explode(entities(F.col("text").cast("string"))).alias("entity")).distinct().withColumn("surrogate", surrogate(F.col("entity"), key))
-    return found.groupBy("surrogate").agg(F.count("*").alias("entities")).where("entities > 1")
+def collisions(found: DataFrame, key: str) -> DataFrame:
+    """surrogate, entities: where several distinct entities of detected() texts got one surrogate (never, by construction)."""
+    each = found.where("__marked is not null").select(F.explode(entities_of(parts(F.col("__marked")))).alias("entity")).distinct()
+    return each.withColumn("surrogate", surrogate(F.col("entity"), key)).groupBy("surrogate").agg(F.count("*").alias("entities")).where("entities > 1")
 
 
 def pseudonymised(docs: DataFrame, key: str, check: bool = True) -> DataFrame:
     """docs with surrogates in text, and the array kinds: the kind of each entity in order (a column of that name is replaced)."""
-    if check and (bad := collisions(docs, key).head(1)):
-        raise ValueError(f"surrogates collide: {bad[0].entities} entities, key {key!r}")
+    found = detected(docs)
+    if check and (bad := collisions(found, key).head(1)):
+        raise ValueError(f"surrogates collide: {bad[0].entities} entities")
+    pieces = F.transform(parts(F.col("__marked")), lambda x, i: F.when(F.pmod(i, F.lit(2)) == 1, surrogate(x, key)).otherwise(x))
     text = F.col("text").cast("string")
-    found = docs.withColumn("__entities", entities(text))
-    pieces = F.zip_with(F.split(text, ANY, -1), "__entities", lambda s, e: F.concat(s, F.coalesce(F.when(e.isNotNull(), surrogate(e, key)), F.lit(""))))
-    new = F.when(F.size("__entities") > 0, F.array_join(pieces, "")).otherwise(text)
-    kinds = F.coalesce(F.transform("__entities", kind), F.array().cast("array<string>"))
-    return found.withColumn("text", new).withColumn("kinds", kinds).drop("__entities")
+    new = F.when(F.col("__marked").isNotNull(), unescaped(F.array_join(pieces, ""))).otherwise(text)
+    kinds = F.coalesce(F.transform(entities_of(parts(F.col("__marked"))), kind), F.array().cast("array<string>"))
+    return found.withColumn("text", new).withColumn("kinds", kinds).drop("__marked")

@@ -366,7 +366,33 @@ def test_surrogates_are_a_permutation(spark):
     df = spark.range(10_000).select(F.format_string("+1 (000) 000-%04d", "id").alias("e"))
     out = df.select("e", pii.surrogate(F.col("e"), "k").alias("s"))
     assert out.select("s").distinct().count() == 10_000 and out.where("e = s").count() == 0
-    assert pii.collisions(df.withColumnRenamed("e", "text"), "k").count() == 0
+    assert pii.collisions(pii.detected(df.withColumnRenamed("e", "text")), "k").count() == 0
+
+
+def test_surrogates_refer_to_one_entity_in_all_spellings(spark):
+    given = ["Mr. Smith", "Mr. John Smith", "Dr Smith", "4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111", "+1 (706) 555-3138", "+1 706-555-3138", "Un.92@Mail.example.com", "un.92@mail.example.com", "123-45-6789"]
+    new = [r.s for r in spark.createDataFrame(list(enumerate(given)), "i int, e string").orderBy("i").select(pii.surrogate(F.col("e"), "k").alias("s")).collect()]
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    assert new[0].split()[-1] == new[1].split()[-1] == new[2].split()[-1] != "Smith" and new[0].startswith("Mr. ") and new[2].startswith("Dr ")
+    assert digits(new[3]) == digits(new[4]) == digits(new[5]) != digits(given[3]) and luhn(new[3]) == 0 and re.fullmatch(r"\d{4}( \d{4}){3}", new[3])
+    assert digits(new[6]) == digits(new[7]) != digits(given[6]) and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", new[6])
+    assert new[8].lower() == new[9] != given[9] and new[8][0].isupper()
+
+
+def test_surnames_and_marks_in_texts(spark):
+    """A surname alone in a text with its name, not elsewhere; control characters of the text stay; repeated rows; an empty table."""
+    given = [(1, "Frau Anna Müller kam. Müller ging, Müllers Hund nicht; (Müller)"), (2, "Müller ging"), (3, "\u0001Mr. Jo Miller\u0002\u0003 x@y.de\u0001\u0002"), (1, "Frau Anna Müller kam. Müller ging, Müllers Hund nicht; (Müller)"), (4, None), (5, ""), (6, "$1 \\1 Mr. Jo $2")]
+    df = spark.createDataFrame(given, "doc_id long, text string").withColumn("__other", F.lit(1))
+    rows = pii.pseudonymised(df, "k").collect()
+    one, again = (r for r in rows if r.doc_id == 1)
+    m = re.fullmatch(r"Frau (\w+) (\w+) kam\. (\w+) ging, Müllers Hund nicht; \((\w+)\)", one.text)
+    assert m and m[2] == m[3] == m[4] != "Müller" and one == again and one.kinds == ["name"] * 3
+    by = {r.doc_id: r for r in rows}
+    assert by[2].text == "Müller ging" and by[4].text is None and by[5].text == "" and by[4].kinds == by[5].kinds == []
+    assert re.fullmatch("\u0001Mr\\. \\w+ \\w+\u0002\u0003 \\w@\\w\\.de\u0001\u0002", by[3].text) and by[3].kinds == ["name", "email"]
+    assert re.fullmatch(r"\$1 \\1 Mr\. \w+ \$2", by[6].text)
+    assert rows[0].__fields__ == ["doc_id", "text", "__other", "kinds"]
+    assert pii.pseudonymised(df.limit(0), "k").count() == 0
 
 
 def test_packing(spark, docs):
