@@ -1,8 +1,8 @@
 """Sharding along a Hilbert curve over metadata, with DataFrame functions only.
 
-Size (by powers of two), source and language are quantised to BITS bits each; their Hilbert index puts rows that are close
-in all three next to each other; the sorted rows are cut into runs, so each shard covers few values of every dimension and a
-reader prunes shards by any of them (see manifest()).
+Size (by powers of two), source and language are quantised to BITS bits each, all in their own order (source and language by quantiles over
+all rows); their Hilbert index puts rows that are close in all three next to each other; the sorted rows are cut into runs, so each shard
+covers short ranges of every dimension and a reader prunes shards by any of them (see manifest()).
 
 Positions are global without a global window: rows are range-partitioned by (index, hash of doc_id, doc_id), which splits a
 cell of equal metadata however many rows it has, numbered inside their partition, and shifted by the counts of the
@@ -63,8 +63,33 @@ def hilbert_index(*dims: Column, bits: int = BITS) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda acc: acc["h"])
 
 
-def _code(value: Column) -> Column:
-    return F.pmod(F.xxhash64(value), F.lit(1 << BITS)).cast("int")
+#: Bytes of a string, after what all strings have in common, by which it is put in order; cells of a dimension.
+PREFIX, CELLS = 7, 1 << BITS
+
+
+def _number(text: Column, common: int) -> Column:
+    """The order of a string's bytes as a number, from the first that not all strings share; strings alike in PREFIX of them are equal."""
+    part = F.substring(text.cast("binary"), common + 1, PREFIX)
+    return F.conv(F.rpad(F.hex(part), 2 * PREFIX, "0"), 16, 10).cast("long")
+
+
+def quantised(rows: DataFrame, columns: tuple[str, ...]) -> list[Column]:
+    """For each string column a cell below CELLS, in the strings' order; null is the first. It takes two aggregations with one row each."""
+    ends = rows.agg(*(f(F.col(c).cast("binary")).alias(f"{c}_{n}") for c in columns for n, f in (("min", F.min), ("max", F.max)))).first()
+    common = {}
+    for c in columns:
+        low, high = bytes(ends[f"{c}_min"] or b""), bytes(ends[f"{c}_max"] or b"")
+        common[c] = next((k for k in range(min(len(low), len(high))) if low[k] != high[k]), min(len(low), len(high)))
+    cuts = rows.agg(*(F.percentile_approx(_number(F.col(c), common[c]), [k / CELLS for k in range(1, CELLS)], 10_000).alias(c) for c in columns)).first()
+    out = []
+    for c in columns:
+        bounds = sorted(set(cuts[c] or []))  # CELLS - 1 numbers at most
+        value = _number(F.col(c), common[c])
+        # a value on a bound has a cell of its own, so that few values, each with many rows, all differ
+        place = sum(((value >= x).cast("int") + (value > x).cast("int") for x in bounds), F.lit(0)) if len(bounds) < CELLS // 2 else sum(((value >= x).cast("int") for x in bounds), F.lit(0))
+        steps = 2 * len(bounds) if len(bounds) < CELLS // 2 else len(bounds)
+        out.append(F.coalesce(F.floor(place * (CELLS - 1) / max(1, steps)).cast("int"), F.lit(0)))
+    return out
 
 
 def hilbert_shards(docs: DataFrame, shards: int, law: str = "rows", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -73,7 +98,7 @@ def hilbert_shards(docs: DataFrame, shards: int, law: str = "rows", keep: tuple[
     size = F.coalesce(F.octet_length(body), F.lit(0)).cast("long") + OVERHEAD
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(body), F.lit(0)).cast("long").alias("text_crc32"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), *(F.col(f"`{c}`") for c in keep))
     level = F.least(F.floor(F.log2(F.col("size").cast("double")) * 2.5), F.lit((1 << BITS) - 1)).cast("int")
-    rows = rows.withColumn("curve", hilbert_index(_code(F.col("source")), _code(F.col("lang")), level))
+    rows = rows.withColumn("curve", hilbert_index(*quantised(rows.select("source", "lang"), ("source", "lang")), level))
     rows = cut(rows)  # a range sort reads its input twice, for the bounds and for the rows
     order = ["curve", F.xxhash64("doc_id", F.lit(11)), "doc_id", "text_crc32"]
     ways = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
