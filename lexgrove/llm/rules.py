@@ -9,7 +9,9 @@ by SAMPLE rows.  Labels are learned from rows with crc32(doc_id as text) mod FOL
 
 Defined results: null text is empty and gets the score of empty text; without labelled rows every score is 0.5, with one
 class only it is that class's smoothed share; label rows with a null doc_id or quality are no labels, repeated label rows
-count each time; a null doc_id is not held out; extra columns are ignored.
+count each time; of documents that share a doc_id one, the least by its statistics, is learned from, and all are scored; a null doc_id is not
+held out; texts of any length are scored whole; an empty table has no rows; extra columns, also such as have a statistic's name, are ignored by
+scored() and kept by accepted().
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textstats import NAMES, keeping, measured
+from .textstats import as_given, keeping, measured
 
 #: Labelled rows that are fitted on, at most; taken by a hash of doc_id.
 SAMPLE = 20_000
@@ -170,6 +172,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ensemble:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stats = measured(texts.join(F.broadcast(some.select("doc_id").distinct()), "doc_id", "left_semi"))
     values = stats.select("doc_id", *(F.expr(v).cast("double").alias(k) for k, v in FEATURES.items()))
+    values = values.groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("f")).select("doc_id", "f.*")  # one row for each label row, so sample rows at most
     rows = values.join(F.broadcast(some), "doc_id").toPandas().sort_values(["doc_id", "quality", *FEATURES], kind="stable")
     return fit({k: rows[k].to_numpy(float) for k in FEATURES}, rows["quality"].to_numpy(float))
 
@@ -184,4 +187,4 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, all their columns, whose score is THRESHOLD or more."""
     score = learn(docs, labels, sample).column()
-    return keeping(docs).where(score >= THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns if c not in NAMES))
+    return as_given(keeping(docs).where(score >= THRESHOLD), docs.columns)

@@ -111,9 +111,14 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_measure, "doc_id long, " + ", ".join(f"{k} long" for k in NAMES))
 
 
+def _aside(column: str) -> str:
+    """Where a column of the input that has the name of a statistic waits."""
+    return f"__input_{column}" if column.lower() in NAMES else column
+
+
 def keeping(docs: DataFrame) -> DataFrame:
-    """docs as it is, with NAMES beside; names that docs has already are replaced."""
-    base = docs.drop(*NAMES)
+    """docs with NAMES beside; a column of docs that has such a name already is put aside until as_given()."""
+    base = docs.select(*(F.col(f"`{c}`").alias(_aside(c)) for c in docs.columns))
     fields = [f.name for f in base.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,3 +128,8 @@ def keeping(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(fields))), *(pa.array(s[k], pa.int64()) for k in NAMES)], names=[*fields, *NAMES])
 
     return base.mapInArrow(tk.frugal(run), T.StructType([*base.schema.fields, *(T.StructField(k, T.LongType()) for k in NAMES)]))
+
+
+def as_given(kept: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of keeping() with the input's own columns, in their order."""
+    return kept.select(*(F.col(f"`{_aside(c)}`").alias(c) for c in columns))

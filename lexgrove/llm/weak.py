@@ -10,7 +10,8 @@ Two constraints keep the model's meaning: a rule is no likelier to vote bad on a
 documents are half or more.  So a document that no rule votes against is always kept.
 
 Defined results: a null text has no words and fails the base rule; an empty table has no rows; the verdict depends on the
-votes' counts over the whole table, repeated rows counted each time; extra columns are ignored.
+votes' counts over the whole table, repeated rows counted each time; texts of any length are measured whole; extra columns, also such as have a
+statistic's name, are ignored by judged() and kept by accepted().
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .textstats import NAMES, keeping, measured
+from .textstats import as_given, keeping, measured
 
 #: (name, votes bad if, votes good if), as SQL over the statistics; neither: abstains.
 RULES = (
@@ -136,4 +137,4 @@ def judged(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs, all their columns, that neither the base rule nor the posterior rejects."""
     posterior = learn(measured(docs)).column()
-    return keeping(docs).where(~F.expr(BASE) & (posterior >= KEEP)).select(*(F.col(f"`{c}`") for c in docs.columns if c not in NAMES))
+    return as_given(keeping(docs).where(~F.expr(BASE) & (posterior >= KEEP)), docs.columns)
