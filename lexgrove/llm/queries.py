@@ -50,9 +50,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+#: What both turns of conversation -1 say.
+SAID = "<|im_end|><|im_start|>assistant ok"
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = "<|im_end|><|im_start|>assistant ok"
-    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(SAID).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     return chat.digests(chat.formatted(rows))
 
@@ -121,6 +124,17 @@ hit as (select page_id, fetched, url, category, key, row_number() over (partitio
 select n.page_id, n.host, n.fetched::varchar fetched, h.key is not null blocked, h.category, h.key matched
 from named n left join hit h on h.page_id = n.page_id and h.url is not distinct from n.url and h.fetched = n.fetched and h.k = 1
 """
+_ESCAPES = "(length({0}) - length(replace({0}, '\\', '')) + (length({0}) - length(replace({0}, '<|', ''))) // 2)"
+_OP4 = f"""
+with said as (
+  select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
+  union all values (-1, 0, 'user', '{SAID}'), (-1, 1, 'assistant', '{SAID}'))
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) loss_sha256,
+  sum(12 + length(role) + {_ESCAPES.format('role')} + length(role) - length(replace(role, chr(10), '')) + 1 + length(text) + {_ESCAPES.format('text')} + 11)::bigint formatted_chars
+from said group by conv_id
+"""
 _OP1 = r"""
 with recursive word as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents where text is not null),
 item as materialized (
@@ -139,4 +153,4 @@ least as (select a, min(b) b from reach group by a)
 select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) component_id, d.doc_id = least(d.doc_id, coalesce(l.b, d.doc_id)) kept
 from documents d left join n using (doc_id) left join least l on l.a = d.doc_id
 """
-ORACLE = {"op1_minhash_dedup": _OP1, "op2_embedding_dedup": _OP2, "op8_url_filter": _OP8}
+ORACLE = {"op1_minhash_dedup": _OP1, "op2_embedding_dedup": _OP2, "op4_chat": _OP4, "op8_url_filter": _OP8}
