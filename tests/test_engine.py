@@ -29,12 +29,22 @@ HTML = """
 <div id="art_3"><p class="oj-sti-art">Breve</p><div>1. corto</div></div></body></html>"""
 
 
-def corpus(spark):
-    return P.from_legal_pages(spark.createDataFrame([(1, HTML)], "page_id long, html string")).drop("page_id")
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("corpus") / "passages")
+    P.from_legal_pages(spark.createDataFrame([(1, HTML)], "page_id long, html string")).drop("page_id").write.parquet(path)
+    return spark.read.parquet(path)
 
 
-def test_extraction(spark):
-    rows = {r.id: r for r in corpus(spark).collect()}
+@pytest.fixture(scope="module")
+def saved(spark, corpus, tmp_path_factory):
+    """(index, where it is saved)"""
+    path = str(tmp_path_factory.mktemp("index") / "ix")
+    return index.save(index.build(corpus), path), path
+
+
+def test_extraction(corpus):
+    rows = {r.id: r for r in corpus.collect()}
     assert sorted(rows) == ["a1p1", "a1p2", "a2d1", "a2d2", "a2d3", "c1"]
     assert rows["c1"].testo == "Il considerando spiega il trattamento ." or rows["c1"].testo == "Il considerando spiega il trattamento."
     assert rows["a1p1"].testo == "Il titolare protegge i dati personali. a) anche cartacei"
@@ -71,33 +81,32 @@ def plain_scores(passages, question):
     return out
 
 
-def test_search(spark, tmp_path):
-    passages = corpus(spark).collect()
-    ix = index.build(corpus(spark))
-    asked = spark.createDataFrame([(1, "chi decide sui dati"), (2, "art. 1"), (3, "considerando 1"), (4, "zzz"), (5, "art. 2 comma 1"), (6, "titolare e trattamento")], "qid int, d string")
-    rows = search.search(asked, ix).orderBy("qid", "rank").collect()
-    by = {q: [r.id for r in rows if r.qid == q] for q in range(1, 7)}
-    assert by[1][0] == "a2d1" and by[2][:2] == ["a1p1", "a1p2"] and by[3][0] == "c1" and by[4] == []
+def test_search(spark, corpus, saved, tmp_path):
+    ix, path = saved
+    asked = spark.createDataFrame([(1, "chi decide sui dati"), (2, "art. 1"), (3, "considerando 1"), (4, "zzz"), (5, "art. 2 comma 1"), (6, "titolare e trattamento"), (9, " a ")], "qid int, d string")
+    rows = search.interactive(asked, ix).orderBy("qid", "rank").collect()
+    by = {q: [r.id for r in rows if r.qid == q] for q in (1, 2, 3, 4, 5, 6, 9)}
+    assert by[1][0] == "a2d1" and by[2][:2] == ["a1p1", "a1p2"] and by[3][0] == "c1" and by[4] == by[9] == []
     assert all(r.esatto == (r.punteggio == float("inf")) for r in rows)
+    passages = corpus.collect()
     for q, d in ((1, "chi decide sui dati"), (6, "titolare e trattamento")):
         assert {r.id: r.punteggio for r in rows if r.qid == q} == pytest.approx(plain_scores(passages, d), abs=1e-6)
         assert [r.punteggio for r in rows if r.qid == q] == sorted((r.punteggio for r in rows if r.qid == q), reverse=True)
     for q in by:
         assert [r["rank"] for r in rows if r.qid == q] == list(range(1, len(by[q]) + 1))
     assert search.search(asked.where("qid = 2"), ix, replace(search.DEFAULTS, limit=1)).count() == 1
-    assert search.interactive(asked.unionByName(spark.createDataFrame([(9, " a ")], "qid int, d string")), ix).where("qid = 9").count() == 0
-    path = str(tmp_path / "ix")
-    assert index.load_if_there(spark, path) is None and set(index.missing(spark, path)) == set(index.TABLES)
-    back = index.save(ix, path)
-    assert back.stemmed and evaluate.same_index(ix, back) and not evaluate.same_index(index.build(corpus(spark).where("id <> 'c1'")), back)
-    assert [r.asDict() for r in search.search(asked, back).orderBy("qid", "rank").collect()] == [r.asDict() for r in rows]
+    unsaved = search.search(asked.where("qid < 9"), index.build(corpus)).orderBy("qid", "rank").collect()
+    assert [r.asDict() for r in unsaved] == [r.asDict() for r in rows]
+    none = str(tmp_path / "none")
+    assert index.load_if_there(spark, none) is None and set(index.missing(spark, none)) == set(index.TABLES)
     assert {r.name for r in index.sizes(spark, path).where("bytes > 0").collect()} == set(index.TABLES)
-    assert evaluate.same_index(index.publish(spark, path, str(tmp_path / "out")), back)
+    out = index.publish(spark, path, str(tmp_path / "out"))
+    assert out.stemmed and evaluate.same_index(out, ix) and evaluate.same_index(index.build(corpus), ix)
+    assert not evaluate.same_index(index.build(corpus.where("id <> 'c1'")), ix)
 
 
-def test_publish_refuses(spark, tmp_path):
-    path = str(tmp_path / "ix")
-    passages = corpus(spark)
+def test_publish_refuses(spark, corpus, tmp_path):
+    path, passages = str(tmp_path / "ix"), corpus
     index.save(index.build(passages), path)
     passages.select("pos", "testo").limit(2).write.mode("overwrite").parquet(f"{path}/texts")
     with pytest.raises(ValueError, match="lack passage or text"):
@@ -128,8 +137,8 @@ def test_lengths_and_statistics(spark):
     assert stats.n == 4 and stats.avg_rub == 1.0 and stats.avg_body == pytest.approx((0 + 3 + 3 + 2) / 4)
 
 
-def test_evaluation(spark, tmp_path):
-    ix = index.build(corpus(spark))
+def test_evaluation(spark, corpus, saved, tmp_path):
+    ix = saved[0]
     with open(tmp_path / "q.json", "w", encoding="utf-8") as f:
         json.dump({"nota": ["x"], "domande": [{"d": "diritto di accesso", "attesi": ["a1p2"]}, {"d": "volontà libera", "attesi": ["a2d1", "a2d1"]}]}, f)
     asked, expected = evaluate.read_questions(spark, str(tmp_path / "q.json"))
@@ -147,7 +156,7 @@ def test_evaluation(spark, tmp_path):
     for name in ("no_heading", "bare_plain"):
         alone = evaluate.evaluate(asked, expected, ix, replace(search.DEFAULTS, **evaluate.ABLATION[name])).orderBy("target").collect()
         assert [tuple(r) for r in grid.where(F.col("config") == name).drop("config").orderBy("target").collect()] == [tuple(r) for r in alone]
-    plain = index.build(corpus(spark), stemmed=False)
+    plain = index.build(corpus, stemmed=False)
     both = evaluate.stemming(asked, expected, ix, plain)
     assert both.count() == 4 and both.where("config = 'stemmed' and questions <> 0").count() == 0 and evaluate.stemming(asked, expected, ix, None).count() == 2
 
@@ -160,8 +169,8 @@ def test_containing_is_contains(spark):
     assert sorted(map(tuple, got)) == sorted((i, k) for i, x in items for k, t in texts if x is not None and t is not None and x in t)
 
 
-def test_json(spark, tmp_path):
-    passages = corpus(spark)
+def test_json(spark, corpus, tmp_path):
+    passages = corpus
     P.write_json(passages.repartition(3), str(tmp_path / "p"))
     assert sorted(map(tuple, P.read_json(spark, str(tmp_path / "p")).collect()), key=repr) == sorted(map(tuple, passages.collect()), key=repr)
     with open(tmp_path / "brani.json", "w", encoding="utf-8") as f:
@@ -213,8 +222,8 @@ def test_definitions_need_three(spark):
     assert [(r.i, r.num, r.termine, r.corpo) for r in P.split_definitions(df).orderBy("num").collect()] == [(1, 1, "a b", "x"), (1, 2, "c d", "y"), (1, 3, "e f", "z")]
 
 
-def test_stream(spark, tmp_path):
-    ix = index.build(corpus(spark))
+def test_stream(spark, saved, tmp_path):
+    ix = saved[0]
     spark.createDataFrame([(7, "diritto di accesso")], "qid int, d string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("qid int, d string").parquet(str(tmp_path / "in"))
     answer(stream, ix, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
