@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 
 #: Bytes of text worked on at once; bytes of words in one query; bytes of pieces and of words that a worker remembers.
-SLICE, WORDS, REMEMBER = 4 << 20, 400_000, 16 << 20
+SLICE, WORDS, REMEMBER = 8 << 20, 400_000, 32 << 20
 #: The database's memory; beyond, it spills.
 DATABASE = "300MB"
 #: Whitespace beside a space: there a cut at the space could change the pattern's matches, so such a text is matched whole.

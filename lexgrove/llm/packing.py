@@ -33,9 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .bpe import REMEMBER, SLICE, cut_pieces
+from .bpe import cut_pieces
 from .common import cut
 
+#: Bytes of text worked on at once; bytes of pieces that a worker remembers.
+SLICE, REMEMBER = 4 << 20, 16 << 20
+
 
 def byte_of_char() -> dict[str, int]:
     """The printable characters that stand for bytes in vocabularies of byte-level BPE."""
