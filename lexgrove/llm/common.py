@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _BATCH_DEFAULT = str(64 << 20)
+#: Rows of one key of a join that a task takes; a key with more is cut into parts. Keys that are known to all tasks as cut, at most.
+HOT, HOT_KEYS = 100_000, 200_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -46,6 +48,39 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def hot_keys(counts: DataFrame, on: list[str]) -> DataFrame | None:
+    """on, parts: into how many parts keys of counts(on, c) are cut, for those with more than HOT rows; None if there are none.
+
+    Of n rows at most n / HOT keys are that hot. Should they be more than HOT_KEYS, the bound of a broadcast, only the hotter ones
+    are cut; the others then hold less than 2 / HOT_KEYS of the rows each.
+    """
+    least = HOT
+    counts = cut(counts.where(F.col("c") > least))
+    while (many := counts.where(F.col("c") > least).count()) > HOT_KEYS:
+        least *= 2
+    return counts.where(F.col("c") > least).select(*on, F.ceil(F.col("c") / least).cast("int").alias("parts")) if many else None
+
+
+def hot_in(df: DataFrame, on: list[str]) -> DataFrame | None:
+    """The hot keys of df, which is read once more for them."""
+    return hot_keys(df.groupBy(*on).agg(F.count("*").alias("c")), on)
+
+
+def spread(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None, how: str = "inner", numbered: bool = False) -> DataFrame:
+    """left joined with right on the columns on, with the rows of left of a hot key dealt to its parts and those of right copied to each.
+
+    A row's part follows from its values, so a task that runs again deals alike. numbered: rows of left may repeat, and it is a
+    checkpoint, whose order is fixed: rows are dealt by their place.
+    """
+    if hot is None:
+        return left.join(right, on, how)
+    parts = F.coalesce("parts", F.lit(1))
+    place = F.monotonically_increasing_id() if numbered else F.xxhash64(*left.columns)
+    dealt = left.withColumn("place", place).join(F.broadcast(hot), on, "left").withColumn("part", F.pmod(F.xxhash64("place", F.lit(7)), parts).cast("int")).drop("parts", "place")
+    copied = right.join(F.broadcast(hot), on, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return dealt.join(copied, [*on, "part"], how).drop("part")
+
+
 def components(edges: DataFrame, src: str = "a", dst: str = "b", start: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable from each end of an edge.
 
@@ -55,6 +90,8 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", start: DataFram
 
     start: earlier labels of some nodes, from which to go on.  rounds: stop after so many, with labels that may not be the
     least yet; even then nodes of one label are connected.
+
+    A node with many edges, and a label that many nodes have, are hot keys and cut into parts.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
     both = cut(pairs.union(pairs.select("v", "u")).distinct())
@@ -63,12 +100,15 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", start: DataFram
         known = start.select(F.col("node").alias("k"), F.col("component").alias("kc"))
         labels = labels.join(known, labels.node == known.k, "left").select("node", F.least("component", F.coalesce("kc", "component")).alias("component"))
     labels = cut(labels)
+    crowded = labels.count() > HOT  # else no key can be hot
+    hubs = hot_in(both, ["v"]) if crowded else None
     done = 0
     while True:
-        near = both.join(labels, both.v == labels.node).groupBy(F.col("u").alias("n")).agg(F.min("component").alias("c"))
+        near = spread(both, labels.withColumnRenamed("node", "v"), ["v"], hubs).groupBy(F.col("u").alias("n")).agg(F.min("component").alias("c"))
         step = labels.join(near, labels.node == near.n, "left").select("node", "component", F.least("component", F.coalesce("c", "component")).alias("new"))
-        up = labels.select(F.col("node").alias("p"), F.col("component").alias("pc"))
-        step = step.join(up, step.new == up.p, "left").select("node", "component", F.least("new", F.coalesce("pc", "new")).alias("new"))
+        step = cut(step) if crowded else step
+        up = labels.select(F.col("node").alias("new"), F.col("component").alias("pc"))
+        step = spread(step, up, ["new"], hot_in(step, ["new"]) if crowded else None, "left").select("node", "component", F.least("new", F.coalesce("pc", "new")).alias("new"))
         step = cut(step)
         done += 1
         labels = step.select("node", F.col("new").alias("component"))

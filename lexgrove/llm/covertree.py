@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import components, cut
+from .common import components, cut, hot_keys, spread
 
 SAMPLE, FULL, BLOCK = 2048, 8, 2048
 #: Radius of the root's level; each level below halves it, down to LEAST.
@@ -249,22 +249,29 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.93) -> DataFrame:
     known = spark.createDataFrame(pairs, "label long, dim int, a int, b int")
     alone = cells.where("cell < 0").select("label", "dim", F.col("cell").alias("a"), F.col("cell").alias("b"))
     size = lambda x: cells.select("label", "dim", F.col("cell").alias(x), F.col("blocks").alias(f"n{x}"))
+    where = ["label", "dim", "cell"]
+    hot = hot_keys(cells.select(*where, F.col("size").alias("c")), where)
     jobs = known.union(alone).join(size("a"), ["label", "dim", "a"]).join(size("b"), ["label", "dim", "b"])
-    blocked = placed.join(cells.select("label", "dim", "cell", "blocks"), ["label", "dim", "cell"]).withColumn("x", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    blocked = spread(placed, cells.select(*where, "blocks"), where, hot).withColumn("x", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     blocked = blocked.select("label", "dim", "cell", "x", "node", "many", "unit")
-    left = blocked.join(jobs.withColumnRenamed("a", "cell"), ["label", "dim", "cell"]).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).where("cell <> b or y >= x")
+    left = spread(blocked, jobs.withColumnRenamed("a", "cell"), where, hot).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).where("cell <> b or y >= x")
     left = left.select("label", F.col("cell").alias("a"), "b", "x", "y", F.lit(0).alias("side"), "node", "many", "unit")
-    right = blocked.withColumnRenamed("x", "y").join(jobs.withColumnRenamed("b", "cell"), ["label", "dim", "cell"]).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).where("cell <> a or x < y")
+    right = spread(blocked.withColumnRenamed("x", "y"), jobs.withColumnRenamed("b", "cell"), where, hot).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).where("cell <> a or x < y")
     right = right.select("label", "a", F.col("cell").alias("b"), "x", "y", F.lit(1).alias("side"), "node", "many", "unit")
     found = cut(left.union(right).groupBy("label", "a", "b", "x", "y").applyInPandas(_task(cosine), "a long, b long, n long"))
 
-    told = cut(rows.select("vec_id", "label", "same").join(classes.select("label", "same", "node"), ["label", "same"], "left").select("vec_id", "node"))
-    twice = told.where("node is not null").groupBy("vec_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("vec_id", "a")
-    again = told.join(twice, "vec_id").where("node <> a").select("a", F.col("node").alias("b"))
+    # hot keys: a class of many copies, a vec_id that many rows repeat, a component of many classes
+    key = ["label", "same"]
+    told = cut(spread(rows.where("fit").select("vec_id", *key), classes.select(*key, "node"), key, hot_keys(classes.select(*key, F.col("many").alias("c")), key), numbered=True).select("vec_id", "node"))
+    twice = cut(told.groupBy("vec_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("c")).where("a < z"))
+    again = spread(told, twice.select("vec_id", "a"), ["vec_id"], hot_keys(twice.select("vec_id", "c"), ["vec_id"]), numbered=True).where("node <> a").select("a", F.col("node").alias("b"))
     label = components(found.select("a", "b").union(again))
     counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
-    named = classes.select("node", "many", "least").join(counts, "node", "left").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = named.groupBy("component").agg(F.min("least").alias("c"))
-    named = named.join(first, "component").select("node", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n"), "c")
-    out = told.join(named, "node", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
+    named = cut(classes.select("node", "many", "least").join(counts, "node", "left").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    first = cut(named.groupBy("component").agg(F.min("least").alias("c0"), F.count("*").alias("c")))
+    named = spread(named, first.select("component", "c0"), ["component"], hot_keys(first.select("component", "c"), ["component"]))
+    named = named.select("node", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n"), "c0")
+    copies = hot_keys(classes.select("node", F.col("many").alias("c")), ["node"])
+    out = spread(told, named, ["node"], copies, numbered=True).select("vec_id", F.col("n").cast("long").alias("n_links"), F.col("c0").alias("component_id"))
+    out = out.union(rows.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -15,6 +15,8 @@ standard errors, and then confirmed on the full sets.
 Defined results: null text is empty; a text without words links with nothing (component: itself); a row with a null
 doc_id links with nothing; rows that repeat a doc_id are one document; equal sets are one class whatever their number.
 Extra columns of the input are ignored.
+
+Hot keys, be they a bucket, a hub, a component's label or a class of exact copies, are cut into parts (common.spread).
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import components, cut, release
+from .common import components, cut, hot_in, hot_keys, release, spread
 
 #: Registers, rows of a band, base, rate, largest register value.
 M, ROWS, BASE, RATE, TOP = 200, 5, 1.001, 20.0, 65535
@@ -159,7 +161,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those of pairs (a, b) of class representatives whose sketches say that they may be as similar as asked."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely, "a long, b long")
+    pairs = cut(pairs)
+    return spread(pairs, side("a"), ["a"], hot_in(pairs, ["a"])).join(side("b"), "b").mapInArrow(_likely, "a long, b long")
 
 
 _ROW = ("bucket", "x", "y", "side", "band", "node", "n", "component")
@@ -245,8 +248,8 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
 
 
-def linked_inside(rest: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Confirmed pairs (a, b) of different components among all members of each bucket of rest(bucket, band, node, n, component).
+def linked_inside(rest: DataFrame, nodes: DataFrame, docs: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Confirmed pairs (a, b) of different components among all members of each bucket of rest(bucket, band, node, n, component); hot: its hot buckets.
 
     A large bucket is cut into blocks of about BLOCK members and each pair of blocks is worked on by itself, so no task holds
     a whole bucket.  The largest component of a large bucket has blocks of its own, which meet the others' blocks but not each other: where a hub
@@ -257,7 +260,7 @@ def linked_inside(rest: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFra
     size = parts.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("parts")).where("parts > 1")
     blocks = lambda x, small: F.expr(f"if(c <= {BLOCK}, {small}, ceil({x} / {BLOCK}))").cast("int")
     size = size.select("bucket", F.col("top.component").alias("main"), blocks("top.c", 0).alias("m"), blocks("(c - top.c)", 1).alias("o"))
-    rows = rest.join(size, "bucket").withColumn("own", F.expr("if(component = main and m > 0, pmod(xxhash64(node, 3), m), m + pmod(xxhash64(node, 3), o))").cast("int"))
+    rows = spread(rest, size, ["bucket"], hot).withColumn("own", F.expr("if(component = main and m > 0, pmod(xxhash64(node, 3), m), m + pmod(xxhash64(node, 3), o))").cast("int"))
     pick = lambda x, y, side: ("bucket", x.alias("x"), y.alias("y"), F.lit(side).alias("side"), "band", "node", "n", "component")
     left = rows.withColumn("other", F.explode(F.expr("sequence(greatest(own, m), m + o - 1)"))).select(*pick(F.col("own"), F.col("other"), 0))
     right = rows.where("own > 0 and own >= m").withColumn("other", F.explode(F.expr("sequence(0, own - 1)"))).select(*pick(F.col("other"), F.col("own"), 1))
@@ -285,34 +288,38 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = cut(pairs)
     sets = full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs)
     have = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"i{x}"))
-    return cut(pairs.join(have("a"), "a").join(have("b"), "b").mapInArrow(_confirm, "a long, b long"))
+    # a hub has many pairs, another node one for each band at most
+    return cut(spread(pairs, have("a"), ["a"], hot_in(pairs, ["a"])).join(have("b"), "b").mapInArrow(_confirm, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text). See the module's text."""
     made = cut(signatures(docs))
     solid = made.where("n_shingles > 0 and doc_id is not null")
-    classes = solid.groupBy("k1", "k2", F.col("n_shingles").alias("n")).agg(F.min(F.struct("doc_id", "sketch")).alias("r"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    classes = cut(classes.select("k1", "k2", "n", F.col("r.doc_id").alias("node"), F.col("r.sketch").alias("sketch"), (F.col("low") < F.col("high")).alias("copied")))
+    classes = solid.groupBy("k1", "k2", F.col("n_shingles").alias("n")).agg(F.min(F.struct("doc_id", "sketch")).alias("r"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c"))
+    classes = cut(classes.select("k1", "k2", "n", F.col("r.doc_id").alias("node"), F.col("r.sketch").alias("sketch"), (F.col("low") < F.col("high")).alias("copied"), "c"))
     nodes = classes.select("node", "n", "sketch")
     bucket = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(substring(sketch, i * {2 * ROWS} + 1, {2 * ROWS}), i))")
     banded = nodes.select("node", "n", F.posexplode(bucket).alias("band", "bucket"))
-    full = banded.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    shared = cut(banded.join(full, "bucket"))
+    full = cut(banded.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"))
+    hot = hot_keys(full, ["bucket"])
+    shared = cut(spread(banded, full.select("bucket"), ["bucket"], hot))
 
     hub = shared.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("h")).select("bucket", F.col("h.node").alias("a"), F.col("h.n").alias("m"))
     fits = (F.col("n") * LINK_DEN >= F.col("m") * LINK_NUM) & (F.col("m") * LINK_DEN >= F.col("n") * LINK_NUM)
-    pairs = shared.join(hub, "bucket").where((F.col("node") != F.col("a")) & fits).select("a", F.col("node").alias("b"))
+    pairs = spread(shared, hub, ["bucket"], hot).where((F.col("node") != F.col("a")) & fits).select("a", F.col("node").alias("b"))
     links = confirmed(likely((pairs if HUB_ROUNDS else pairs.where("false")).distinct(), nodes), docs)
     # these labels only spare pairs, so a few steps are enough
     label = components(links, rounds=2)
     release(docs.sparkSession)
     rest = cut(shared.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    links = links.union(linked_inside(rest, nodes, docs))
+    links = links.union(linked_inside(rest, nodes, docs, hot))
     label = components(links, start=label)
 
     named = classes.join(label, "node", "left").select("k1", "k2", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"), "copied", "node")
     moved = named.where(F.col("copied") | (F.col("component_id") != F.col("node"))).select("k1", "k2", "n_shingles", F.col("component_id").alias("to"))
-    rows = made.select("doc_id", "n_shingles", "k1", "k2").join(moved, ["k1", "k2", "n_shingles"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("to", "doc_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    key = ["k1", "k2", "n_shingles"]
+    rows = spread(solid.select("doc_id", *key), moved, key, hot_keys(classes.withColumnRenamed("n", "n_shingles").select(*key, "c"), key), "left", numbered=True)
+    rows = rows.select("doc_id", "n_shingles", F.coalesce("to", "doc_id").alias("component_id"))
+    rows = rows.union(made.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexgrove.llm import bpe, chat, covertree, hilbert, packing, pii, queries, rules, setsketch, textkernel, textstats, urlfilter, weak
+from lexgrove.llm import bpe, chat, common, covertree, hilbert, packing, pii, queries, rules, setsketch, textkernel, textstats, urlfilter, weak
 
 P = pytest.importorskip("public_tokenizers")
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -78,6 +78,29 @@ def test_near_duplicates(spark, docs):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
+@pytest.mark.parametrize("most", [200_000, 2])
+def test_hot_keys_are_cut(spark, docs, monkeypatch, most):
+    """With a bound of three rows a key nearly all joins are cut; a hub and its label have half of all rows; one row is repeated."""
+    monkeypatch.setattr(common, "HOT", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", most)
+    star, chain = [(0, i) for i in range(1, 60)], [(i, i + 1) for i in range(100, 130)]
+    edges = spark.createDataFrame(star + chain + [(200, 200), (131, 130)], "a long, b long")
+    want = {i: 0 for i in range(60)} | {i: 100 for i in range(100, 132)}
+    got = common.components(edges).collect()
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+
+    left = common.cut(spark.createDataFrame([(1, "x")] * 40 + [(2, "y"), (3, "z"), (None, "n")], "k int, v string"))
+    right = spark.createDataFrame([(1, 10), (2, 20), (4, 40)], "k int, w int")
+    for how in ("inner", "left"):
+        hot = common.hot_in(left, ["k"])
+        assert [(r.k, r.parts) for r in hot.collect()] == [(1, 14)]
+        assert Counter(common.spread(left, right, ["k"], hot, how, numbered=True).collect()) == Counter(left.join(right, "k", how).collect())
+
+    test_near_duplicates(spark, docs)
+    copies = spark.createDataFrame([(i % 30, "a b c d e f g") for i in range(60)] + [(99, "")] * 20, "doc_id long, text string")
+    assert Counter((r.component_id, r.kept) for r in setsketch.near_duplicates(copies).collect()) == {(0, True): 2, (0, False): 58, (99, True): 20}
+
+
 def test_sketches_estimate_and_merge():
     rng = np.random.default_rng(3)
     items = rng.integers(1, 1 << 62, 900, dtype=np.uint64)
@@ -136,9 +159,10 @@ def vectors():
     return rows + [(n, None, 0), (n + 1, [], 0), (n + 2, [0.0] * 16, 0), (n + 3, [1.0, None] + [0.0] * 14, 0), (n + 4, [math.nan] * 16, 0), (n + 5, [math.inf] * 16, 0), (n + 6, rows[0][1], None), (n + 7, [1.0, 2.0], 0)]
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_embeddings(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot"), [(1024, 100_000), (7, 100_000), (7, 2)])
+def test_embeddings(spark, monkeypatch, block, hot):
     monkeypatch.setattr(covertree, "BLOCK", block)
+    monkeypatch.setattr(common, "HOT", hot)
     rows = vectors()
     good = lambda v, l: l is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)
     unit = {i: np.array(v) / np.abs(v).max() for i, v, l in rows if good(v, l)}
@@ -172,9 +196,11 @@ def test_upper_levels_prune_where_distances_tell():
     assert len(covertree.upper(unit(rng.normal(size=(600, 64))), reach)) == 1
 
 
-def test_embeddings_in_cells(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [100_000, 4])
+def test_embeddings_in_cells(spark, monkeypatch, hot):
     """Clusters whose cells prune each other, a hot vector, repeated vec_ids, an empty table."""
     monkeypatch.setattr(covertree, "BLOCK", 16)
+    monkeypatch.setattr(common, "HOT", hot)
     rng = np.random.default_rng(5)
     heads = rng.normal(size=(10, 24))
     rows = [(i, [float(x) for x in heads[i % 10] + rng.normal(size=24) * 0.12], 0) for i in range(400)]
