@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, covertree, hilbert, packing, pii, rules, setsketch, urlfilter, weak
+from . import bpe, chat, covertree, hardneg, hilbert, packing, pii, rules, setsketch, urlfilter, weak
 from .common import table
 
 #: Packing: tokens of a sequence, id after each document. Sharding: shards. Surrogates: the key (a secret in production).
@@ -90,7 +90,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_embedding_dedup, op3_bpe, op4_chat, op5_hilbert_shards, op6_pii, op7_packing, op8_url_filter, op9_quality_rules, op10_quality_classifier)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id").cast("long"), F.col("label").cast("long")
+    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = table(spark, sf_dir, "embeddings").where(finite).select(vec_id.alias("vec_id"), F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("v"))
+    return hardneg.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_embedding_dedup, op3_bpe, op4_chat, op5_hilbert_shards, op6_pii, op7_packing, op8_url_filter, op9_quality_rules, op10_quality_classifier, op11_hard_negatives)}
 
 _VALUES = ", ".join(f"('{k}', '{c}', '{a}', '{d}')" for k, c, a, d in URL_LIST)
 _OP2 = """
@@ -153,4 +160,16 @@ least as (select a, min(b) b from reach group by a)
 select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) component_id, d.doc_id = least(d.doc_id, coalesce(l.b, d.doc_id)) kept
 from documents d left join n using (doc_id) left join least l on l.a = d.doc_id
 """
-ORACLE = {"op1_minhash_dedup": _OP1, "op2_embedding_dedup": _OP2, "op4_chat": _OP4, "op8_url_filter": _OP8}
+_OP11 = """
+with ok as materialized (
+  select vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label::bigint end as label, list_transform(embedding, lambda x: floor(256 * x::double)) v from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pair as materialized (
+  select a.vec_id a, b.vec_id b, a.label = b.label same, list_inner_product(a.v, b.v)::bigint score from ok a join ok b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+positive as (select a, b, score from (select *, row_number() over (partition by a order by score desc, b) k from pair where same) where k <= 5),
+negative as (
+  select p.a, p.b, p.score, n.b nb, n.score ns, row_number() over (partition by p.a, p.b order by n.score desc, n.b) k
+  from positive p join pair n on n.a = p.a and not n.same and 80 * p.score <= 100 * n.score and n.score <= p.score)
+select a anchor_id, b positive_id, k::int as rank, nb negative_id, score positive_score, ns negative_score from negative where k <= 5
+"""
+ORACLE = {"op1_minhash_dedup": _OP1, "op2_embedding_dedup": _OP2, "op4_chat": _OP4, "op8_url_filter": _OP8, "op11_hard_negatives": _OP11}
