@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, covertree, hardneg, hilbert, packing, pii, rules, setsketch, urlfilter, weak
+from . import bpe, chat, covertree, hardneg, hilbert, packing, pii, prefixtrie, rules, setsketch, urlfilter, weak
 from .common import table
 
 #: Packing: tokens of a sequence, id after each document. Sharding: shards. Surrogates: the key (a secret in production).
@@ -97,7 +97,17 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.hard_negatives(rows, F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_embedding_dedup, op3_bpe, op4_chat, op5_hilbert_shards, op6_pii, op7_packing, op8_url_filter, op9_quality_rules, op10_quality_classifier, op11_hard_negatives)}
+#: Turns, at most, that a rebuilt conversation takes from the one it begins with, less one.
+HEAD = 6
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    head = F.pmod(F.crc32(conv.cast("string").cast("binary")), F.lit(HEAD))
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"), head, conv - conv % 100, HEAD)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_embedding_dedup, op3_bpe, op4_chat, op5_hilbert_shards, op6_pii, op7_packing, op8_url_filter, op9_quality_rules, op10_quality_classifier, op11_hard_negatives, op13_prefix_trie)}
 
 _VALUES = ", ".join(f"('{k}', '{c}', '{a}', '{d}')" for k, c, a, d in URL_LIST)
 _OP2 = """
@@ -172,4 +182,25 @@ negative as (
   from positive p join pair n on n.a = p.a and not n.same and 80 * p.score <= 100 * n.score and n.score <= p.score)
 select a anchor_id, b positive_id, k::int as rank, nb negative_id, score positive_score, ns negative_score from negative where k <= 5
 """
-ORACLE = {"op1_minhash_dedup": _OP1, "op2_embedding_dedup": _OP2, "op4_chat": _OP4, "op8_url_filter": _OP8, "op11_hard_negatives": _OP11}
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({0}, ''), lambda x: ascii(x)::bigint)), lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda t, i: xor(t >> 1, 3988292384 * (t & 1)))), 4294967295::bigint)"
+_OP13 = f"""
+with recursive said as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 i
+  from conversations where conv_id is not null),
+conv as (select conv_id, conv_id - conv_id % 100 base, {_CRC32.format('conv_id::varchar')} % {HEAD} h from (select distinct conv_id from said)),
+built as (
+  select c.conv_id, 0 own, i, role, text from conv c join said s on s.conv_id = c.base where i < h
+  union all select c.conv_id, 1, i, role, text from conv c join said s on s.conv_id = c.conv_id where i >= h),
+seq as materialized (
+  select conv_id, coalesce(list({{'r': b.role, 't': b.text}} order by own, i) filter (b.conv_id is not null), []) s from conv left join built b using (conv_id) group by conv_id),
+pre as (select conv_id, len(s) size, unnest(range(0, len(s) + 1)) d, s from seq),
+node as materialized (
+  select d, s[:d] p, min(conv_id) conv_id, count(*) n, coalesce(sum(length(s[d].t)) // count(*), 0) chars, string_agg(conv_id::varchar, ',' order by conv_id) filter (size = d) ends
+  from pre group by d, s[:d]),
+child as (select d - 1 d, p[:d - 1] p, count(*) k from node where d > 0 group by 1, 2),
+up as (select u.d, n.p[:u.d] p, n.d depth, n.n, n.chars, c.k is null leaf from node n left join child c on c.d = n.d and c.p = n.p, unnest(range(0, n.d + 1)) u(d)),
+below as (select d, p, count(*) filter (leaf) leaves, sum((n - 1) * chars) saved from up group by d, p)
+select n.conv_id, n.d depth, parent.conv_id parent_conv_id, n.n n_convs, coalesce(k, 0) n_children, leaves n_leaves, saved::bigint saved_tokens, sha256(coalesce(n.ends, '')) ends_sha256
+from node n join below b on b.d = n.d and b.p = n.p left join child c on c.d = n.d and c.p = n.p left join node parent on parent.d = n.d - 1 and parent.p = n.p[:n.d - 1]
+"""
+ORACLE = {"op1_minhash_dedup": _OP1, "op2_embedding_dedup": _OP2, "op4_chat": _OP4, "op8_url_filter": _OP8, "op11_hard_negatives": _OP11, "op13_prefix_trie": _OP13}
