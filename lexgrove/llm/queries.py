@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, covertree, hardneg, hilbert, packing, pii, prefixtrie, rules, setsketch, urlfilter, weak
+from . import bpe, brown, chat, covertree, hardneg, hilbert, packing, pii, prefixtrie, rules, setsketch, urlfilter, weak
 from .common import table
 
 #: Packing: tokens of a sequence, id after each document. Sharding: shards. Surrogates: the key (a secret in production).
@@ -97,6 +97,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.hard_negatives(rows, F.col("vec_id") % 100 == 0)
 
 
+def op12_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return brown.scored(docs.select("doc_id", "text", (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0).alias("held_out")))
+
+
 #: Turns, at most, that a rebuilt conversation takes from the one it begins with, less one.
 HEAD = 6
 
@@ -107,7 +112,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"), head, conv - conv % 100, HEAD)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_embedding_dedup, op3_bpe, op4_chat, op5_hilbert_shards, op6_pii, op7_packing, op8_url_filter, op9_quality_rules, op10_quality_classifier, op11_hard_negatives, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_embedding_dedup, op3_bpe, op4_chat, op5_hilbert_shards, op6_pii, op7_packing, op8_url_filter, op9_quality_rules, op10_quality_classifier, op11_hard_negatives, op12_class_lm, op13_prefix_trie)}
 
 _VALUES = ", ".join(f"('{k}', '{c}', '{a}', '{d}')" for k, c, a, d in URL_LIST)
 _OP2 = """
