@@ -73,7 +73,9 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[Unit]:
 def _ranges(words: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """(range, begin, end) of sorted hashes."""
     which = (words >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(words), np.int64)
-    edge = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else np.zeros(0, np.int64)
+    if not len(which):
+        return
+    edge = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
     for a, b in zip(edge.tolist(), np.r_[edge[1:], len(which)].tolist(), strict=True):
         yield int(which[a]), a, b
 
@@ -225,15 +227,15 @@ def likelihood(m: np.ndarray) -> float:
     return float(_xlogx(m).sum() - _xlogx(m.sum(0)).sum() - _xlogx(m.sum(1)).sum())
 
 
-def _gains(m: np.ndarray, rows: np.ndarray, cols: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _gains(m: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """By how much the likelihood rises for each class that a word outside all classes may join."""
     r, l_ = np.flatnonzero(right), np.flatnonzero(left)
     out = (_xlogx(m[:CLASSES, r] + right[r]) - _xlogx(m[:CLASSES, r])).sum(1)
     out += (_xlogx(m[l_, :CLASSES] + left[l_, None]) - _xlogx(m[l_, :CLASSES])).sum(0)
     d, dr, dl = m.diagonal()[:CLASSES], right[:CLASSES], left[:CLASSES]
     out += _xlogx(d + dr + dl) - _xlogx(d + dr) - _xlogx(d + dl) + _xlogx(d)
-    n, k = right.sum(), left.sum()
-    return out - (_xlogx(rows[:CLASSES] + n) - _xlogx(rows[:CLASSES])) - (_xlogx(cols[:CLASSES] + k) - _xlogx(cols[:CLASSES]))
+    rows, cols = (m.sum(1) + left)[:CLASSES], (m.sum(0) + right)[:CLASSES]  # its neighbours' classes gain the same, wherever it goes
+    return out - (_xlogx(rows + right.sum()) - _xlogx(rows)) - (_xlogx(cols + left.sum()) - _xlogx(cols))
 
 
 def _seeded(seeds: np.ndarray) -> Callable:
@@ -256,7 +258,6 @@ def _exchanged(m: np.ndarray, kind_of: np.ndarray, size: int) -> Callable:
         for batch in batches:
             for block, cells, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = m.astype(np.float64).copy()
-                rows, cols = own.sum(1), own.sum(0)
                 kinds = kind_of[block * BLOCK : min((block + 1) * BLOCK, size)].copy()
                 beside = _dense(cells, counts, BLOCK, 2, KINDS)
                 for k in range(len(kinds)):
@@ -264,16 +265,12 @@ def _exchanged(m: np.ndarray, kind_of: np.ndarray, size: int) -> Callable:
                     a = kinds[k]
                     own[a] = np.maximum(own[a] - right, 0)  # its neighbours may have moved since they were counted
                     own[:, a] = np.maximum(own[:, a] - left, 0)
-                    rows[a] -= right.sum()
-                    cols[a] -= left.sum()
-                    gain = _gains(own, rows, cols, left, right)
+                    gain = _gains(own, left, right)
                     b = int(gain.argmax())
                     b = b if gain[b] > gain[a] + 1e-9 else int(a)
                     kinds[k] = b
                     own[b] += right
                     own[:, b] += left
-                    rows[b] += right.sum()
-                    cols[b] += left.sum()
                 yield _batch([(block, kinds.astype(np.uint8).tobytes())], "block int, kinds binary")
 
     return run
@@ -331,10 +328,10 @@ def _smoothed(counts: np.ndarray, overall: np.ndarray) -> np.ndarray:
 def _model(v: Vocabulary, kind_of: np.ndarray, m: np.ndarray) -> Model:
     m = m.copy()
     m[:, START] = 0
-    overall = m.sum(0) + 0.5
-    overall[START] = 0
+    some = np.isin(np.arange(KINDS), [*kind_of[: len(v.words)], REST, END])  # nothing moves to the start or to a class without words
+    overall = np.where(some, m.sum(0) + 0.5, 0)
     step = _smoothed(m, overall / overall.sum())
-    step[:, START] = 1.0  # nothing moves there
+    step[:, ~some] = 1.0
     in_class = np.bincount(kind_of[: len(v.words)], weights=v.counts, minlength=KINDS)
     return Model(v, kind_of, np.log10(step), np.log10(v.counts / np.maximum(in_class[kind_of[: len(v.words)]], 1)))
 
@@ -391,6 +388,7 @@ _SOLVED = "kind int, unit long, first int, counts binary, kinds binary, sums bin
 def _solve(step: np.ndarray) -> Callable:
     """Counts and classes of the rest words of a range."""
     gain = (step - np.log10(np.maximum((10.0**step).mean(0, keepdims=True), 1e-300)))[:, :CLASSES]
+    gain[:, step[START, :CLASSES] == 0] = -1e6  # classes without words
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         sizes = np.array([len(w) // 8 for w in rows["words"]])

@@ -60,6 +60,8 @@ def centroids(rows: DataFrame, count: int, width: int) -> np.ndarray:
     size = max(1, min(SAMPLE, SAMPLE_NUMBERS // max(1, width)))
     got = rows.select(F.xxhash64("vec_id").alias("h"), "vec_id", "v").orderBy("h", "vec_id").limit(size).select("v").toArrow()
     x = matrix(got.column("v").to_pylist(), width)
+    if not len(x):
+        return np.zeros((1, width))
     k = max(1, min(LISTS, count // ROWS_A_LIST, len(x)))
     c = x[:k].copy()
     for _ in range(ROUNDS):

@@ -1,0 +1,242 @@
+"""Hard negatives, the class-based language model and the prefix trie against brute force, with odd rows and hot keys."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lexgrove.llm import brown, hardneg, prefixtrie, queries
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def mined(rows):
+    """Brute force of hard_negatives: usable rows in, result rows out."""
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))
+    out = set()
+    for a, (la, va) in rows.items():
+        if a % 10:
+            continue
+        same = sorted((-dot(va, v), i) for i, (lab, v) in rows.items() if i != a and lab == la)[:5]
+        other = sorted((-dot(va, v), i) for i, (lab, v) in rows.items() if lab != la)
+        for p, i in same:
+            window = [(s, j) for s, j in other if 80 * -p <= 100 * -s <= 100 * -p][:5]
+            out |= {(a, i, k + 1, j, -p, -s) for k, (s, j) in enumerate(window)}
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_hard_negatives(spark, monkeypatch, seed):
+    for name, value in (("SHELL", 7), ("CELL", 20), ("ANCHORS", 6), ("FIRST", 2), ("ROWS_A_LIST", 40)):
+        monkeypatch.setattr(hardneg, name, value)
+    rng = random.Random(seed)
+    centres = [[rng.randint(-99, 99) for _ in range(6)] for _ in range(5)]
+    rows = {i: (rng.choice([0, 0, 0, 1, 2]), [x + rng.randint(-20, 20) for x in rng.choice(centres)]) for i in range(200)}
+    for i in range(200, 260):  # ties: copies of one vector, under all labels
+        rows[i] = (i % 3, list(rows[10][1]))
+    rows[301], rows[310], rows[320] = (1, [0] * 6), (1, []), (2, [5, 5])
+    data = [(i, lab, v) for i, (lab, v) in rows.items()]
+    data += [(10, rows[10][0], rows[10][1]), (400, None, [1] * 6), (410, 0, None), (420, 0, [1, None, 1]), (None, 0, [1] * 6), (430, 0, [1 << 40] * 6)]
+    df = spark.createDataFrame(data, "vec_id long, label long, v array<long>").withColumn("list", F.lit(1)).withColumn("rank", F.lit("clash"))
+    got = hardneg.hard_negatives(df, F.col("vec_id") % 10 == 0).collect()
+    assert len(got) == len(set(map(tuple, got)))
+    assert set(map(tuple, got)) == mined(rows)
+    assert hardneg.hard_negatives(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+    one = spark.createDataFrame([(0, 1, [3, 4])], "vec_id long, label long, v array<long>")
+    assert hardneg.hard_negatives(one, F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_hard_negatives_bounds():
+    rng = np.random.default_rng(5)
+    a, x, c = rng.normal(size=(40, 8)), rng.normal(size=(300, 8)), rng.normal(size=(1, 8))
+    upper, lower = hardneg.bounds(a, c, float(np.sqrt(((x - c) ** 2).sum(1)).max()))
+    s = a @ x.T
+    assert (s <= upper).all() and (s >= lower).all()
+
+
+def nodes(convs, h):
+    """Brute force of the trie: conv -> [(turn, role, text)] in; rows out."""
+    keyed = {c: [(r or "", t or "") for _, r, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "", x[2] or ""))] for c, rows in convs.items()}
+    seqs = {}
+    for c, own in keyed.items():
+        base = keyed.get(c - int(math.fmod(c, 100)), [])
+        seqs[c] = tuple(base[: h(c)] + own[h(c) :])
+    members = defaultdict(list)
+    for c, s in seqs.items():
+        for d in range(len(s) + 1):
+            members[s[:d]].append(c)
+    kids, leaves, saved = Counter(p[:-1] for p in members if p), Counter(), Counter()
+    for p, m in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += p not in kids
+            saved[p[:d]] += (len(m) - 1) * (len(p[-1][1]) if p else 0)
+    out = set()
+    for p, m in members.items():
+        ends = ",".join(str(c) for c in sorted(m) if len(seqs[c]) == len(p))
+        out.add((min(m), len(p), min(members[p[:-1]]) if p else None, len(m), kids[p], leaves[p], saved[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return out
+
+
+def crc_head(c):
+    return zlib.crc32(str(c).encode()) % 6
+
+
+def trie_of(df):
+    conv = F.col("conv_id")
+    return prefixtrie.prefix_trie(df, F.pmod(F.crc32(conv.cast("string").cast("binary")), F.lit(6)), conv - conv % 100, 6)
+
+
+@pytest.mark.parametrize(("seed", "turns"), [(1, 1_000_000), (2, 40), (3, 9)])
+def test_prefix_trie(spark, monkeypatch, seed, turns):
+    """turns: so few a task that hot paths, and copies of one conversation, span many tasks."""
+    monkeypatch.setattr(prefixtrie, "TURNS", turns)
+    rng = random.Random(seed)
+    convs = {}
+    for c in rng.sample(range(-40, 420), 150):
+        size = rng.choice([1, 2, 3, 3, 8])
+        convs[c] = [(rng.choice([None, 0, 1, 2, 3, 4, 5]), rng.choice(["user", None, ""]), rng.choice(["é🙂", "b", None, ""])) for _ in range(size)]
+    for c in range(1000, 1090):  # copies of one conversation
+        convs[c] = [(k, "user", "same") for k in range(7)]
+    convs[2000] = [(k, "user", "long") for k in range(300)]
+    convs[2001] = [(k, "user", "long") for k in range(299)] + [(299, "user", "other")]
+    rows = [(c, *t) for c, ts in convs.items() for t in ts] + [(None, 1, "user", "lost")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("key", F.lit("clash")).withColumn("part", F.lit(1)).repartition(5)
+    got = trie_of(df).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256").collect()
+    assert len(got) == len(set(map(tuple, got)))
+    assert set(map(tuple, got)) == nodes(convs, crc_head)
+
+
+def test_prefix_trie_odd(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    assert trie_of(spark.createDataFrame([], schema)).count() == 0
+    c = next(c for c in range(101, 200) if crc_head(c) > 1)  # its own turn is replaced, and the one it begins with is absent
+    root = trie_of(spark.createDataFrame([(c, 0, "user", "x")], schema)).collect()
+    assert [(r.conv_id, r.depth, r.parent_conv_id, r.n_convs, r.n_children, r.n_leaves) for r in root] == [(c, 0, None, 1, 0, 1)]
+    assert root[0].ends_sha256 == hashlib.sha256(str(c).encode()).hexdigest()
+
+
+def test_loser_tree():
+    rng = random.Random(7)
+    for _ in range(50):
+        items = [prefixtrie.Item(b"".join(bytes([rng.randrange(3)]) * prefixtrie.WIDTH for _ in range(rng.randrange(6))), c, []) for c in range(rng.randrange(1, 60))]
+        ways = rng.randrange(1, 9)
+        runs = [prefixtrie.sorted_run(items[k::ways]) for k in range(ways)]
+        out = list(prefixtrie.merged(runs))
+        assert [x for x, _ in out] == sorted(items)
+        assert [n for _, n in out] == [0] + [prefixtrie.shared(a.key, b.key, 0) for (a, _), (b, _) in zip(out, out[1:], strict=False)]
+
+
+def held_out(c):
+    return F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(10)) == 0
+
+
+def lm_texts():
+    rng = random.Random(3)
+    kinds = [["".join(rng.choices(a, k=rng.randint(1, 6))) for _ in range(60)] for a in ("abcd", "wxyz", "éü漢🙂")]
+    out = [None, "", " \n\t ", "one", "One ONE", "a\x1fb c", "x " * 4000, "unseen" * 3000]
+    for k in range(150):
+        words = kinds[k % 3]
+        out.append(" ".join(words[min(int(rng.expovariate(0.1)), 59)] if rng.random() < 0.95 else f"w{rng.random()}" for _ in range(rng.randint(1, 80))))
+    return out
+
+
+def test_class_lm(spark, monkeypatch):
+    """Counts and base score by brute force; the model sums to one, and a text's score is the sum over its tokens."""
+    monkeypatch.setattr(brown, "FREQUENT", 40)
+    monkeypatch.setattr(brown, "RANGE_BYTES", 4096)
+    kept = []
+    made = brown._scored
+    monkeypatch.setattr(brown, "_scored", lambda model, sums: kept.append((model, sums)) or made(model, sums))
+    solved = []
+    cut = brown.cut
+    monkeypatch.setattr(brown, "cut", lambda df: solved.append(cut(df)) or solved[-1])
+    texts = lm_texts()
+    rows = [(k, t, "clash") for k, t in enumerate(texts)] + [(20, texts[20], "clash"), (None, "lost words", "clash")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string").withColumn("unit", F.lit(1)).withColumn("held_out", held_out("doc_id")).repartition(3)
+    got = brown.scored(docs).collect()
+    assert len(got) == len(rows)
+    held = {k: zlib.crc32(str(k).encode()) % 10 == 0 for k in range(len(texts))} | {None: True}
+    tokens = lambda t: [*WORD.findall((t or "").translate(LOW)), None]
+    c = Counter(w for k, t, _ in rows if not held[k] for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    for r in got:
+        x = tokens(texts[r.doc_id] if r.doc_id is not None else "lost words")
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(x), sum(c[w] > 0 for w in x), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x), rel=1e-9)
+    model, (of_class, once, steps) = kept[0]
+    # the class of every word, from the tables in which units got them
+    import pickle
+
+    def code(w):
+        h = brown.tk.words(*brown.tk.raw(brown.pa.array([w])), lower=True).hash
+        at = int(brown._codes(model.v, h)[0])
+        return at, int(h[0])
+
+    seen, answered = solved[-2].where("kind = 0").collect(), {(r.unit, r["first"]): r for r in solved[-1].where("kind = 0").collect()}
+    rest = {}
+    for r in seen:
+        a = answered[r.unit, r["first"]]
+        for w, k, kind in zip(np.frombuffer(r.words, np.uint64).tolist(), np.frombuffer(a.counts, np.int64).tolist(), a.kinds, strict=True):
+            rest[w] = (k, kind)
+    total = of_class.sum()
+    unseen = (once + 0.5) / (total + once + 1)
+    assert once == sum(k == 1 for k, _ in rest.values()) and total == sum(k for k, _ in rest.values())
+    within = (steps + brown.PRIOR * of_class / total) / (steps.sum(1, keepdims=True) + brown.PRIOR)
+    step = 10.0**model.step
+
+    def p(w, u):
+        if w is None:
+            return step[u, brown.END], brown.START
+        at, h = code(w)
+        if at < len(model.v.words):
+            kind = model.kind_of[at]
+            return step[u, kind] * 10 ** model.word[at], kind
+        k, kind = rest.get(h, (0, brown.REST))
+        return (step[u, brown.REST] * (1 - unseen) * within[u, kind] * k / of_class[kind], kind) if k else (step[u, brown.REST] * unseen, brown.REST)
+
+    words = [w for w in c if w is not None]
+    for u in (brown.START, brown.REST, 0, 5):
+        assert sum(p(w, u)[0] for w in words) + p(None, u)[0] + step[u, brown.REST] * unseen == pytest.approx(1)
+    for r in got[::7]:
+        u, want = brown.START, 0.0
+        for w in tokens(texts[r.doc_id] if r.doc_id is not None else "lost words"):
+            q, u = p(w, u)
+            want += math.log10(q)
+        assert r.score == pytest.approx(want, rel=1e-9)
+    learned = [r for r in got if r.held_out and r.n_tokens > 5]
+    assert sum(r.score for r in learned) > sum(r.base_score for r in learned)
+
+
+def test_class_lm_odd(spark):
+    schema = "doc_id long, text string"
+    empty = spark.createDataFrame([], schema).withColumn("held_out", held_out("doc_id"))
+    assert brown.scored(empty).count() == 0
+    k = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 10 == 0)  # nothing to learn from
+    r = brown.scored(spark.createDataFrame([(k, "a b")], schema).withColumn("held_out", held_out("doc_id"))).collect()[0]
+    assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and math.isfinite(r.score) and r.base_score == pytest.approx(0)
+
+
+def test_exchange_raises_likelihood():
+    """A gain is what the likelihood rises by, but for what is the same for all classes."""
+    rng = np.random.default_rng(1)
+    m = rng.integers(0, 50, (brown.KINDS, brown.KINDS)).astype(float)
+    left, right = rng.integers(0, 5, brown.KINDS).astype(float), rng.integers(0, 5, brown.KINDS).astype(float)
+    gain = brown._gains(m, left, right)
+    rise = []
+    for b in (0, 7, brown.CLASSES - 1):
+        moved = m.copy()
+        moved[b] += right
+        moved[:, b] += left
+        rise.append(brown.likelihood(moved) - gain[b])
+    assert rise == pytest.approx([rise[0]] * 3, rel=1e-12)
+
+
+def test_queries_registered():
+    assert {"op11_hard_negatives", "op12_class_lm", "op13_prefix_trie"} <= set(queries.QUERIES)
