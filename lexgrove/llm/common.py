@@ -84,9 +84,10 @@ def spread(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | No
 def components(edges: DataFrame, src: str = "a", dst: str = "b", start: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable from each end of an edge.
 
-    Hash-to-min with pointer jumping: a node takes the least label among itself and its neighbours, then the label of
-    its label.  Labels only fall, each round is a few equi-joins on partially aggregated tables, and the number of
-    rounds grows with the logarithm of the longest chain.  Nodes without an edge are not returned.
+    Hooking and jumping: in each round a node takes the least label of its neighbours' labels, and so does the node that its own label
+    names, the root of its tree, so whole trees hang themselves below their least neighbour; then labels jump to their label's label.
+    Labels only fall, each round is a few equi-joins on partially aggregated tables, and trees at least pair up in a round, whatever the order
+    of ids along a chain: the number of rounds grows with the logarithm of the component.  Nodes without an edge are not returned.
 
     start: earlier labels of some nodes, from which to go on.  rounds: stop after so many, with labels that may not be the
     least yet; even then nodes of one label are connected.
@@ -104,12 +105,13 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", start: DataFram
     hubs = hot_in(both, ["v"]) if crowded else None
     done = 0
     while True:
-        near = spread(both, labels.withColumnRenamed("node", "v"), ["v"], hubs).groupBy(F.col("u").alias("n")).agg(F.min("component").alias("c"))
-        step = labels.join(near, labels.node == near.n, "left").select("node", "component", F.least("component", F.coalesce("c", "component")).alias("new"))
-        step = cut(step) if crowded else step
-        up = labels.select(F.col("node").alias("new"), F.col("component").alias("pc"))
-        step = spread(step, up, ["new"], hot_in(step, ["new"]) if crowded else None, "left").select("node", "component", F.least("new", F.coalesce("pc", "new")).alias("new"))
-        step = cut(step)
+        up = labels.select(F.col("node").alias("component"), F.col("component").alias("grand"))
+        grown = spread(labels, up, ["component"], hot_in(labels, ["component"]) if crowded else None, "left").select("node", "component", F.coalesce("grand", "component").alias("grand"))
+        grown = cut(grown)
+        near = spread(both, grown.select(F.col("node").alias("v"), "grand"), ["v"], hubs).groupBy(F.col("u").alias("n")).agg(F.min("grand").alias("c"))
+        low = cut(grown.join(near, grown.node == near.n, "left").select("node", "component", F.least("grand", F.coalesce("c", "grand")).alias("low")))
+        hooked = low.groupBy(F.col("component").alias("root")).agg(F.min("low").alias("least"))
+        step = cut(low.join(hooked, low.node == hooked.root, "left").select("node", "component", F.least("low", F.coalesce("least", "low")).alias("new")))
         done += 1
         labels = step.select("node", F.col("new").alias("component"))
         if done == rounds or not step.where("new <> component").limit(1).count():

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexgrove.llm import brown, hardneg, prefixtrie, queries
+from lexgrove.llm import brown, common, hardneg, prefixtrie, queries
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -238,5 +238,26 @@ def test_exchange_raises_likelihood():
     assert rise == pytest.approx([rise[0]] * 3, rel=1e-12)
 
 
+def test_components_take_few_rounds(spark):
+    """Chains whose ids are shuffled, a star and a grid, side by side, in at most 2 log2(n) + 5 rounds."""
+    rng = random.Random(4)
+    edges, want, first = [], {}, 0
+
+    def add(n, pairs):
+        nonlocal first
+        names = list(range(first, first + n))
+        rng.shuffle(names)
+        edges.extend((names[a], names[b]) for a, b in pairs)
+        want.update(dict.fromkeys(names, first))
+        first += n
+
+    for n in (1000, 5000):
+        add(n, [(k, k + 1) for k in range(n - 1)])
+    add(3000, [(0, k) for k in range(1, 3000)])
+    add(2500, [(50 * r + c, 50 * r + c + 1) for r in range(50) for c in range(49)] + [(50 * r + c, 50 * r + c + 50) for r in range(49) for c in range(50)])
+    got = common.components(spark.createDataFrame(edges, "a long, b long"), rounds=2 * math.ceil(math.log2(5000)) + 5).collect()
+    assert {r.node: r.component for r in got} == want
+
+
 def test_queries_registered():
     assert {"op11_hard_negatives", "op12_class_lm", "op13_prefix_trie"} <= set(queries.QUERIES)
