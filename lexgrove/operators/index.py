@@ -1,49 +1,105 @@
-"""The inverted index: postings of two fields, document frequencies, lengths, statistics; built, saved, loaded, measured and published as tables."""
+"""The inverted index: postings of two fields in blocks, bounds of blocks, document frequencies, statistics; built, saved, loaded, measured and published as tables.
+
+Postings are packed: one row for each term and block, a block being up to 2 ** BLOCK_BITS passages that follow each other, with
+its postings as an array.  Beside it stands a bound: the greatest contribution of any of them to a score.  A search reads bounds first, and
+postings only of blocks that can hold a result (search.py).
+
+Both tables are bucketed by (field, term, part), so questions' terms meet them without an exchange of postings.  A term with more than HOT
+postings is dealt to several parts by block, so no bucket holds all of a frequent term.
+
+Under a path, an index is a snapshot, a folder that is never written again, and a log of snapshots whose last entry counts.  The log gets
+its entry when all tables of a snapshot are there; a writer that stops before leaves the index as it was.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+import uuid
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import kept_tokens, stem
 
 FIELDS = {"body": "testo", "rubrica": "rubrica"}
-#: Tables of a saved index, in the order in which they are written; the manifest is last, so an index that has it is whole.
-TABLES = ("postings", "terms", "meta", "texts", "stats", "manifest")
+#: Tables of a snapshot, in the order in which they are written; the manifest, with a digest of each, is last.
+TABLES = ("postings", "terms", "stats", "bounds", "meta", "texts", "manifest")
+#: BM25's constants: bounds hold for these.
+K1, B = 1.2, 0.75
+#: A block is what positions share above so many bits: 32 paragraphs. Postings of a term in one part.
+BLOCK_BITS, HOT = 5, 1_000_000
+_KEY = ("field", "term", "part")
+_PACKED = "field string, term string, part int, block bigint, n int, tfs bigint, entries array<struct<pos:bigint,tf:bigint,len:int,recital:boolean>>"
+_BOUNDS = "field string, term string, part int, block bigint, n int, top double, most bigint, least int, recitals int"
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings(field, term, pos, tf, len, tipo), terms(field, term, df), stats(n, avg_body, avg_rub; one row), meta(passages without text), texts(pos, testo), stemmed."""
+    """packed(field, term, part, block, n, tfs, entries), bounds(field, term, part, block, n, top, most, least, recitals), terms(field, term, df, parts),
+    stats(n, avg_body, avg_rub; one row), meta(passages without text), texts(pos, testo), stemmed, saved (each table's digest, for a saved index)."""
 
-    postings: DataFrame
+    packed: DataFrame
+    bounds: DataFrame
     terms: DataFrame
     stats: DataFrame
     meta: DataFrame
     texts: DataFrame
     stemmed: bool
+    saved: dict[str, str] = field(default_factory=dict)
 
+    @property
+    def postings(self) -> DataFrame:
+        """field, term, pos, tf, len, recital: one row for each term of each field of each passage."""
+        return self.packed.select("field", "term", F.inline("entries"))
 
-def postings(passages: DataFrame, stemmed: bool = True) -> DataFrame:
-    """field, term, pos, tf, len, tipo: one row for each term of each field of each passage.
+
+def occurrences(passages: DataFrame, stemmed: bool = True) -> DataFrame:
+    """field, term, pos, tf, len, recital.
 
     Lengths and type ride along, so a search joins nothing but its terms.  Words become rows before they are stemmed, so that the
     stemmer runs in generated code.
     """
     fields = F.array(*(F.struct(F.lit(k).alias("field"), kept_tokens(F.coalesce(F.col(c), F.lit(""))).alias("words")) for k, c in FIELDS.items()))
-    rows = passages.select("pos", "tipo", F.explode(fields).alias("f")).select("pos", "tipo", "f.field", F.size("f.words").alias("len"), F.explode("f.words").alias("word"))
+    rows = passages.select("pos", (F.col("tipo") == "considerando").alias("recital"), F.explode(fields).alias("f")).select("pos", "recital", "f.field", F.size("f.words").alias("len"), F.explode("f.words").alias("word"))
     term = stem(F.col("word")) if stemmed else F.col("word")
-    rows = rows.select("field", term.alias("term"), "pos", "len", "tipo")
-    return rows.groupBy("field", "term", "pos", "len", "tipo").agg(F.count("*").alias("tf")).select("field", "term", "pos", "tf", "len", "tipo")
+    rows = rows.select("field", term.alias("term"), "pos", "len", "recital")
+    return rows.groupBy("field", "term", "pos", "len", "recital").agg(F.count("*").alias("tf")).select("field", "term", "pos", "tf", "len", "recital")
 
 
 def frequencies(rows: DataFrame) -> DataFrame:
-    """field, term, df of postings."""
-    return rows.groupBy("field", "term").agg(F.count("*").alias("df"))
+    """field, term, df, parts of occurrences()."""
+    return rows.groupBy("field", "term").agg(F.count("*").alias("df")).withColumn("parts", F.ceil(F.col("df") / HOT).cast("int"))
+
+
+def packed(rows: DataFrame, terms: DataFrame, buckets: int) -> DataFrame:
+    """occurrences() in blocks, dealt to buckets; the parts of the few terms that have several are broadcast (of n postings, n / HOT at most)."""
+    several = terms.where("parts > 1").select("field", "term", "parts")
+    rows = rows.withColumn("block", F.shiftright("pos", BLOCK_BITS)).join(F.broadcast(several), ["field", "term"], "left")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("block"), F.coalesce("parts", F.lit(1))).cast("int")).repartition(buckets, *_KEY)
+    out = rows.groupBy(*_KEY, "block").agg(F.count("*").cast("int").alias("n"), F.sum("tf").alias("tfs"), F.array_sort(F.collect_list(F.struct("pos", "tf", "len", "recital"))).alias("entries"))
+    return out.select(*(x.split()[0] for x in _PACKED.split(", ")))
+
+
+def weight_of(tf: Column, length: Column, average: Column) -> Column:
+    """What an occurrence contributes to a score, but for the weight of its term."""
+    return tf / (tf + K1 * ((1 - B) + B * length / average))
+
+
+def average_of(stats_field: Column) -> Column:
+    """Mean length of the fields, from statistics; a field without any counts as of length 1."""
+    average = F.when(stats_field == "body", F.col("avg_body")).otherwise(F.col("avg_rub"))
+    return F.coalesce(F.nullif(average, F.lit(0.0)), F.lit(1.0))
+
+
+def bounds(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """For each row of packed(): the greatest contribution of its postings without a floor of lengths, the greatest tf and the least length, and how many are of recitals."""
+    own = rows.crossJoin(F.broadcast(stats.drop("n"))).withColumn("average", average_of(F.col("field")))  # one row
+    top = F.array_max(F.transform("entries", lambda e: weight_of(e["tf"], e["len"], F.col("average"))))
+    recitals = F.size(F.filter("entries", lambda e: e["recital"]))
+    return own.select(*_KEY, "block", "n", top.alias("top"), F.array_max("entries.tf").alias("most"), F.array_min("entries.len").alias("least"), recitals.alias("recitals"))
 
 
 def lengths(rows: DataFrame, meta: DataFrame) -> DataFrame:
@@ -54,54 +110,123 @@ def lengths(rows: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def statistics(rows: DataFrame, meta: DataFrame) -> DataFrame:
-    """n, avg_body over all passages, avg_rub over those with terms in the heading; from counts of postings, since a field of len terms has their tf in sum."""
-    total = lambda field: F.sum(F.when(F.col("field") == field, F.col("tf")))
-    headed = rows.where("field = 'rubrica'").select("pos").distinct().agg(F.count("*").alias("headed"))
+    """n, avg_body over all passages, avg_rub over those with terms in the heading; from counts of packed(), since a field of len terms has their tf in sum."""
+    total = lambda field: F.sum(F.when(F.col("field") == field, F.col("tfs")))
+    headed = rows.where("field = 'rubrica'").select(F.explode("entries.pos").alias("pos")).distinct().agg(F.count("*").alias("headed"))
     sums = rows.agg(total("body").alias("body"), total("rubrica").alias("rub"))
     counted = meta.agg(F.count("*").alias("n")).crossJoin(sums).crossJoin(headed)  # one row each
     share = lambda x, n: F.col(x).cast("double") / F.nullif(F.col(n), F.lit(0))
     return counted.select("n", F.coalesce(share("body", "n"), F.when(F.col("n") > 0, 0.0)).alias("avg_body"), share("rub", "headed").alias("avg_rub"))
 
 
+def _buckets(spark: SparkSession) -> int:
+    """As many as a shuffle has partitions: with fewer, Spark would rather exchange both sides of a join."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def build(passages: DataFrame, stemmed: bool = True) -> Index:
     """The index as a plan. What is searched more than once should be saved: save() computes the postings once and all else from them."""
-    rows, meta = postings(passages, stemmed), passages.drop("testo")
-    return Index(rows, frequencies(rows), statistics(rows, meta), meta, passages.select("pos", "testo"), stemmed)
+    rows, meta = occurrences(passages, stemmed), passages.drop("testo")
+    terms = frequencies(rows)
+    blocks = packed(rows, terms, _buckets(passages.sparkSession))
+    stats = statistics(blocks, meta)
+    return Index(blocks, bounds(blocks, stats), terms, stats, meta, passages.select("pos", "testo"), stemmed)
+
+
+def digest(df: DataFrame) -> DataFrame:
+    """rows, digest: one row that is the same for the same rows in any order, and, but for chance, for no others; it adds up over parts of a table."""
+    columns = sorted(df.columns)
+    total = lambda seed: F.coalesce(F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    return df.agg(F.count("*").alias("rows"), F.concat_ws(":", F.lit(",".join(columns)), F.count("*").cast("string"), total(1), total(2)).alias("digest"))
+
+
+def digests(index: Index) -> dict[str, str]:
+    """Each table's digest: the saved ones of a saved index, without reading its tables."""
+    if index.saved:
+        return index.saved
+    tables = {"postings": index.packed, "terms": index.terms, "stats": index.stats, "bounds": index.bounds, "meta": index.meta, "texts": index.texts}
+    return {name: digest(df).first().digest for name, df in tables.items()}
+
+
+def _name(path: str) -> str:
+    return "lexgrove_" + hashlib.sha256(path.encode()).hexdigest()[:24]
+
+
+def _table(spark: SparkSession, path: str, schema: str, buckets: int) -> DataFrame:
+    """A bucketed table under path, known to the session by a name of its own."""
+    keys = ", ".join(_KEY)
+    spark.sql(f"create table if not exists {_name(path)} ({schema}) using parquet clustered by ({keys}) sorted by ({keys}) into {buckets} buckets location '{path}'")
+    return spark.table(_name(path))
+
+
+def _write(df: DataFrame, path: str, buckets: int = 0) -> None:
+    """A table of a snapshot."""
+    if buckets:
+        df.write.bucketBy(buckets, *_KEY).sortBy(*_KEY).option("path", path).saveAsTable(_name(path))
+    else:
+        df.write.parquet(path)
+
+
+def _snapshot(spark: SparkSession, path: str) -> str | None:
+    """The folder of the index under path: what the last entry of its log names."""
+    try:
+        last = spark.read.schema("version long, snapshot string").parquet(f"{path}/log").orderBy(F.col("version").desc(), F.col("snapshot").desc()).first()
+    except AnalysisException:
+        return None
+    return f"{path}/{last.snapshot}" if last else None
+
+
+def _append(spark: SparkSession, path: str, snapshot: str) -> None:
+    """The entry that makes a snapshot the index: one row, one file, which Spark's commit lets be seen whole or not at all."""
+    try:
+        last = spark.read.schema("version long, snapshot string").parquet(f"{path}/log").agg(F.max("version")).first()[0] or 0
+    except AnalysisException:
+        last = 0
+    spark.range(1).coalesce(1).select(F.lit(last + 1).cast("long").alias("version"), F.lit(snapshot).alias("snapshot")).write.mode("append").parquet(f"{path}/log")
 
 
 def save(index: Index, path: str) -> Index:
-    """The index, written under path and read from there; postings partitioned by field and sorted by term inside files, so a term's lookup reads few row groups.
+    """The index, written as a new snapshot under path and read from there. Two passages of one position, as two documents of one id give, are an error.
 
-    Frequencies and statistics are made from the written postings. No timestamps: rebuilding gives equal tables.
+    Postings are written once; bounds and statistics are made from what was written. No timestamps: rebuilding gives equal tables.
     """
-    spark = index.postings.sparkSession
-    write = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}")
-    index.postings.repartitionByRange("field", "term", "pos").sortWithinPartitions("field", "term", "pos").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
-    write(index.meta, "meta")
-    write(index.texts, "texts")
-    rows, meta = spark.read.schema(_POSTINGS).parquet(f"{path}/postings"), spark.read.parquet(f"{path}/meta")
-    write(frequencies(rows), "terms")
-    write(statistics(rows, meta), "stats")
-    write(spark.range(1).select(F.lit(index.stemmed).alias("stemmed")), "manifest")
+    spark = index.packed.sparkSession
+    if twice := index.meta.groupBy("pos").count().where("count > 1").first():
+        raise ValueError(f"position {twice.pos} occurs {twice['count']} times: ids of documents must differ")
+    snapshot, buckets = f"snapshot-{uuid.uuid4().hex}", _buckets(spark)
+    at = lambda name: f"{path}/{snapshot}/{name}"
+    _write(index.packed.repartition(buckets, *_KEY), at("postings"), buckets)
+    rows = _table(spark, at("postings"), _PACKED, buckets)
+    counted = rows.groupBy("field", "term").agg(F.sum("n").cast("long").alias("df"), (F.max("part") + 1).alias("parts"))
+    _write(counted, at("terms"))
+    _write(statistics(rows, index.meta), at("stats"))
+    _write(bounds(rows, spark.read.parquet(at("stats"))), at("bounds"), buckets)
+    _write(index.meta, at("meta"))
+    _write(index.texts, at("texts"))
+    tables = {"postings": rows, "bounds": _table(spark, at("bounds"), _BOUNDS, buckets)} | {name: spark.read.parquet(at(name)) for name in ("terms", "stats", "meta", "texts")}
+    parts = [digest(df).select(F.lit(name).alias("name"), "rows", "digest", F.lit(index.stemmed).alias("stemmed"), F.lit(buckets).alias("buckets")) for name, df in tables.items()]
+    _write(reduce(DataFrame.unionByName, parts).coalesce(1), at("manifest"))
+    _append(spark, path, snapshot)
     return load(spark, path)
 
 
-_POSTINGS = "term string, pos long, tf long, len int, tipo string, field string"
-
-
 def load(spark: SparkSession, path: str) -> Index:
     """An index as saved; whether it is stemmed is the index's own property, never an option of a search."""
-    read = lambda name: spark.read.parquet(f"{path}/{name}")
-    rows = spark.read.schema(_POSTINGS).parquet(f"{path}/postings").select("field", "term", "pos", "tf", "len", "tipo")
-    return Index(rows, read("terms"), read("stats"), read("meta"), read("texts"), bool(read("manifest").first().stemmed))
+    at = _snapshot(spark, path)
+    if at is None:
+        raise ValueError(f"no index under {path}")
+    read = lambda name: spark.read.parquet(f"{at}/{name}")
+    manifest = {r.name: r for r in read("manifest").collect()}  # a row for each table
+    one = manifest["postings"]
+    return Index(_table(spark, f"{at}/postings", _PACKED, one.buckets), _table(spark, f"{at}/bounds", _BOUNDS, one.buckets), read("terms"), read("stats"), read("meta"), read("texts"), one.stemmed, {k: r.digest for k, r in manifest.items()})
 
 
 def missing(spark: SparkSession, path: str) -> list[str]:
     """Tables that a saved index under path lacks."""
-    out = []
+    at, out = _snapshot(spark, path), []
     for name in TABLES:
         try:
-            spark.read.parquet(f"{path}/{name}") if name != "postings" else spark.read.schema(_POSTINGS).parquet(f"{path}/{name}")
+            spark.read.parquet(f"{at or path}/{name}")
         except AnalysisException:
             out.append(name)
     return out
@@ -109,19 +234,27 @@ def missing(spark: SparkSession, path: str) -> list[str]:
 
 def load_if_there(spark: SparkSession, path: str) -> Index | None:
     """The index under path; None where there is none, or no whole one."""
-    return None if missing(spark, path) else load(spark, path)
+    return None if _snapshot(spark, path) is None or missing(spark, path) else load(spark, path)
 
 
 def sizes(spark: SparkSession, path: str) -> DataFrame:
     """name, files, bytes of the saved index's tables, by their names."""
-    one = lambda name: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{path}/{name}").select(F.lit(name).alias("name"), "length")
+    at = _snapshot(spark, path)
+    one = lambda name: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{at}/{name}").select(F.lit(name).alias("name"), "length")
     return reduce(DataFrame.unionByName, map(one, TABLES)).groupBy("name").agg(F.count("*").alias("files"), F.sum("length").alias("bytes")).orderBy("name")
 
 
+def altered(spark: SparkSession, path: str) -> list[str]:
+    """Tables of the saved index whose rows are not those of its manifest."""
+    index = load(spark, path)
+    now = digests(Index(index.packed, index.bounds, index.terms, index.stats, index.meta, index.texts, index.stemmed))
+    return [name for name, value in now.items() if value != index.saved[name]]
+
+
 def publish(spark: SparkSession, path: str, target: str) -> Index:
     """A copy of the saved index under target, if it is whole and consistent; else an error, and target stays as it is.
 
-    Consistent: index and texts have the same positions, no id or position occurs twice.
+    Consistent: its tables are those of its manifest, index and texts have the same positions, no id or position occurs twice.
     """
     if lost := missing(spark, path):
         raise ValueError(f"the index under {path} lacks {', '.join(lost)}")
@@ -130,4 +263,6 @@ def publish(spark: SparkSession, path: str, target: str) -> Index:
     twice = index.meta.groupBy("id").count().where("count > 1").union(index.meta.groupBy("pos").count().where("count > 1").withColumn("pos", F.col("pos").cast("string"))).limit(1).count()
     if both.odd or twice:
         raise ValueError(f"the index under {path}: {both.odd} positions lack passage or text; ids or positions that occur twice: {'some' if twice else 'none'}")
+    if changed := altered(spark, path):
+        raise ValueError(f"the index under {path} has been altered: {', '.join(changed)}")
     return save(index, target)

@@ -1,4 +1,11 @@
-"""Batched search: two-field BM25 with corrections, explicit references first, top results by question."""
+"""Batched search: two-field BM25 with corrections, explicit references first, top results by question.
+
+Postings are not all read.  The bounds of the blocks (index.py) that have a question's terms add up to the most that any passage of a block
+can score.  The PROBE blocks of the highest sums are scored, and the score of the last place there is a threshold: of the other
+blocks only those whose sum reaches it are read.  A tie at the threshold is read too, so results are those of all postings.
+
+Contributions are added as whole numbers of 2 ** -SCALE, so a score does not depend on the order or the partitions in which they meet.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions.question import expand, reference
 from ..functions.text import tokens
-from .index import Index
+from .checkpoints import cut
+from .index import K1, Index, average_of, weight_of
 
-K1, B = 1.2, 0.75
+#: Bits of a contribution after the point; blocks that are scored for a threshold.
+SCALE, PROBE = 40, 24
 #: Terms of all questions together, and references, beyond this many are joined by shuffle instead of broadcast.
 BROADCAST_TERMS = 500_000
 
@@ -55,39 +64,81 @@ def _option(terms: DataFrame, config: SearchConfig | None, name: str) -> Column:
     return F.col(name) if config is None else F.lit(getattr(config, name))
 
 
-def contributions(terms: DataFrame, index: Index, config: SearchConfig | None, few: bool, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
-    """keys, pos, field, ord, recital, contrib of every posting of every question's terms.
+def weighted(terms: DataFrame, index: Index, config: SearchConfig | None, few: bool, keys: tuple[str, ...] = ("qid",), fields: tuple[str, ...] = ()) -> DataFrame:
+    """keys, field, part, ord, term, average, weight, floor, recital_weight, coverage: every question's terms with what they are worth; fields: only these.
 
-    The terms meet their document frequencies first, then the postings.  config None: terms carry the options of their own
-    configuration as columns (see configured()).
+    config None: terms carry the options of their own configuration as columns (see configured()).
     """
     body = F.col("field") == "body"
-    weighted = _small(terms, few).join(index.terms, "term").crossJoin(F.broadcast(index.stats))  # one row
-    average = F.when(body, F.col("avg_body")).otherwise(F.col("avg_rub"))
-    weighted = weighted.withColumn("average", F.coalesce(F.nullif(average, F.lit(0.0)), F.lit(1.0)))
+    rows = _small(terms, few).join(index.terms.where(F.col("field").isin(*fields)) if fields else index.terms, "term").crossJoin(F.broadcast(index.stats))  # one row
     weight = F.when(body, 1.0).otherwise(_option(terms, config, "heading_weight")) * idf(F.col("n"), F.col("df")) * (K1 + 1)
     floor = F.when(body, _option(terms, config, "minimum_length")).otherwise(0)
-    own = ("recital_weight", "coverage") if config is None else ()
-    weighted = weighted.select(*keys, "field", "ord", "term", "average", weight.alias("weight"), floor.alias("floor"), *own)
-    hit = index.postings
-    if few:  # what is found is dealt by passage before the terms multiply it, so that scores are summed where they are made
-        hit = hit.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").repartition("pos")
-    rows = hit.join(_small(weighted, few), ["field", "term"])
-    norm = (1 - B) + B * F.greatest("len", "floor") / F.col("average")
-    score = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * norm)
-    return rows.select(*keys, "pos", "field", "ord", (F.col("tipo") == "considerando").alias("recital"), *own, score.alias("contrib"))
-
-
-def scored(contrib: DataFrame, terms: DataFrame, config: SearchConfig | None, keys: tuple[str, ...] = ("qid",), few: bool = False) -> DataFrame:
-    """keys, pos, score, first: one row for each candidate; first decides ties (field, then term of the question)."""
-    first = F.min(F.when(F.col("field") == "body", 0).otherwise(1000) + F.col("ord"))
-    own = [F.max(c).alias(c) for c in ("recital_weight", "coverage")] if config is None else []
-    out = contrib.groupBy(*keys, "pos").agg(F.sum("contrib").alias("score"), F.count_if(F.col("field") == "body").alias("found"), first.alias("first"), F.max("recital").alias("recital"), *own)
-    if config is None or config.coverage > 0:
+    parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    options = (_option(terms, config, c).cast("double").alias(c) for c in ("recital_weight", "coverage"))
+    return rows.select(*keys, "field", parts.alias("part"), "ord", "term", average_of(F.col("field")).alias("average"), weight.alias("weight"), floor.alias("floor"), *options)
+
+
+def _met(table: DataFrame, asked: DataFrame, few: bool) -> DataFrame:
+    """Rows of a bucketed table of the index with the terms that ask for them. Many terms are exchanged, the table is not."""
+    key = ["field", "term", "part"]
+    if few:  # what is found is dealt by block before the terms multiply it, so that sums are made where their parts are
+        ways = max(1, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # named, since few bytes become many rows
+        table = table.join(F.broadcast(asked.select(*key).distinct()), key, "left_semi").repartition(ways, "block")
+    return table.join(_small(asked, few), key)
+
+
+def upper(asked: DataFrame, index: Index, few: bool, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """keys, block, most, n: the most that a passage of a block can score for a question, and how many postings its terms have there."""
+    bound = F.least(F.col("top"), weight_of(F.col("most"), F.greatest("least", "floor"), F.col("average")))
+    of_type = F.when(F.col("recitals") == F.col("n"), F.col("recital_weight")).when(F.col("recitals") > 0, F.greatest("recital_weight", F.lit(1.0))).otherwise(1.0)
+    return _met(index.bounds, asked, few).groupBy(*keys, "block").agg(F.sum(F.greatest(F.col("weight") * bound * of_type, F.lit(0.0))).alias("most"), F.sum("n").alias("n"))
+
+
+def exact(asked: DataFrame, index: Index, blocks: DataFrame | None, terms: DataFrame, few: bool, keys: tuple[str, ...] = ("qid",), covered: bool = False) -> DataFrame:
+    """keys, pos, score, first: one row for each candidate in blocks(keys, block), or in all; first decides ties (field, then term of the question)."""
+    hit = _met(index.packed, asked, few)
+    if blocks is not None:
+        hit = hit.join(_small(blocks, few_rows(blocks)), [*keys, "block"], "left_semi")
+    rows = hit.select(*keys, "block", "field", "ord", "average", "weight", "floor", "recital_weight", "coverage", F.inline("entries"))
+    worth = F.col("weight") * weight_of(F.col("tf"), F.greatest("len", "floor"), F.col("average"))
+    body = F.col("field") == "body"
+    first = F.min(F.when(body, 0).otherwise(1000) + F.col("ord"))
+    total = F.sum(F.round(worth * float(1 << SCALE)).cast("long")) / float(1 << SCALE)
+    out = rows.groupBy(*keys, "block", "pos").agg(total.alias("score"), F.count_if(body).alias("found"), first.alias("first"), *(F.max(c).alias(c) for c in ("recital", "recital_weight", "coverage")))
+    if covered:
         distinct = terms.groupBy(*keys).agg(F.count("*").alias("asked"))
-        out = out.join(_small(distinct, few), list(keys)).withColumn("score", F.col("score") * F.pow(F.col("found") / F.greatest("asked", F.lit(1)), _option(terms, config, "coverage")))
-    less = F.col("score") * _option(terms, config, "recital_weight")
-    return out.withColumn("score", F.when(F.col("recital"), less).otherwise(F.col("score"))).select(*keys, "pos", "score", "first")
+        out = out.join(_small(distinct, few), list(keys)).withColumn("score", F.col("score") * F.pow(F.col("found") / F.greatest("asked", F.lit(1)), F.col("coverage")))
+    return out.select(*keys, "pos", F.when(F.col("recital"), F.col("score") * F.col("recital_weight")).otherwise(F.col("score")).alias("score"), "first")
+
+
+def promising(asked: DataFrame, index: Index, limit: int, terms: DataFrame, few: bool, keys: tuple[str, ...] = ("qid",), covered: bool = False) -> DataFrame:
+    """keys, block, most, n, least: the blocks that can hold one of the first limit results, and the score that one has at least."""
+    blocks = cut(upper(asked, index, few, keys))
+    by = Window.partitionBy(*keys).orderBy(F.col("most").desc(), "block")
+    probed = cut(blocks.withColumn("k", F.row_number().over(by)).where(F.col("k") <= PROBE).select(*keys, "block"))
+    last = Window.partitionBy(*keys).orderBy(F.col("score").desc())
+    least = exact(asked, index, probed, terms, few, keys, covered).withColumn("k", F.row_number().over(last)).where(F.col("k") == limit).select(*keys, F.col("score").alias("least"))
+    # sums of doubles: room for their rounding, and for that of whole contributions
+    return blocks.join(_small(least, few), list(keys), "left").where(F.col("least").isNull() | (F.col("most") * (1 + 1e-9) + 1e-6 >= F.col("least")))
+
+
+def scores(terms: DataFrame, index: Index, config: SearchConfig | None, limit: int, keys: tuple[str, ...] = ("qid",), few: bool = False, fields: tuple[str, ...] = ()) -> DataFrame:
+    """keys, pos, score, first: candidates, the first limit of each question among them."""
+    asked = cut(weighted(terms, index, config, few, keys, fields))
+    covered = config is None or config.coverage != 0
+    bounded = config is None or (config.coverage >= 0 and config.heading_weight >= 0)  # else a part may outweigh the whole
+    blocks = cut(promising(asked, index, limit, terms, few, keys, covered).select(*keys, "block")) if bounded else None
+    return exact(asked, index, blocks, terms, few, keys, covered)
+
+
+def reading(questions: DataFrame, index: Index, config: SearchConfig = DEFAULTS) -> DataFrame:
+    """qid, postings, blocks, postings_read, blocks_read: what a search of questions(qid, d) reads of what its terms have."""
+    terms = question_terms(questions, index.stemmed, config.synonyms)
+    few = few_rows(terms)
+    asked = weighted(terms, index, config, few)
+    all_ = upper(asked, index, few).groupBy("qid").agg(F.sum("n").alias("postings"), F.count("*").alias("blocks"))
+    read = promising(asked, index, config.limit, terms, few, covered=config.coverage != 0).groupBy("qid").agg(F.sum("n").alias("postings_read"), F.count("*").alias("blocks_read"))
+    return all_.join(read, "qid", "left")
 
 
 def configured(questions: DataFrame, stemmed: bool, configs: dict[str, SearchConfig]) -> DataFrame:
@@ -108,15 +159,15 @@ def exact_hits(questions: DataFrame, meta: DataFrame) -> DataFrame:
     return meta.select("tipo", "n", "par", "pos").join(asked, ["tipo", "n"]).where("wanted is null or par = wanted").select("qid", "pos")
 
 
-def ranked(exact: DataFrame | None, scores: DataFrame, limit: int, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
+def ranked(named: DataFrame | None, found: DataFrame, limit: int, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
     """keys, rank, pos, punteggio, esatto: exact hits in corpus order, then by score; both count towards the limit.
 
     The rank is a window with a limit, which Spark applies before and after its shuffle.
     """
-    rows = scores.select(*keys, "pos", "score", "first", F.lit(False).alias("esatto"))
-    if exact is not None:
-        rows = rows.join(exact, [*keys, "pos"], "left_anti").unionByName(exact.select(*keys, "pos", F.lit(float("inf")).alias("score"), F.lit(0).alias("first"), F.lit(True).alias("esatto")))
-    by = Window.partitionBy(*keys).orderBy(F.col("esatto").desc(), F.when(F.col("esatto"), 0.0).otherwise(F.round("score", 9)).desc(), "first", "pos")
+    rows = found.select(*keys, "pos", "score", "first", F.lit(False).alias("esatto"))
+    if named is not None:
+        rows = rows.join(named, [*keys, "pos"], "left_anti").unionByName(named.select(*keys, "pos", F.lit(float("inf")).alias("score"), F.lit(0).alias("first"), F.lit(True).alias("esatto")))
+    by = Window.partitionBy(*keys).orderBy(F.col("esatto").desc(), F.when(F.col("esatto"), 0.0).otherwise(F.col("score")).desc(), "first", "pos")
     return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit).select(*keys, "rank", "pos", F.when(F.col("esatto"), F.col("score")).otherwise(F.round("score", 6)).alias("punteggio"), "esatto")
 
 
@@ -125,22 +176,22 @@ def search(questions: DataFrame, index: Index, config: SearchConfig = DEFAULTS)
 
     Text is not joined here; late_text adds it to the few rows that are left.
     """
-    terms = question_terms(questions, index.stemmed, config.synonyms)
+    terms = cut(question_terms(questions, index.stemmed, config.synonyms))
     few = few_rows(terms)
-    scores = scored(contributions(terms, index, config, few), terms, config, few=few)
-    top = ranked(exact_hits(_small(questions, few), index.meta), scores, config.limit)
+    found = scores(terms, index, config, config.limit, few=few)
+    top = ranked(exact_hits(_small(questions, few), index.meta), found, config.limit)
     words = terms.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("ord", "term"))).alias("t")).select("qid", F.col("t.term").alias("termini"))
     return top.join(index.meta, "pos").join(words, "qid", "left").select("qid", "rank", "pos", "id", "tipo", "n", "par", "citazione", "rubrica", "capo", "termine", "punteggio", "esatto", F.coalesce("termini", F.array().cast("array<string>")).alias("termini"))
 
 
 def search_each(questions: DataFrame, index: Index, configs: dict[str, SearchConfig], limit: int) -> DataFrame:
     """config, qid, rank, pos, punteggio, esatto of questions under all configurations in one job: the configuration is part of the key."""
-    terms = configured(questions, index.stemmed, configs)
+    terms = cut(configured(questions, index.stemmed, configs))
     few, keys = few_rows(terms), ("config", "qid")
-    scores = scored(contributions(terms, index, None, few, keys), terms, None, keys, few)
+    found = scores(terms, index, None, limit, keys, few)
     names = F.explode(F.array(*(F.lit(x) for x in configs)))
-    exact = exact_hits(_small(questions, few), index.meta).select(names.alias("config"), "qid", "pos")
-    return ranked(exact, scores, limit, keys)
+    named = exact_hits(_small(questions, few), index.meta).select(names.alias("config"), "qid", "pos")
+    return ranked(named, found, limit, keys)
 
 
 def interactive(questions: DataFrame, index: Index, config: SearchConfig = DEFAULTS) -> DataFrame:

@@ -142,7 +142,7 @@ def term_frequency(spark, sf_dir):
 
 @query(O.sql(O.PASSAGES, O.POSTINGS, select="select field, term, count(*) df from postings group by field, term"))
 def document_frequency(spark, sf_dir):
-    return _index(spark, sf_dir).terms
+    return _index(spark, sf_dir).terms.select("field", "term", "df")
 
 
 @query(O.sql(O.PASSAGES, O.POSTINGS, select="select pos, len_body, len_rub from lens"))
@@ -175,11 +175,10 @@ def idf(spark, sf_dir):
 
 def _bm25(spark, sf_dir, body_only=False, **options):
     index, config = _index(spark, sf_dir), replace(search.DEFAULTS, limit=10, **options)
-    terms = search.question_terms(_questions(spark, sf_dir), index.stemmed, config.synonyms)
+    terms = store.cut(search.question_terms(_questions(spark, sf_dir), index.stemmed, config.synonyms))
     few = search.few_rows(terms)
-    rows = search.contributions(terms, index, config, few)
-    rows = rows.where("field = 'body'") if body_only else rows
-    return search.ranked(None, search.scored(rows, terms, config, few=few), config.limit).select("qid", "rank", "pos", "punteggio")
+    found = search.scores(terms, index, config, config.limit, few=few, fields=("body",) if body_only else ())
+    return search.ranked(None, found, config.limit).select("qid", "rank", "pos", "punteggio")
 
 
 _PLAIN = "select qid, rank, pos, punteggio from top"
@@ -334,6 +333,22 @@ def saved_index(spark, sf_dir):
     return out
 
 
+@query(O.sql(O.PASSAGES, O.POSTINGS, select="select *, true rebuilt, name not in ('meta', 'postings', 'terms') unchanged from (select 'terms' name, count(*) rows from (select distinct field, term from postings) union all select 'meta', count(*) from passages union all select 'texts', count(*) from passages union all select 'postings', count(*) from (select distinct field, term, pos >> 5 from postings))"))
+def index_digest(spark, sf_dir):
+    """Digests of the saved index's tables: whether those of an index built anew from shuffled documents equal them, and, one passage's heading being changed, which stay."""
+    saved = _index(spark, sf_dir)
+    again = P.from_documents(_documents(spark, sf_dir).repartition(7, "source", "doc_id"))
+    least = again.agg(F.min("pos")).first()[0]
+    other = again.withColumn("rubrica", F.when(F.col("pos") == least, F.lit("lexgrovius")).otherwise(F.col("rubrica")))
+    out = None
+    rebuilt, changed = I.build(again), I.build(other)
+    for name, table in (("terms", "terms"), ("meta", "meta"), ("texts", "texts"), ("postings", "packed")):
+        two = [I.digest(getattr(x, table)).first().digest for x in (rebuilt, changed)]
+        one = getattr(saved, table).agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows", *(F.lit(saved.saved[name] == d).alias(c) for d, c in zip(two, ("rebuilt", "unchanged"), strict=True)))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(O.sql(O.PASSAGES, O.QRELS, select="select qid, id from qrels"))
 def qrels(spark, sf_dir):
     return _qrels(spark, sf_dir)

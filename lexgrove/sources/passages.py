@@ -22,8 +22,14 @@ SHORTEST = 12
 
 
 def place(tipo: Column, n: Column, par: Column) -> Column:
-    """Corpus order as one number: recitals first, then by document and paragraph. It needs no global sort."""
-    return F.when(tipo == "considerando", F.lit(0)).otherwise(F.lit(1 << 60)).cast("long") + n * F.lit(1 << 20) + F.coalesce(par, F.lit(0))
+    """Corpus order as one number: recitals first, then by document and paragraph. It needs no global sort.
+
+    39 bits of document, 20 of paragraph; a number beyond that is an error, not a clash.
+    """
+    n, at = n.cast("long"), F.coalesce(par, F.lit(0))
+    fits = n.between(0, (1 << 39) - 1) & at.between(0, (1 << 20) - 1)
+    pos = F.when(tipo == "considerando", F.lit(0)).otherwise(F.lit(1 << 60)).cast("long") + n * F.lit(1 << 20) + at
+    return F.when(fits, pos).otherwise(F.raise_error(F.concat_ws(" ", F.lit("no place for document"), n.cast("string"), F.lit("paragraph"), at.cast("string"))).cast("long"))
 
 
 def place_on_page(page: Column, tipo: Column, n: Column, par: Column, definition: bool = False) -> Column:
@@ -53,8 +59,8 @@ def type_of(source: Column) -> Column:
 
 
 def from_documents(docs: DataFrame) -> DataFrame:
-    """Each document is an article or recital. An article's first line is its heading, each further line a paragraph; all lines of a recital are paragraphs, the first without a number; one line alone is a passage without a number."""
-    rows = docs.select(F.col("doc_id").alias("n"), type_of(F.col("source")).alias("tipo"), F.split("text", "\n").alias("lines"))
+    """Each document is an article or recital. An article's first line is its heading, each further line a paragraph; all lines of a recital are paragraphs, the first without a number; one line alone is a passage without a number. A document without an id cannot be cited and is left out."""
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("n"), type_of(F.col("source")).alias("tipo"), F.split("text", "\n").alias("lines"))
     one, recital = F.size("lines") == 1, F.col("tipo") == "considerando"
     rows = rows.select("n", "tipo", F.when(one | recital, "").otherwise(F.element_at("lines", 1)).alias("rubrica"), one.alias("one"), F.posexplode("lines").alias("ord", "testo"))
     rows = rows.where((F.col("one") | recital | (F.col("ord") > 0)) & (F.length("testo") >= SHORTEST)).withColumn("par", F.when(~F.col("one"), F.col("ord")))

@@ -108,7 +108,7 @@ def test_search(spark, corpus, saved, tmp_path):
 def test_publish_refuses(spark, corpus, tmp_path):
     path, passages = str(tmp_path / "ix"), corpus
     index.save(index.build(passages), path)
-    passages.select("pos", "testo").limit(2).write.mode("overwrite").parquet(f"{path}/texts")
+    passages.select("pos", "testo").limit(2).write.mode("overwrite").parquet(f"{index._snapshot(spark, path)}/texts")
     with pytest.raises(ValueError, match="lack passage or text"):
         index.publish(spark, path, str(tmp_path / "out"))
     index.save(index.build(passages.withColumn("id", F.lit("a1"))), path)
