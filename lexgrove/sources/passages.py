@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lexicon import DEFINITION, DEFINITIONS
-from ..functions.text import clean
+from ..functions.text import clean, tidy
+from . import html
 
 SCHEMA = T.StructType(
     [T.StructField("pos", T.LongType()), T.StructField("id", T.StringType()), T.StructField("tipo", T.StringType()), T.StructField("n", T.LongType()), T.StructField("par", T.IntegerType()), T.StructField("citazione", T.StringType()), T.StructField("rubrica", T.StringType()), T.StructField("termine", T.StringType()), T.StructField("capo", T.StringType()), T.StructField("testo", T.StringType())]
@@ -82,25 +83,10 @@ def write_json(passages: DataFrame, path: str) -> None:
 
 def from_pages(pages: DataFrame) -> DataFrame:
     """page_id, ord, heading, testo of pages(page_id, html) with plain markup: h1 and p outside navigation, footers, advertisements, scripts and styles."""
-    html = F.col("html")
-    for tag in ("script", "style", "nav", "footer"):
-        html = F.regexp_replace(html, rf"(?is)<{tag}[ >].*?</{tag}>", " ")
-    html = F.regexp_replace(html, r'(?is)<div class="ad">.*?</div>', " ")
-    html = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    bare = lambda x: unescape(F.regexp_replace(x, "<[^>]*>", " "))
-    rows = pages.select("page_id", bare(F.regexp_extract(html, r"(?is)<h1>(.*?)</h1>", 1)).alias("h"), F.split(html, "(?i)<p>").alias("parts"))
-    rows = rows.select("page_id", "h", F.posexplode("parts").alias("ord", "part")).where("ord > 0")
-    rows = rows.select("page_id", "h", "ord", bare(F.element_at(F.split("part", "(?i)</p>|</article>|</body>"), 1)).alias("t"))
-    # an array's filter, since a predicate on the cleaned text would be pushed below it and clean every text twice
-    long = F.filter(F.array(clean(F.col("t"))), lambda x: F.length(x) >= SHORTEST)
-    return rows.select("page_id", "ord", clean(F.col("h")).alias("heading"), F.explode(long).alias("testo"))
-
-
-def unescape(x: Column) -> Column:
-    """The named character references of generated pages; the ampersand last."""
-    for name, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        x = F.replace(x, F.lit(name), F.lit(ch))
-    return x
+    rows = html.paragraphs(pages)  # composed, so that tidying is what is left of cleaning
+    # an array's filter, since a predicate on the tidied text would be pushed below it and tidy every text twice
+    long = F.filter(F.array(tidy(F.col("body"))), lambda x: F.length(x) >= SHORTEST)
+    return rows.select("page_id", "ord", tidy(F.col("heading")).alias("heading"), F.explode(long).alias("testo"))
 
 
 def split_definitions(df: DataFrame, text: str = "testo") -> DataFrame:
