@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.question import expand, reference
 from ..functions.text import tokens
 from .checkpoints import cut
+from .expansion import expanded
 from .index import K1, Index, average_of, weight_of
 
 #: Bits of a contribution after the point; blocks that are scored for a threshold.
@@ -171,12 +172,16 @@ def ranked(named: DataFrame | None, found: DataFrame, limit: int, keys: tuple[st
     return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit).select(*keys, "rank", "pos", F.when(F.col("esatto"), F.col("score")).otherwise(F.round("score", 6)).alias("punteggio"), "esatto")
 
 
-def search(questions: DataFrame, index: Index, config: SearchConfig = DEFAULTS) -> DataFrame:
+def search(questions: DataFrame, index: Index, config: SearchConfig = DEFAULTS, rules: DataFrame | None = None) -> DataFrame:
     """Results of questions(qid, d): qid, rank, the passage's metadata, punteggio (infinite for exact hits), esatto, termini.
 
-    Text is not joined here; late_text adds it to the few rows that are left.
+    rules: a table of synonym rules (see expansion.py) in place of the lexicon's. Text is not joined here; late_text adds it to the
+    few rows that are left.
     """
-    terms = cut(question_terms(questions, index.stemmed, config.synonyms))
+    if rules is None or not config.synonyms:
+        terms = cut(question_terms(questions, index.stemmed, config.synonyms))
+    else:
+        terms = cut(question_terms(expanded(questions, rules).withColumnRenamed("expanded", "d"), index.stemmed, False))
     few = few_rows(terms)
     found = scores(terms, index, config, config.limit, few=few)
     top = ranked(exact_hits(_small(questions, few), index.meta), found, config.limit)

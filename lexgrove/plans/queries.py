@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import question as Q
 from ..functions import text as X
-from ..operators import display, evaluate, search, store
+from ..operators import display, evaluate, expansion, search, store
 from ..operators import index as I
 from ..sources import passages as P
 from . import oracle as O
@@ -214,7 +214,8 @@ _ASKED = (O.ITALIAN_SQL, O.QUESTIONS.replace("questions as", "asked_ as"), O.SAI
 
 @query(O.sql(*_ASKED, select=f"select qid, {O.expand('d')} expanded from questions"))
 def expand_query(spark, sf_dir):
-    return _all_questions(spark, sf_dir).select("qid", Q.expand(F.col("d")).alias("expanded"))
+    """The lexicon's rules as a table, joined on words in a row."""
+    return expansion.expanded(_all_questions(spark, sf_dir), expansion.builtin(spark))
 
 
 @query(O.sql(*_ASKED, O.REFS, select="select qid::bigint qid, tipo, n, par from refs where tipo is not null"))

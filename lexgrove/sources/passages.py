@@ -69,11 +69,51 @@ def from_documents(docs: DataFrame) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
-    """Passages from JSON: lines as write_json writes them, each with its pos; or files that hold one array each, whose pos is the place in the array (each file is read by one task; a second file's places come after)."""
+    """Passages from JSON: lines as write_json writes them, each with its pos; or files that hold one array each, whose pos is the place in the array (a second file's places come after)."""
     if not array:
         return spark.read.schema(SCHEMA).json(path)
-    rows = spark.read.schema(T.StructType(SCHEMA.fields[1:])).json(path, multiLine=True)
-    return rows.select(F.monotonically_increasing_id().alias("pos"), *(f.name for f in SCHEMA.fields[1:]))
+    one = T.StructType(SCHEMA.fields[1:])
+    return array_elements(spark, path).select("pos", F.from_json("element", one, {"mode": "FAILFAST"}).alias("x")).select("pos", "x.*")
+
+
+def array_elements(spark: SparkSession, path: str) -> DataFrame:
+    """pos, element of files under path that hold one JSON array of objects each: the objects' text, each file read by as many tasks as it has splits.
+
+    The files are read in pieces that end at a closing brace.  Whether a piece begins inside a string follows from the quotes before it,
+    and how deep it lies from the braces outside strings; both are running sums inside a split, moved by the sums of the splits before (a
+    row for each split).  An object ends where the depth is zero again; its pieces are put together by its number.  What is
+    no object is left out; an array that never ends is an error; an empty file has no objects.
+    """
+    place = ("file", "block")
+    raw = spark.read.option("lineSep", "}").text(path)
+    pieces = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("piece"))
+    plain = F.regexp_replace("piece", r"(?s)\\.", "")
+    pieces = pieces.withColumn("plain", plain).withColumn("quotes", F.length("plain") - F.length(F.replace("plain", F.lit('"'), F.lit(""))))
+    inside = Window.partitionBy(*place).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # one split's pieces
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one file's splits
+
+    def running(rows: DataFrame, amount: str, name: str) -> DataFrame:
+        """rows with the sum of amount over all pieces of the file before this one."""
+        sums = rows.groupBy(*place).agg(F.sum(amount).alias("s")).select(*place, F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("s"))
+        own = rows.withColumn("r", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+        return own.join(sums, [*place]).withColumn(name, F.col("r") + F.col("s")).drop("r", "s")
+
+    pieces = running(pieces, "quotes", "quoted")
+    opened = F.pmod("quoted", F.lit(2)) == 1
+    bare = F.regexp_replace(F.concat(F.when(opened, '"').otherwise(""), F.col("plain")), r'"[^"]*(?:"|$)', "")
+    closes = F.when(F.pmod(F.col("quoted") + F.col("quotes"), F.lit(2)) == 0, 1).otherwise(0)
+    pieces = pieces.withColumn("closes", closes).withColumn("step", F.length(bare) - F.length(F.replace(bare, F.lit("{"), F.lit(""))) - F.col("closes")).drop("plain", "quotes", "quoted")
+    pieces = running(pieces, "step", "depth")
+    pieces = pieces.withColumn("ends", F.when((F.col("closes") == 1) & (F.col("depth") + F.col("step") == 0), 1).otherwise(0))
+    pieces = running(pieces, "ends", "number")
+    files = pieces.groupBy("file").agg(F.sum("ends").alias("n")).select("file", "n", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))  # a row for each file
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "piece"))), lambda x: x["piece"]), "}")
+    whole = pieces.groupBy("file", "number").agg(text.alias("text"), F.max("ends").alias("ends")).join(files, "file")
+    # what follows the last object ends the array; else a brace that is not there would be taken for read
+    over = whole.where("ends = 0").select("file", F.col("text").rlike(r"\]\s*$").alias("over"))
+    whole = whole.join(over, "file", "left").withColumn("over", F.coalesce("over", F.lit(False))).where("ends = 1 or not over")
+    element = F.when(F.col("over"), F.concat(F.regexp_replace("text", r"^[^{]*", ""), F.lit("}"))).otherwise(F.raise_error(F.concat(F.lit("no end of the array in "), F.col("file"))).cast("string"))
+    return whole.select((F.col("first") + F.col("number")).cast("long").alias("pos"), element.alias("element"))
 
 
 def write_json(passages: DataFrame, path: str) -> None:
