@@ -21,6 +21,8 @@ def test_rules_as_a_table_equal_the_chain(spark):
     asked = spark.createDataFrame(list(enumerate(ASKED)), "qid long, d string")
     want = {r.qid: r.x for r in asked.select("qid", Q.expand(F.col("d")).alias("x")).collect()}
     assert {r.qid: r.expanded for r in expansion.expanded(asked, expansion.builtin(spark)).collect()} == want
+    twice = spark.createDataFrame([(1, "dpo"), (1, "usa"), (1, "usa"), (2, None)], "qid long, d string")
+    assert sorted(r.expanded for r in expansion.expanded(twice, expansion.builtin(spark)).collect()) == ["", "dpo responsabile della protezione dei dati", "usa trasferimento paese terzo", "usa trasferimento paese terzo"]
     none = expansion.builtin(spark).limit(0)
     assert {r.expanded for r in expansion.expanded(asked.where("qid = 0"), none).collect()} == {"data breach presso il garante"}
     assert expansion.expanded(asked.limit(0), expansion.builtin(spark)).count() == 0
