@@ -9,7 +9,8 @@ categories the first in order.
 A capture has one candidate key for each suffix of its host and each prefix of its path that is as deep as some key of the
 list, so the join is an equi-join on the key with a range check.  The verdict belongs to (url, fetched), whatever page_ids say: matches
 are aggregated and joined back by these two.  The list is broadcast if it is counted to hold up to BROADCAST rows; a larger one
-is joined by shuffle.
+is joined by shuffle, each (url, fetched) once: keys that very many captures have, as "com", are dropped before it if the list has
+none of them, and else cut into parts.
 
 Defined results: a null or unparsable URL has a null host and is not blocked; a null fetch date is not blocked; hosts are
 lower-cased, a port, user (up to the last @) and trailing dots are left out; an IPv6 host keeps its brackets, and an IP address has
@@ -23,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, hot_in, spread
+
 BROADCAST = 100_000
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*://"
 #: Host of a URL: after the scheme and an optional user, up to a port, path, query or fragment; in brackets as a whole.
@@ -50,10 +53,18 @@ def filtered(pages: DataFrame, entries: DataFrame) -> DataFrame:
     labels, steps = F.split("host", r"\."), F.filter(F.split(F.regexp_extract("url", PATH, 1), "/"), lambda s: s != "")
     suffixes = F.when(F.col("host").rlike(ADDRESS), F.array("host")).otherwise(F.transform(F.sequence(F.lit(1), F.size("labels")), lambda k: F.array_join(F.slice("labels", k, F.size("labels")), ".")))
     paths = F.expr(f"transform(slice(steps, 1, {depth.d - 1}), (s, k) -> concat(host, '/', lower(array_join(slice(steps, 1, k + 1), '/'))))")
-    keyed = judged.withColumn("labels", labels).withColumn("steps", steps).select("url", "fetched", F.explode(F.concat(suffixes, paths)).alias("key"))
-    if depth.n <= BROADCAST:
-        spans = F.broadcast(spans)
-    hits = keyed.join(spans, "key").where((F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
+    few = depth.n <= BROADCAST
+    keyed = (judged if few else judged.dropDuplicates(["url", "fetched"])).withColumn("labels", labels).withColumn("steps", steps).select("url", "fetched", F.explode(F.concat(suffixes, paths)).alias("key"))
+    if few:
+        met = keyed.join(F.broadcast(spans), "key")
+    else:
+        hot = hot_in(keyed, ["key"])
+        if hot is not None:  # at most HOT_KEYS rows
+            hot = cut(hot.join(spans.select("key", F.lit(True).alias("listed")).distinct(), "key", "left"))
+            keyed = keyed.join(F.broadcast(hot.where("listed is null").select("key")), "key", "left_anti")
+            hot = hot.where("listed").select("key", "parts")
+        met = spread(keyed, spans, ["key"], hot)
+    hits = met.where((F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
     best = hits.groupBy("url", "fetched").agg(F.min(F.struct((-F.length("key")).alias("short"), "key", "category")).alias("b"))
     best = best.select("url", "fetched", F.col("b.category").alias("category"), F.col("b.key").alias("matched"))
     none = F.lit(None).cast("string")
