@@ -16,7 +16,7 @@ Each text is matched once: entities are marked in it by a control character (tho
 in the checkpoint folder, and all else works on their parts.  Patterns that need an @ or a digit are left out for texts without one.  Nothing else
 of a text changes.  Quantifiers are bounded or possessive: time is linear in the text.
 
-Limits: a telephone number with and without its country code, or with the code run into the number, is two entities; names without a title
+Limits: a telephone number with and without its country code is two entities; names without a title
 anywhere in the text are not found.  The plan holds digests of the key by kind, not the key; whoever has them can invert surrogates, so event logs are
 as secret as the key.
 
@@ -36,6 +36,19 @@ from .common import cut
 
 #: Titles before names.
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Señorita", "Monsieur", "Madame", "Mademoiselle", "Signor", "Signora", "Господин", "Госпожа")
+#: Words that begin a sentence or go on with it, which the third word of a name is not. Frequent surnames are left out.
+ORDINARY = tuple(
+    """
+A After Also Although And As At Because Before Both But By Did Do Does During For From Had Has He Her Here His How However I If In It Its
+Just Nevertheless Not Now Of On Once One Or Our She Since Some Soon Still Such That The Their Then There These They This Those Though Through
+Thus To Today Tomorrow Until We Were What When Where Which While Who Why With Yesterday Yet You Your
+Aber Als Am Auch Bei Bis Da Dann Das Dass Denn Der Die Doch Ein Eine Er Es Heute Ihr Im Ist Jetzt Mit Nach Nun Sie Und Wann Warum Was Weil Wenn Wer Wie Wir Wo
+Ahora Aunque Cuando Después Él Ella Ellos Entonces Eso Esta Este Hoy Los Las Luego Mientras Pero Por Porque Qué Si Sin También
+Alors Après Aussi Avec Avant Car Ce Ces Cette Dans Donc Elle Elles En Est Et Ils Je Les Mais Nous Où Puis Quand Que Qui Sans Une Vous
+Allora Anche Che Dopo Ecco Gli Non Oggi Poi Perché Più Quando Quindi Se Sono
+А Без Был Была Вот Вы Где Для Если И Как Когда Мы Но Он Она Они Потом Потому После Сегодня Тогда Что Это
+""".split()
+)
 _LOCAL = r"[\p{L}\p{N}._%+\-]"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"\p{Lu}\p{Ll}{1,30}+"
@@ -46,8 +59,10 @@ PATTERNS = {
     "card": r"(?<![\p{L}\p{N}])(?:\d{15,16}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4})(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}\-])",
     "secret": r"(?<![\p{L}\p{N}])(?=[a-fA-F]{0,63}\d)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\p{N}])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(TITLES)})\.? {_NAME}(?: {_NAME}){{0,2}}(?!\p{{L}})",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(TITLES)})\.? {_NAME}(?: {_NAME}(?: (?!(?:{'|'.join(sorted(set(ORDINARY)))})(?!\p{{L}})){_NAME})?)?(?!\p{{L}})",
 }
+#: Country codes of telephone numbers with one and two digits; all others have three.
+CODE = r"^(\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3}))"
 _FIRST = "".join(sorted({t[0] for t in TITLES}))
 _NUMBERS = "(?=[0-9+(])(?:" + "|".join(PATTERNS[k] for k in ("phone", "ip", "card", "ssn")) + ")|(?=[0-9a-fA-F])" + PATTERNS["secret"]
 _NAMES = f"(?=[{_FIRST}])" + PATTERNS["name"]
@@ -178,7 +193,7 @@ def _email(entity: Column, tweak: Column) -> Column:
 
 
 def _phone(entity: Column, tweak: Column) -> Column:
-    code = F.regexp_extract(entity, r"^(\+\d{1,3}(?=[ .\-(]))", 1)
+    code = F.regexp_extract(entity, CODE, 1)
     return F.concat(code, _number(F.substring(entity, F.length(code) + 1, F.length(entity)), F.concat_ws("|", tweak, code)))
 
 

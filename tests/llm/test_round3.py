@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexgrove.llm import brown, common, hardneg, prefixtrie, queries
+from lexgrove.llm import brown, common, hardneg, pii, prefixtrie, queries, urlfilter
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -261,3 +261,32 @@ def test_components_take_few_rounds(spark):
 
 def test_queries_registered():
     assert {"op11_hard_negatives", "op12_class_lm", "op13_prefix_trie"} <= set(queries.QUERIES)
+
+
+def test_an_ordinary_word_is_no_surname(spark):
+    given = [(1, "Mrs. Anna Smith Then went. Then he left, Smith too."), (2, "Mr. Jun Ma ging."), (3, "Dr. Ada Maria Thenard came. Thenard left."), (4, "Signora Maria Bianchi Quando venne. Quando?"), (5, "+4915112345678 and +49 151 12345678 and +1 706-555-3138")]
+    rows = {r.doc_id: r.text for r in pii.pseudonymised(spark.createDataFrame(given, "doc_id long, text string"), "k").collect()}
+    one = re.fullmatch(r"Mrs\. (\w+) (\w+) Then went\. Then he left, (\w+) too\.", rows[1])
+    assert one and one[2] == one[3] != "Smith" and one[1] != "Anna"
+    assert "Ma" not in rows[2].split()
+    three = re.fullmatch(r"Dr\. (\w+) (\w+) (\w+) came\. (\w+) left\.", rows[3])
+    assert three and three[3] == three[4] != "Thenard"
+    assert re.fullmatch(r"Signora (?!Maria)\w+ (?!Bianchi)\w+ Quando venne\. Quando\?", rows[4])
+    joined, apart, other = re.fullmatch(r"(\+49\d{11}) and (\+49 \d{3} \d{8}) and (\+1 \d{3}-\d{3}-\d{4})", rows[5]).groups()
+    assert joined == apart.replace(" ", "") != "+4915112345678" and other != "+1 706-555-3138"
+
+
+def test_a_large_url_list_deals_hot_keys(spark, monkeypatch):
+    """The shuffled form, with a key that all captures have and the list has not, and one that it has, equals the broadcast form."""
+    rng = random.Random(4)
+    pages = [(k, f"http://h{rng.randint(0, 400)}.{rng.choice(['hot', 'cold'])}.com/en/{k % 3}", rng.choice(["2024-01-01", "2024-03-01", None])) for k in range(3000)]
+    pages += [(k, "http://h1.hot.com/en/1", "2024-03-01") for k in range(300)] + [(1, None, None), (2, "nonsense", "2024-01-01")]
+    lists = [("hot.com", "a", "add", "2024-02-01"), ("h1.hot.com", "b", "add", "2024-01-01"), ("h7.cold.com/en", "c", "add", "2023-01-01"), ("h2.hot.com", "a", "remove", "2023-01-01")]
+    df = spark.createDataFrame(pages, "page_id long, url string, fetched string")
+    entries = spark.createDataFrame(lists, "key string, category string, action string, since string")
+    rows = lambda: sorted(map(tuple, urlfilter.filtered(df, entries).collect()), key=repr)
+    want = rows()
+    monkeypatch.setattr(urlfilter, "BROADCAST", 0)
+    assert rows() == want
+    monkeypatch.setattr(common, "HOT", 100)
+    assert rows() == want and any(r[3] for r in want)
