@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve over metadata, with DataFrame functions only.
 
-Size (by powers of two), source and language are quantised to BITS bits each, all in their own order (source and language by quantiles over
-all rows); their Hilbert index puts rows that are close in all three next to each other; the sorted rows are cut into runs, so each shard
+Size (by powers of two), source and language are quantised to BITS bits each, all in their own order (source and language by quantiles
+over their counted values, compared whole); their Hilbert index puts rows that are close in all three next to each other; the sorted rows are cut into runs, so each shard
 covers short ranges of every dimension and a reader prunes shards by any of them (see manifest()).
 
 Positions are global without a global window: rows are range-partitioned by (index, hash of doc_id, doc_id), which splits a
@@ -63,33 +63,46 @@ def hilbert_index(*dims: Column, bits: int = BITS) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda acc: acc["h"])
 
 
-#: Bytes of a string, after what all strings have in common, by which it is put in order; cells of a dimension.
-PREFIX, CELLS = 7, 1 << BITS
+#: Cells of a dimension.
+CELLS = 1 << BITS
 
 
-def _number(text: Column, common: int) -> Column:
-    """The order of a string's bytes as a number, from the first that not all strings share; strings alike in PREFIX of them are equal."""
-    part = F.substring(text.cast("binary"), common + 1, PREFIX)
-    return F.conv(F.rpad(F.hex(part), 2 * PREFIX, "0"), 16, 10).cast("long")
+def _ranked(counts: DataFrame) -> DataFrame:
+    """value, n of counts(value, n), with at (values before it), before (rows before it), values and rows (all), by running sums inside range partitions."""
+    local = cut(counts.repartitionByRange("value").sortWithinPartitions("value").withColumn("m", F.monotonically_increasing_id()))
+    local = local.withColumn("part", F.shiftright("m", 33))
+    up_to, every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    parts = local.groupBy("part").agg(F.count("*").alias("v"), F.sum("n").alias("r"))  # a row for each partition
+    parts = parts.select("part", zero(F.sum("v").over(up_to)).alias("v_before"), zero(F.sum("r").over(up_to)).alias("r_before"), F.sum("v").over(every).alias("values"), F.sum("r").over(every).alias("rows"))
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("m").rowsBetween(Window.unboundedPreceding, -1))
+    out = local.join(F.broadcast(parts), "part")
+    return out.select("value", "n", (F.col("m").bitwiseAND((1 << 33) - 1) + F.col("v_before")).alias("at"), (zero(inside) + F.col("r_before")).alias("before"), "values", "rows")
+
+
+def bounds(rows: DataFrame, column: str) -> list[tuple[bytes, int]]:
+    """The least value of each cell, with the cell's number, CELLS at most, in order of values.
+
+    Values are counted first, so a value of any number of rows is one row here. As many values as cells or fewer have a cell each, spread evenly;
+    of more, a value's cell is its quantile, that of the middle of its rows.
+    """
+    counts = rows.select(F.col(column).cast("binary").alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
+    few = F.expr(f"cast(at * {CELLS - 1} div greatest(values - 1, 1) as int)")
+    many = F.expr(f"cast((2 * before + n) * {CELLS} div (2 * rows) as int)")
+    cells = _ranked(counts).withColumn("cell", F.when(F.col("values") <= CELLS, few).otherwise(many))
+    return sorted((bytes(r.least), r.cell) for r in cells.groupBy("cell").agg(F.min("value").alias("least")).collect())
 
 
 def quantised(rows: DataFrame, columns: tuple[str, ...]) -> list[Column]:
-    """For each string column a cell below CELLS, in the strings' order; null is the first. It takes two aggregations with one row each."""
-    ends = rows.agg(*(f(F.col(c).cast("binary")).alias(f"{c}_{n}") for c in columns for n, f in (("min", F.min), ("max", F.max)))).first()
-    common = {}
-    for c in columns:
-        low, high = bytes(ends[f"{c}_min"] or b""), bytes(ends[f"{c}_max"] or b"")
-        common[c] = next((k for k in range(min(len(low), len(high))) if low[k] != high[k]), min(len(low), len(high)))
-    cuts = rows.agg(*(F.percentile_approx(_number(F.col(c), common[c]), [k / CELLS for k in range(1, CELLS)], 10_000).alias(c) for c in columns)).first()
-    out = []
-    for c in columns:
-        bounds = sorted(set(cuts[c] or []))  # CELLS - 1 numbers at most
-        value = _number(F.col(c), common[c])
-        # a value on a bound has a cell of its own, so that few values, each with many rows, all differ
-        place = sum(((value >= x).cast("int") + (value > x).cast("int") for x in bounds), F.lit(0)) if len(bounds) < CELLS // 2 else sum(((value >= x).cast("int") for x in bounds), F.lit(0))
-        steps = 2 * len(bounds) if len(bounds) < CELLS // 2 else len(bounds)
-        out.append(F.coalesce(F.floor(place * (CELLS - 1) / max(1, steps)).cast("int"), F.lit(0)))
-    return out
+    """For each string column a cell below CELLS, in the order of its strings, whole; null is in the first."""
+
+    def cell(value: Column, found: list[tuple[bytes, int]]) -> Column:
+        if len(found) < 2:
+            return F.lit(found[0][1] if found else 0)
+        mid = len(found) // 2
+        return F.when(value < F.lit(found[mid][0]), cell(value, found[:mid])).otherwise(cell(value, found[mid:]))
+
+    return [F.when(F.col(c).isNull(), 0).otherwise(cell(F.col(c).cast("binary"), bounds(rows, c))).cast("int") for c in columns]
 
 
 def hilbert_shards(docs: DataFrame, shards: int, law: str = "rows", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexgrove.llm import brown, common, hardneg, pii, prefixtrie, queries, urlfilter
+from lexgrove.llm import brown, common, hardneg, hilbert, pii, prefixtrie, queries, urlfilter
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -290,3 +290,34 @@ def test_a_large_url_list_deals_hot_keys(spark, monkeypatch):
     assert rows() == want
     monkeypatch.setattr(common, "HOT", 100)
     assert rows() == want and any(r[3] for r in want)
+
+
+def test_shards_prune_sources_with_long_common_parts(spark):
+    """Hosts under two schemes that differ only after many bytes; one has a third of all rows; values out of order, null, empty and very long."""
+    rng = random.Random(9)
+    hosts = [f"{scheme}://www.example-host{k:02d}.org/" for k in range(15) for scheme in ("http", "https")]
+    rows = [(i, "x" * int(2 ** rng.uniform(0, 12)), rng.choice(["de", "en", "es", "fr"]), hosts[0] if i % 3 == 0 else rng.choice(hosts)) for i in range(6000)]
+    rows += [(7000, "a", None, None), (7001, "b", "", ""), (7002, "c", "de", "z" * 100_000), (7002, "c", "de", "z" * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = hilbert.hilbert_shards(df, 40)
+    ranges = [m for m in hilbert.manifest(got).collect()]
+    opened = lambda lang, source, low: sum(m.min_lang <= lang <= m.max_lang and m.min_source <= source <= m.max_source and m.max_size >= low for m in ranges)
+    asked = [(lang, host, low) for lang in ("de", "en", "es", "fr") for host in hosts[1:] for low in (16, 2000)]
+    mean = sum(opened(*x) for x in asked) / len(asked)
+    assert got.count() == len(rows) and len(ranges) == 40 and mean < 5, mean
+
+
+@pytest.mark.parametrize("values", [1, 2, 40, 64, 65, 500])
+def test_cells_follow_the_order_of_whole_values(spark, values):
+    """Cells against brute force: quantiles of the middle of each value's rows, or one cell a value where there are enough."""
+    rng = random.Random(values)
+    names = sorted({"same long beginning " * 3 + str(rng.randrange(10**9)) for _ in range(values)})
+    rows = [names[int(len(names) * rng.random() ** 3)] for _ in range(2000)] + names
+    count, before, want = Counter(rows), 0, {}
+    for k, v in enumerate(names):
+        want[v] = k * 63 // max(1, len(names) - 1) if len(names) <= 64 else (2 * before + count[v]) * 64 // (2 * len(rows))
+        before += count[v]
+    df = spark.createDataFrame([(v,) for v in [*rows, None]], "v string")
+    got = {r.v: r.c for r in df.select("v", hilbert.quantised(df, ("v",))[0].alias("c")).distinct().collect()}
+    assert got == {**want, None: 0}
+    assert hilbert.bounds(df.limit(0), "v") == []
