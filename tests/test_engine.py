@@ -258,3 +258,19 @@ def test_definitions_of_all_lines(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = queries.definition_split(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.num, r.termine, r.corpo) for r in rows) == [(n, i, f"voce numero {i}", f"voce numero {i}") for n in (3, 99, 101, 250) for i in range(1, n + 1)]
+
+
+def test_legal_pages_are_parsed_once(spark, tmp_path):
+    """Recitals, articles, headings and blocks come from one run of the parser."""
+    from lexgrove.sources import passages as P
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    page = '<html><body><div id="rct_1"><p>(1) a recital</p></div><div id="art_2"><p class="oj-sti-art">Head</p><div>1. the first paragraph</div></div></body></html>'
+    pages = spark.createDataFrame([(1, page)], "page_id long, html string").mapInPandas(counted, "page_id long, html string")
+    assert P.from_legal_pages(pages).count() == 2 and seen.value == 1

@@ -84,3 +84,10 @@ def test_segments(spark):
 def test_stop_words():
     assert len(STOP_WORDS) == len(set(STOP_WORDS)) and not {"non", "salvo", "senza"} & set(STOP_WORDS)
     assert all(re.fullmatch("[a-z]+", w) for w in STOP_WORDS)
+
+
+def test_composition_is_told_at_the_first_comparison(spark):
+    """The ranges of characters that may change are tried for none below the least of them; tried one by one they cost most of the legal pages' time."""
+    assert X.MAY_CHANGE == r"[\x{300}-\x{10ffff}&&" and X.recomposing().startswith(r"[\x{300}-")
+    plan = spark.range(1).select(X.composed(F.lit("e\u0301 ").substr(F.col("id").cast("int"), F.lit(9))).alias("t"))
+    assert "&&[" in plan._jdf.queryExecution().analyzed().toString() and plan.first().t == "\u00e9 "
