@@ -196,3 +196,59 @@ def test_containment(spark):
     assert len(got) == len(set(got)) and set(got) == want
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
     assert evaluate.containing(left, right.limit(0), "key").count() == 0
+
+
+def test_words_are_packed_where_they_are(spark):
+    """Whole blocks of clustered passages are packed without an exchange; passages in any order give the same index."""
+    passages = corpus(spark, 30, 4)
+    here = index.build(passages, clustered=True)
+    plan = here.packed._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan[plan.index("MapInArrow") : plan.index("BroadcastExchange")], plan  # which has a sample's frequent terms
+    mixed = index.build(passages.orderBy("testo").repartition(5))
+    assert index.digest(here.packed).first() == index.digest(mixed.packed).first()
+    assert here.stats.first() == mixed.stats.first() and here.stats.first().n == passages.count()
+
+
+def test_block_of_several_batches_is_one(spark):
+    """A block that begins in one Arrow batch and ends in the next one has one row for each term."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    passages = corpus(spark, 12, 6)
+    want = index.digest(index.build(passages, clustered=True).packed).first()
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        assert index.digest(index.build(passages, clustered=True).packed).first() == want
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_sums_over_blocks_are_not_kept(spark, monkeypatch, built, asked):
+    """What a search keeps is the probed and the promising blocks, not each block of each question."""
+    kept, ix = [], built[1]
+    cut = search.cut
+    monkeypatch.setattr(search, "cut", lambda df: (kept.append(df.columns), cut(df))[1])
+    monkeypatch.setattr(search, "PROBE", 2)
+    search.search(asked, ix, search.SearchConfig(limit=3)).count()
+    assert kept and not any("most" in columns for columns in kept)
+
+
+@pytest.mark.parametrize("config", CONFIGS[:3])
+def test_many_promising_blocks(spark, monkeypatch, built, asked, config):
+    """Few terms and blocks too many to broadcast: both are dealt by block, and results stay those of all postings."""
+    ix, terms = built[1], search.question_terms(asked, True)
+    weighted = search.weighted(terms, ix, config, True)
+    covered = config.coverage != 0
+    want = search.ranked(None, search.exact(weighted, ix, None, terms, True, covered=covered), config.limit).collect()
+    monkeypatch.setattr(search, "few_rows", lambda df: False)
+    found = search.scores(terms, ix, config, config.limit, few=True)
+    assert "array_contains" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, search.ranked(None, found, config.limit).collect())) == sorted(map(tuple, want))
+
+
+def test_windows_of_texts_stay(spark):
+    """Few items go to the texts: neither the texts nor their windows are exchanged for them."""
+    texts = spark.createDataFrame([(k, f"one two three four five six seven {k} eight") for k in range(50)], "key long, text string")
+    items = spark.createDataFrame([(1, "two three four five six seven 7 eight"), (2, "seven 9")], "item long, text string")
+    found = evaluate.containing(texts, items, "key")
+    assert sorted(map(tuple, found.collect())) == [(1, 7), (2, 9)]
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()

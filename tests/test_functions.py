@@ -91,3 +91,10 @@ def test_composition_is_told_at_the_first_comparison(spark):
     assert X.MAY_CHANGE == r"[\x{300}-\x{10ffff}&&" and X.recomposing().startswith(r"[\x{300}-")
     plan = spark.range(1).select(X.composed(F.lit("e\u0301 ").substr(F.col("id").cast("int"), F.lit(9))).alias("t"))
     assert "&&[" in plan._jdf.queryExecution().analyzed().toString() and plan.first().t == "\u00e9 "
+
+
+def test_stem_of_is_stem(spark):
+    """The tasks that pack postings stem as questions are stemmed."""
+    words = sorted({w[:k] + x for w in ("trattamento", "dat", "nazione", "caso", "titolare", "abcdef") for k in range(2, len(w) + 1) for x in ("", *SUFFIXES, "a", "io")})
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", X.stem(F.col("w")).alias("s")).collect()
+    assert len(rows) > 500 and all(X.stem_of(r.w) == r.s for r in rows)
