@@ -58,6 +58,41 @@ def test_pruned_search_is_whole(spark, monkeypatch, built, asked, config, few):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 30
 
 
+@pytest.mark.parametrize("config", [*CONFIGS, search.SearchConfig(recital_weight=0.0), search.SearchConfig(coverage=3.0, limit=2)])
+@pytest.mark.parametrize(("leads", "spares"), [(0.1, 0.99), (0.85, 0.2)])
+def test_spared_terms_lose_nothing(spark, monkeypatch, built, asked, config, leads, spares):
+    """Blocks found by a question's heaviest terms alone, and sums without its lightest, give the results of all postings."""
+    monkeypatch.setattr(search, "LEADING", leads)
+    monkeypatch.setattr(search, "SPARED", spares)
+    monkeypatch.setattr(search, "PROBE", 3)
+    ix, terms = built[1], search.question_terms(asked, True)
+    weighted = search.weighted(terms, ix, config, True)
+    covered = config.coverage != 0
+    want = search.ranked(None, search.exact(weighted, ix, None, terms, True, covered=covered), config.limit).collect()
+    got = search.ranked(None, search.scores(terms, ix, config, config.limit, few=True), config.limit).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_frequent_terms_are_spared(spark, monkeypatch, built, asked):
+    """Neither sum over blocks has all terms of the questions: their most frequent ones are in none."""
+    summed, upper, ix = [], search.upper, built[1]
+    monkeypatch.setattr(search, "upper", lambda rows, *a, **b: (summed.append(rows.count()), upper(rows, *a, **b))[1])
+    monkeypatch.setattr(search, "PROBE", 2)
+    terms = search.question_terms(asked, True)
+    weighted = search.weighted(terms, ix, search.DEFAULTS, True)
+    search.promising(weighted, ix, 1, terms, True).count()
+    assert len(summed) == 2 and max(summed) < weighted.count()
+
+
+def test_coverage_bounds_blocks(spark, built, asked):
+    """Blocks that could reach the threshold but for their coverage are not read."""
+    ix, terms, config = built[1], search.question_terms(asked, True), search.SearchConfig(coverage=4.0)
+    weighted = search.weighted(terms, ix, config, True)
+    best = search.exact(weighted, ix, None, terms, True, covered=True).groupBy("qid").agg(F.max("score").alias("least"))
+    reach = search.upper(weighted, ix, True).join(best, "qid").where("most >= least").count()
+    assert search.promising(weighted, ix, 1, terms, True, covered=True).count() < reach
+
+
 def test_less_is_read(spark, built, asked):
     r = search.reading(asked, built[1], search.SearchConfig(limit=3)).agg(*(F.sum(c).alias(c) for c in ("postings", "postings_read", "blocks", "blocks_read"))).first()
     assert 0 < r.postings_read < r.postings and r.blocks_read < r.blocks
