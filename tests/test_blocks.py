@@ -93,6 +93,16 @@ def test_coverage_bounds_blocks(spark, built, asked):
     assert search.promising(weighted, ix, 1, terms, True, covered=True).count() < reach
 
 
+def test_large_tables_have_more_buckets(spark, monkeypatch, tmp_path, built):
+    """A task sorts the postings of so many passages, whatever the session's number of partitions."""
+    monkeypatch.setattr(index, "BUCKET_PASSAGES", 100)
+    ix = index.save(index.build(built[0]), str(tmp_path))
+    n = ix.meta.count()
+    assert n // 100 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spark.read.parquet(f"{index._snapshot(spark, str(tmp_path))}/manifest").first().buckets == n // 100
+    assert {k: ix.saved[k] for k in index.TABLES[:5]} == {k: built[1].saved[k] for k in index.TABLES[:5]}
+
+
 def test_less_is_read(spark, built, asked):
     r = search.reading(asked, built[1], search.SearchConfig(limit=3)).agg(*(F.sum(c).alias(c) for c in ("postings", "postings_read", "blocks", "blocks_read"))).first()
     assert 0 < r.postings_read < r.postings and r.blocks_read < r.blocks
