@@ -297,3 +297,26 @@ def test_windows_of_texts_stay(spark):
     found = evaluate.containing(texts, items, "key")
     assert sorted(map(tuple, found.collect())) == [(1, 7), (2, 9)]
     assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_exchanged_as_groups(spark, monkeypatch, tmp_path):
+    """What a saved index exchanges is a row for each term of a task, not one for each of its blocks, which are made after the exchange."""
+    written, write = {}, index._write
+    monkeypatch.setattr(index, "_write", lambda df, path, buckets=0: (written.setdefault(path.rsplit("/", 1)[1], df), write(df, path, buckets))[1])
+    made = index.build(corpus(spark, 60, 5).coalesce(2), clustered=True)
+    ix = index.save(made, str(tmp_path))
+    plan = written["postings"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange hashpartitioning") < plan.rindex("MapInArrow"), plan
+    assert made.groups.count() * 3 < ix.packed.count()
+    assert ix.saved["postings"] == index.digest(index._stored(made.packed)).first().digest
+
+
+def test_groups_of_far_documents_and_hot_terms(spark, monkeypatch):
+    """Postings are whole where a task's documents lie far apart and a term has several parts, which no block is in two of."""
+    monkeypatch.setattr(index, "HOT", 5)
+    rows = [(k * (1 << 34) + j, "head word\n" + "\n".join(f"alpha beta{i % 3} alpha gamma{j}" for i in range(70)), f"src{j}") for k in (0, 1, 20) for j in (1, 8)]
+    passages = P.from_documents(spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1))
+    ix = index.build(passages, clustered=True)
+    want = index.occurrences(passages).select("field", "term", "pos", "tf", "len", "recital")
+    assert sorted(map(tuple, ix.postings.collect())) == sorted(map(tuple, want.collect()))
+    assert ix.terms.where("parts > 1").count() and not ix.packed.groupBy("field", "term", "block").count().where("count > 1").count()
