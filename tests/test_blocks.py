@@ -320,3 +320,15 @@ def test_groups_of_far_documents_and_hot_terms(spark, monkeypatch):
     want = index.occurrences(passages).select("field", "term", "pos", "tf", "len", "recital")
     assert sorted(map(tuple, ix.postings.collect())) == sorted(map(tuple, want.collect()))
     assert ix.terms.where("parts > 1").count() and not ix.packed.groupBy("field", "term", "block").count().where("count > 1").count()
+
+
+def test_words_are_told_without_a_regular_expression(spark):
+    """Postings are those of tokens() whatever stands in or between words, and no regular expression is replaced in the texts that are counted."""
+    odd = [chr(c) for c in (*range(1, 0x250), *range(0x300, 0x371), *range(0x1E00, 0x2150), 0xFB01, 0xFF21, 0x1F600) if chr(c) != "\n"]
+    rows = [(k, f"zentrale{ch}nnabile Quer{ch} {ch} {ch}volta 1{ch}2", f"src{k % 9}") for k, ch in enumerate(odd)] + [(len(odd), "", "src1"), (len(odd) + 1, "—" * 20, "src7")]
+    passages = P.from_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    made = index.build(passages)
+    assert sorted(map(tuple, made.postings.collect())) == sorted(map(tuple, index.occurrences(passages).select("field", "term", "pos", "tf", "len", "recital").collect()))
+    plan = made.groups._jdf.queryExecution().optimizedPlan().toString()
+    counted = plan[plan.index("MapInArrow") : plan.index("Aggregate")]
+    assert "translate" in counted and "regexp_replace" not in counted, counted
