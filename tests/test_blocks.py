@@ -332,3 +332,21 @@ def test_words_are_told_without_a_regular_expression(spark):
     plan = made.groups._jdf.queryExecution().optimizedPlan().toString()
     counted = plan[plan.index("MapInArrow") : plan.index("Aggregate")]
     assert "translate" in counted and "regexp_replace" not in counted, counted
+
+
+@pytest.mark.parametrize("hot", [index.HOT, 40])
+def test_revised_digests(spark, monkeypatch, hot):
+    """Digests of an index and of the one with a changed passage, made together, are those of two indexes built by themselves; the common postings are made once."""
+    monkeypatch.setattr(index, "HOT", hot)
+    monkeypatch.setattr(index, "PRECISION", 40)
+    passages = corpus(spark).repartition(5, "n")
+    least = passages.agg(F.min("pos")).first()[0]
+    n = passages.where(F.col("pos") == least).first().n
+    changed = lambda df: df.withColumn("rubrica", F.when(F.col("pos") == least, "nuovo lexgrovius").otherwise(F.col("rubrica")))
+    before = passages.where(F.col("n") == n).coalesce(1)
+    made, groups = [], index.groups
+    want = [index.digests(index.build(x, clustered=True)) for x in (passages, changed(passages))]
+    monkeypatch.setattr(index, "groups", lambda x, *a, **k: (made.append(x), groups(x, *a, **k))[1])
+    got = index.revised(passages, before, changed(before))
+    assert got == [{k: v for k, v in x.items() if k != "stats"} for x in want] and got[0]["postings"] != got[1]["postings"] and got[0]["texts"] == got[1]["texts"]
+    assert sum(x is passages for x in made) == 1
