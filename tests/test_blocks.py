@@ -350,3 +350,24 @@ def test_revised_digests(spark, monkeypatch, hot):
     got = index.revised(passages, before, changed(before))
     assert got == [{k: v for k, v in x.items() if k != "stats"} for x in want] and got[0]["postings"] != got[1]["postings"] and got[0]["texts"] == got[1]["texts"]
     assert sum(x is passages for x in made) == 1
+
+
+@pytest.mark.parametrize("more", [{}, {"lower": search.SearchConfig(coverage=-0.5, limit=3)}])
+def test_configurations_share_a_pass(spark, monkeypatch, built, asked, more):
+    """Each configuration's results are those of a search of its own; what several ask alike is searched once, and postings are met once for all of them."""
+    ix, base = built[1], search.SearchConfig(limit=3)
+    configs = {"base": base, "bare": search.SearchConfig(0, 1.0, heading_weight=0.0, limit=3), "covered": search.SearchConfig(coverage=0.5, limit=3), "same": base, "plain": search.SearchConfig(synonyms=False, limit=3)} | more
+    questions = asked.union(spark.createDataFrame([(95, f"garante {WORDS[0]} {WORDS[1]}"), (96, "art. 3")], "qid long, d string"))
+    terms, shared = search.configured(questions, True, configs)
+    assert {(r.qid, r.config): r.of for r in shared.where("qid in (3, 95)").collect()} == {(q, c): of for q in (3, 95) for c, of in zip(configs, (0, 1, 2, 0, 4 if q == 95 else 0, *range(5, 5 + len(more))), strict=True)}
+    assert terms.where("of = 4").select("qid").distinct().count() == 1
+    met, found = [], search._found
+    monkeypatch.setattr(search, "_found", lambda *a: (met.append(a), found(*a))[1])
+    monkeypatch.setattr(search, "PROBE", 2)
+    got = {}
+    for r in search.search_each(questions, ix, configs, 3).collect():
+        got.setdefault(r.config, []).append((r.qid, r.rank, r.pos, r.punteggio, r.esatto))
+    assert len(met) == (1 if more else 2)  # with bounds, that of the thresholds too
+    for name, config in configs.items():
+        want = search.search(questions, ix, config).select("qid", "rank", "pos", "punteggio", "esatto").collect()
+        assert sorted(got[name]) == sorted(map(tuple, want)) and len(want) > 30
