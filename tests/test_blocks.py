@@ -371,3 +371,21 @@ def test_configurations_share_a_pass(spark, monkeypatch, built, asked, more):
     for name, config in configs.items():
         want = search.search(questions, ix, config).select("qid", "rank", "pos", "punteggio", "esatto").collect()
         assert sorted(got[name]) == sorted(map(tuple, want)) and len(want) > 30
+
+
+@pytest.mark.parametrize("hot", [index.HOT, 40])
+def test_unstemmed(spark, monkeypatch, tmp_path, built, asked, hot):
+    """Beside a stemmed index, searches without stems need their words' postings alone: rows are those of an index without stems built by itself, and no other word is written."""
+    monkeypatch.setattr(index, "HOT", hot)
+    monkeypatch.setattr(index, "PRECISION", 40)
+    passages = corpus(spark)
+    stemmed = index.save(index.build(passages), str(tmp_path / "stemmed")) if hot == 40 else built[1]
+    some = asked.where("qid % 3 <> 1")
+    words = search.question_terms(some, False).select("term").distinct()
+    plain = index.unstemmed(stemmed, passages, words, True, str(tmp_path / "words"))
+    whole = index.build(passages, stemmed=False)
+    assert plain.stats.first() == whole.stats.first() and not plain.stemmed
+    assert {r.term for r in plain.packed.select("term").collect()} == {r.term for r in words.collect()} & {r.term for r in whole.terms.collect()} and (hot > 40 or plain.terms.where("parts > 1").count())
+    order = lambda df: sorted(map(tuple, df.drop("testo").collect()))
+    assert order(plain.postings) == order(whole.postings.join(words, "term", "left_semi").select(*plain.postings.columns))
+    assert order(search.search(some, plain).select("qid", "rank", "pos", "punteggio")) == order(search.search(some, whole).select("qid", "rank", "pos", "punteggio"))
